@@ -1,0 +1,8 @@
+"""Registered queries and their SQL."""
+
+QUERIES = {}
+ORACLE_SQL = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
