@@ -23,7 +23,13 @@ from pyspark.sql import functions as F
 from textmill.llm.common import fresh_name, located, locator, remove, work_path, written
 
 WHITE = " \t\n\x0b\x0c\r"
-_KEEP = "struct<n_cp:long,neg_id:decimal(20,0),at:struct<file:string,row:long>>"
+#: State on disk; many small stores neither preallocate their logs nor upload whole snapshots each batch.
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.allowFAllocate": "false",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -52,16 +58,15 @@ def run_stream(stream: DataFrame, out: str, checkpoint: str) -> None:
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = keyed_state(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if old:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def groups_of(spark: SparkSession, out: str) -> DataFrame:
