@@ -66,11 +66,12 @@ def changes(observations: DataFrame, order: str = "seq") -> DataFrame:
 NAMESPACES = ("native", "firecrawl", "pdf", "doc")
 
 
-def cache_key(url: Column | str, language: Column | str, namespace: Column | str) -> Column:
-    """Domain and a 64-bit hash of canonical address, language and extractor."""
+def with_cache_key(df: DataFrame, url: str = "url", language: Column | None = None, namespace: Column | None = None, out: str = "key") -> DataFrame:
+    """Append domain and a 64-bit hash of canonical address, language and extractor."""
     domain = F.coalesce(F.nullif(F.regexp_replace(domain_of(url), "(?i)[^a-z0-9.-]", "_"), F.lit("")), F.lit("url"))
-    whole = F.concat(canonicalize_url(url), F.lit("\0"), F.coalesce(_col(language), F.lit("")), F.lit("\0"), _col(namespace))
-    return F.concat(domain, F.lit("-"), F.regexp_replace(fnv1a64(whole), "^0+(?=.)", ""))
+    parts = [F.coalesce(language, F.lit("")) if language is not None else F.lit(""), namespace if namespace is not None else F.lit("native")]
+    named = df.withColumn("_canonical", canonicalize_url(url)).withColumn("_whole", F.concat(F.col("_canonical"), F.lit("\0"), parts[0], F.lit("\0"), parts[1]))
+    return named.withColumn(out, F.concat(domain, F.lit("-"), F.regexp_replace(fnv1a64("_whole"), "^0+(?=.)", ""))).drop("_canonical", "_whole")
 
 
 def is_fresh(cached_at: Column | str, now: Column, ttl_ms: int) -> Column:

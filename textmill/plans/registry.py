@@ -1,8 +1,779 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the retrieval operators, each over whole tables, and the SQL that checks them.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Where an operator reads markup, feeds or rules, its input is built from rows of
+a relational table, so that what it extracts can be compared with those rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
+from textmill.operators import numbering, ranking, state
+from textmill.plans import sql
+from textmill.sources import apis, bytes as raw, responses
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The fixed question of the ranking queries: words of the corpus in several languages.
+QUESTION = "thering enten pour leaux considerations of worthless verkeit"
+
+
+def query(oracle: str | None = None):
+    def wrap(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return wrap
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def as_documents(docs: DataFrame) -> DataFrame:
+    """``url, title, headings, text`` of the documents table: the first line is the title."""
+    return docs.select(
+        F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("url"),
+        F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"),
+        F.lit("").alias("headings"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.rank_documents(as_documents(table(spark, d, "documents")), QUESTION, limit=20)
+
+
+@query()
+def rank_documents(spark, d):
+    """The flagship: BM25F, collapse, diversify, top 20."""
+    return flagship(spark, d)
+
+
+# -- terms and scores ---------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({sql.terms('text')}) AS n_terms, len(list_distinct({sql.terms('text')})) AS n_distinct, coalesce(array_to_string({sql.terms('text')}[1:12], ' '), '') AS head FROM documents")
+def bm25_terms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", text.terms("text").alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n_terms"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.array_join(F.slice("t", 1, 12), " ").alias("head"))
+
+
+_TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
+_WEIGHTED = f"SELECT doc_id, list_concat(b, list_concat(h, list_concat(h, h))) AS tokens FROM (SELECT doc_id, {sql.terms('text')} AS b, {sql.terms(_TITLE)} AS h FROM documents)"
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({sql.bm25(QUESTION, 'tokens', _WEIGHTED, 'doc_id')})")
+def bm25_scores(spark, d):
+    docs = table(spark, d, "documents")
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    tokens = docs.select("doc_id", ranking.document_terms("text", None, title).alias("tokens"))
+    index = ranking.build_bm25_index(tokens, QUESTION)
+    return tokens.select("doc_id", F.round(ranking.bm25_score(index, "tokens"), 6).alias("score"))
+
+
+@query("SELECT doc_id, coalesce(array_to_string(list_filter([" + ", ".join(sql.lit(t) for t in text.query_terms(QUESTION)) + f"], lambda q: list_contains(t, q)), ' '), '') AS matched FROM (SELECT doc_id, {sql.terms('text')} AS t FROM documents)")
+def bm25_matched_terms(spark, d):
+    tokens = table(spark, d, "documents").select("doc_id", text.terms("text").alias("tokens"))
+    index = ranking.Bm25Index(tuple(text.query_terms(QUESTION)), 0, 0.0, ())
+    return tokens.select("doc_id", F.array_join(ranking.bm25_matched(index, "tokens"), " ").alias("matched"))
+
+
+@query(f"SELECT doc_id, round({sql.n_hits(QUESTION, 'coalesce(text, chr(32))')} / {len(text.build_matcher(QUESTION).keywords)}.0, 6) AS coverage FROM documents")
+def content_coverage(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.round(ranking.content_coverage(text.build_matcher(QUESTION), "text"), 6).alias("coverage"))
+
+
+@query(f"""
+    SELECT conv_id, turn, coalesce(array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i THEN x END), lambda x: x IS NOT NULL), ' '), '') AS kw
+    FROM (SELECT conv_id, turn, {sql.words('text')} AS w FROM conversations)
+""")
+def keywords(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.keywords("text"), " ").alias("kw"))
+
+
+@query()
+def ranked_keywords(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(text.ranked_keywords("text"), " ").alias("kw"))
+
+
+@query(f"SELECT p_partkey, {sql.fold('p_name')} AS folded, {sql.plain('p_name')} AS bare FROM part")
+def fold_terms(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.fold_term("p_name").alias("folded"), text.deaccent(F.lower("p_name")).alias("bare"))
+
+
+@query(r"""
+    SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 120) AS slug FROM pages
+""")
+def slugs(spark, d):
+    return table(spark, d, "pages").select("page_id", text.slugify("url").alias("slug"))
+
+
+@query()
+def subtokens(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(text.subtokens(F.regexp_replace("url", "[^A-Za-z0-9]+", "_")), " ").alias("parts"))
+
+
+@query()
+def excerpt_windows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.inline(text.excerpt_windows("text", [QUESTION, "leaux pour"])))
+    return docs.select("doc_id", "start", "end", "anchor", "score", "heading", F.length("snippet").alias("n_chars"))
+
+
+@query()
+def focused_snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.focused_snippet("text", QUESTION).alias("snippet"))
+
+
+# -- identity -----------------------------------------------------------------------------------
+
+_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', ''), '/+$', '')"
+_CANON = rf"""
+    regexp_replace(regexp_replace({_PATH}, '^([a-z]+://)www\.', '\1'), '/$', '')
+    || CASE WHEN url LIKE '%?page=%' THEN '?page=' || regexp_extract(url, 'page=(\d+)', 1) ELSE '' END
+"""
+
+
+@query(f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def canonical_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.canonicalize_url("url").alias("canonical"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS domain FROM pages")
+def domains(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.domain_of("url").alias("domain"))
+
+
+@query(f"""
+    WITH c AS (SELECT page_id, {_CANON} AS canon, length(html)::DOUBLE AS score FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY score DESC, page_id) AS rn, min(page_id) OVER (PARTITION BY canon) AS pos FROM c)
+    SELECT page_id, canon AS canonical_url, score, pos FROM r WHERE rn = 1
+""")
+def dedupe_by_url(spark, d):
+    items = table(spark, d, "pages").select("page_id", "url", F.length("html").cast("double").alias("score"), F.col("page_id").alias("pos"))
+    return ranking.dedupe_by_url(items).select("page_id", "canonical_url", "score", "pos")
+
+
+@query("""
+    SELECT p_partkey, '24' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') AS arxiv,
+           '10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey AS doi, '10.' || (1000 + p_partkey % 9000) || '/x' || p_partkey AS doi_in_path
+    FROM part
+""")
+def url_identities(spark, d):
+    p = table(spark, d, "part")
+    number = F.concat(F.lit("24"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"))
+    doi = F.concat(F.lit("10."), (1000 + F.col("p_partkey") % 9000).cast("string"), F.lit("/X"), F.col("p_partkey").cast("string"))
+    return p.select(
+        "p_partkey",
+        urls.arxiv_id(F.concat(F.lit("https://export.arxiv.org/pdf/"), number, F.lit("v2.pdf"))).alias("arxiv"),
+        urls.doi_of(F.concat(F.lit("https://dx.doi.org/"), doi)).alias("doi"),
+        urls.doi_of(F.concat(F.lit("https://dl.acm.org/doi/full/"), doi, F.lit("?x=1"))).alias("doi_in_path"),
+    )
+
+
+@query("""
+    SELECT o_orderkey, o_orderkey % 3 = 0 AS api, o_orderkey % 3 <> 0 AS citable, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 + o_orderkey % 5 END AS n_ids, o_orderkey % 7 = 0 AS pdf
+    FROM orders
+""")
+def citable_urls(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    ids = F.array_join(F.transform(F.sequence(F.lit(0), k % 5), lambda i: (k + i).cast("string")), ",")
+    query_string = F.when(k % 5 == 0, F.lit("?q=1")).otherwise(F.concat(F.lit("?ids="), ids))
+    base = F.when(k % 3 == 0, F.lit("https://api.crossref.org/works")).otherwise(F.lit("https://example.org/works"))
+    u = F.concat(base, query_string)
+    pdf = F.when(k % 7 == 0, F.lit("https://arxiv.org/pdf/2401.00001v2")).otherwise(F.lit("https://example.org/pdf/intro.html"))
+    return o.select("o_orderkey", urls.is_api_endpoint(u).alias("api"), urls.is_citable_url(u).alias("citable"), urls.addressed_id_count(u).alias("n_ids"), urls.looks_like_pdf(pdf).alias("pdf"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'https://example.org/a' WHEN 1 THEN 'https://doi.org/10.1234/s' || s_suppkey WHEN 2 THEN 'https://arxiv.org/abs/2401.00' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') ELSE 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + s_suppkey) || '/' END AS cite FROM supplier")
+def derive_citable_url(spark, d):
+    k = F.col("s_suppkey")
+    body = (
+        F.when(k % 4 == 1, F.concat(F.lit("See doi: 10.1234/s"), k.cast("string"), F.lit(". More.")))
+        .when(k % 4 == 2, F.concat(F.lit("Preprint arXiv:2401.00"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" [cs]")))
+        .otherwise(F.concat(F.lit("PMID: "), (10000 + k).cast("string")))
+    )
+    canonical = F.when(k % 4 == 0, F.lit("https://example.org/a")).otherwise(F.lit("https://api.openalex.org/works/1"))
+    return table(spark, d, "supplier").select("s_suppkey", urls.citable_url(body, canonical).alias("cite"))
+
+
+@query("""
+    SELECT s_suppkey, 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + s_suppkey) || '/' AS cite_url,
+           'https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi?db=pubmed&id=' || (10000 + s_suppkey) || '&rettype=abstract&retmode=text' AS text_url
+    FROM supplier
+""")
+def resolve_providers(spark, d):
+    u = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), (10000 + F.col("s_suppkey")).cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", locale.resolve_provider(u).alias("p")).select("s_suppkey", "p.cite_url", "p.text_url")
+
+
+@query("""
+    SELECT p_partkey, format('{:016x}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::HUGEINT)),
+           lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)) AS fnv FROM part
+""")
+def fnv_hashes(spark, d):
+    return table(spark, d, "part").select("p_partkey", hashing.fnv1a64("p_name").alias("fnv"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def content_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", state.content_hash(F.coalesce("text", F.lit(""))).alias("sha"))
+
+
+@query()
+def near_duplicate_pairs(spark, d):
+    """SimHash pairs at 12 bits of texts of 500 characters and more, one row per distinct hash."""
+    docs = table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h"))
+    heads = docs.groupBy("h").agg(F.min("doc_id").alias("head"))
+    return ranking.simhash_pairs(heads, "head", "h", 5)
+
+
+@query("SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://([a-z0-9.-]+)', 1), lambda h: regexp_replace(h, '^www\\.', '')), lambda h: h <> regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')))), ' '), '') AS hosts FROM pages")
+def external_hosts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(urls.external_hosts("url", "html")), " ").alias("hosts"))
+
+
+# -- vectors and fusion -------------------------------------------------------------------------
+
+
+@query("""
+    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cos FROM embeddings, q
+""")
+def vector_cosines(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select("embedding").first()[0]
+    return e.select("vec_id", F.round(vectors.cosine("embedding", F.array(*[F.lit(float(x)) for x in q])), 6).alias("cos"))
+
+
+@query("""
+    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q WHERE label < 5
+    ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10
+""")
+def search_vectors(spark, d):
+    """k nearest neighbours with a payload filter."""
+    e = table(spark, d, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select("embedding").first()[0]
+    scored = e.where("label < 5").select("vec_id", vectors.cosine("embedding", F.array(*[F.lit(float(x)) for x in q])).alias("s"))
+    return scored.orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings")
+def unit_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.round(vectors.norm(vectors.normalize("embedding")), 6).alias("unit"))
+
+
+@query("""
+    WITH l AS (
+        SELECT c_nationkey AS key, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos FROM customer
+        UNION ALL SELECT s_nationkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 FROM supplier
+    )
+    SELECT key, round(sum(1.0 / (61 + pos)), 6) AS score FROM l GROUP BY key
+""")
+def rank_fusion(spark, d):
+    c = numbering.ranked(table(spark, d, "customer").select("c_nationkey", "c_acctbal", "c_custkey"), [F.col("c_acctbal").desc(), F.col("c_custkey")], "pos", 0)
+    s = numbering.ranked(table(spark, d, "supplier").select("s_nationkey", "s_acctbal", "s_suppkey"), [F.col("s_acctbal").desc(), F.col("s_suppkey")], "pos", 0)
+    lists = c.select(F.col("c_nationkey").alias("key"), "pos").unionByName(s.select(F.col("s_nationkey").alias("key"), "pos"))
+    return ranking.rrf(lists).select("key", F.round("score", 6).alias("score"))
+
+
+@query()
+def hybrid_search(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
+    q = table(spark, d, "embeddings").orderBy("vec_id").limit(1).select("embedding").first()[0]
+    pool = docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("headings"), F.col("text").alias("body"), F.col("embedding").alias("vec"))
+    return ranking.hybrid_search(pool, QUESTION, q).withColumn("score", F.round("score", 9))
+
+
+@query("""
+    WITH y AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), s AS (SELECT min(y) AS lo, max(y) AS hi FROM y)
+    SELECT o_orderkey, round(CASE WHEN hi <= lo THEN 0.5 ELSE (y - lo)::DOUBLE / (hi - lo) END, 6) AS recency FROM y, s
+""")
+def recency(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    return ranking.with_recency(o).select("o_orderkey", F.round("recency", 6).alias("recency"))
+
+
+@query("""
+    WITH r AS (SELECT s_suppkey AS rank, s_suppkey % 3 = 0 AS off FROM supplier),
+    n AS (SELECT *, row_number() OVER (PARTITION BY off ORDER BY rank) AS k, sum(CASE WHEN off THEN 0 ELSE 1 END) OVER () AS on_topic FROM r)
+    SELECT rank, NOT off OR k <= greatest(0, 80 - on_topic) AS kept, (k + CASE WHEN off THEN on_topic ELSE 0 END)::BIGINT AS place FROM n
+""")
+def relevance_floor(spark, d):
+    k = F.col("s_suppkey")
+    matched = F.when(k % 3 == 0, F.array(F.lit("2024"))).otherwise(F.array(F.lit("worthless"), F.lit("2024")))
+    ranked = table(spark, d, "supplier").select(k.alias("rank"), matched.alias("matched"))
+    return ranking.relevance_floor(ranked, ["worthless", "2024"], 80).select("rank", "kept", "place")
+
+
+@query()
+def diversified(spark, d):
+    """MMR within each language's 40 longest texts of the benchmark's shape: a pool per question."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    top = docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))).where("rn <= 40")
+    pool = top.select("lang", F.col("doc_id").cast("string").alias("url"), F.col("rn").alias("pos"), (1.0 / F.col("rn")).alias("score"), F.array_distinct(text.terms("text")).alias("tokens"))
+    return ranking.diversify(pool, group="lang").select("lang", "url", "pos", "place")
+
+
+# -- markup -------------------------------------------------------------------------------------
+
+
+def _esc(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _nation_table(spark, d) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> <b>"), _esc(F.col("n_name")), F.lit("</b></td></tr>"))
+    body = n.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("h")))), lambda x: x["h"]), "\n").alias("rows"))
+    head = F.lit("<tr><th>key</th><th>name</th></tr>")
+    return body.select("r_regionkey", F.concat(F.lit("<p>x</p><table class=t><caption>"), _esc(F.col("r_name")), F.lit("</caption>"), head, F.col("rows"), F.lit("</table>")).alias("html"))
+
+
+@query("SELECT r_regionkey::INT AS r_regionkey, r_name AS caption, 'key,name' AS headers, n_nationkey::VARCHAR AS k, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_round_trip(spark, d):
+    t = _nation_table(spark, d).select("r_regionkey", F.explode(structure.extract_tables.column("html")).alias("t"))
+    return t.select("r_regionkey", F.col("t.caption").alias("caption"), F.array_join("t.headers", ",").alias("headers"), F.explode("t.rows").alias("row")).select(
+        "r_regionkey", "caption", "headers", F.get("row", F.lit(0)).alias("k"), F.get("row", F.lit(1)).alias("name")
+    )
+
+
+@query("""
+    SELECT r_regionkey, '**' || r_name || '**' || chr(10) || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
+           || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name
+""")
+def table_markdown(spark, d):
+    t = _nation_table(spark, d).select("r_regionkey", F.explode(structure.extract_tables.column("html")).alias("t"))
+    return t.select("r_regionkey", structure.table_to_markdown(F.col("t")).alias("md"))
+
+
+@query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def html_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.html_title_udf("html").alias("title"))
+
+
+@query()
+def page_texts(spark, d):
+    """Main content of every page as text."""
+    return table(spark, d, "pages").select("page_id", markup.page_text_udf("html").alias("text"))
+
+
+@query("""
+    SELECT doc_id, 'T ' || doc_id AS title, array_to_string(list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), '<', ' '), '&', '+'), chr(10)),
+           lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160))), lambda x: length(x) > 0), chr(10)) AS body FROM documents
+""")
+def html_round_trip(spark, d):
+    """Documents wrapped in markup, one paragraph a line, and read back."""
+    body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit(" ")), F.lit("&"), F.lit("&#43;"))
+    title = F.concat(F.lit("<title>T "), F.col("doc_id").cast("string"), F.lit("</title>"))
+    html = F.concat(F.lit("<html><head>"), title, F.lit("</head><body><script>no()</script><div>"), F.replace(body, F.lit("\n"), F.lit("</div><div>")), F.lit("</div><nav>menu</nav></body></html>"))
+    docs = table(spark, d, "documents").select("doc_id", html.alias("html"))
+    return docs.select("doc_id", markup.html_title_udf("html").alias("title"), markup.html_to_text_udf("html").alias("body"))
+
+
+@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href=\"(/[^\"#]+)\"', 1))) AS href FROM pages")
+def page_links(spark, d):
+    """Links of every page, back in the form in which they were written."""
+    found = table(spark, d, "pages").select("page_id", F.explode(structure.links_from.column("html", "url")).alias("link"))
+    return found.select("page_id", F.try_url_decode(F.replace(F.regexp_replace("link", "^[a-z]+://[^/]+", ""), F.lit("+"), F.lit("%2B"))).alias("href")).distinct()
+
+
+_PART_LD = "concat('<title>x</title><script type=\"application/ld+json\">{\"@type\":\"Product\",\"headline\":\"', p_name, '\",\"description\":\"', p_type, '\",\"author\":[{\"name\":\"', p_brand, '\"},\"Anon\"],\"offers\":', p_size, '}</script><meta property=\"og:title\" content=\"no\"><meta content=\"Shop &amp; Co\" property=\"og:site_name\">')"
+
+
+@query("SELECT p_partkey, 'Product' AS type, p_name AS title, p_type AS description, 'Shop & Co' AS site_name, p_brand || ',Anon' AS authors FROM part")
+def metadata_round_trip(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr(_PART_LD).alias("html"))
+    m = p.select("p_partkey", structure.page_metadata_udf("html").alias("m"))
+    return m.select("p_partkey", "m.type", "m.title", "m.description", "m.site_name", F.array_join("m.authors", ",").alias("authors"))
+
+
+@query("SELECT p_partkey, p_size::INT AS size, p_name AS name FROM part")
+def json_ld_round_trip(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.explode(structure.json_ld_texts.column(F.expr(_PART_LD))).alias("j"))
+    v = F.try_parse_json("j")
+    return p.select("p_partkey", F.try_variant_get(v, "$.offers", "int").alias("size"), F.try_variant_get(v, "$.headline", "string").alias("name"))
+
+
+@query("SELECT s_suppkey, s_name AS author, 'a & b' AS descr FROM supplier")
+def meta_tags_round_trip(spark, d):
+    html = F.concat(F.lit("<META NAME='Author' content='"), F.col("s_name"), F.lit("'><meta name=author content=no><meta content=\"a &amp; b\" name=\"Description\">"))
+    m = table(spark, d, "supplier").select("s_suppkey", structure.meta_tags.column(html).alias("m"))
+    return m.select("s_suppkey", F.try_element_at("m", F.lit("author")).alias("author"), F.try_element_at("m", F.lit("description")).alias("descr"))
+
+
+def _feeds(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    item = F.concat(F.lit("<item><title><![CDATA["), F.col("o_orderpriority"), F.lit("]]></title><link>https://x.org/o/"), F.col("o_orderkey").cast("string"), F.lit("</link><guid>"), F.col("o_orderkey").cast("string"), F.lit("</guid></item>"))
+    return o.groupBy("o_custkey").agg(F.array_join(F.collect_list(item), "").alias("items")).select("o_custkey", F.concat(F.lit("<rss><channel><title>Orders of "), F.col("o_custkey").cast("string"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>")).alias("xml"))
+
+
+@query("SELECT o_custkey, 'rss' AS kind, 'Orders of ' || o_custkey AS feed, o_orderpriority AS title, 'https://x.org/o/' || o_orderkey AS url, o_orderkey::VARCHAR AS id FROM orders")
+def feed_round_trip(spark, d):
+    f = _feeds(spark, d).select("o_custkey", structure.parse_feed_udf("xml").alias("f"))
+    return f.select("o_custkey", F.col("f.kind").alias("kind"), F.col("f.title").alias("feed"), F.explode("f.items").alias("i")).select("o_custkey", "kind", "feed", "i.title", "i.url", "i.id")
+
+
+@query("SELECT c_nationkey, 'https://x.org/c/' || c_custkey AS loc, '2024-01-01' AS lastmod FROM customer")
+def sitemap_round_trip(spark, d):
+    entry = F.concat(F.lit("<url><loc>https://x.org/c/"), F.col("c_custkey").cast("string"), F.lit("</loc><lastmod>2024-01-01</lastmod></url>"))
+    xml = table(spark, d, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    return xml.select("c_nationkey", F.explode(structure.parse_sitemap_udf("xml")["urls"]).alias("u")).select("c_nationkey", "u.loc", "u.lastmod")
+
+
+@query("""
+    SELECT page_id, CASE WHEN p LIKE '/en/9%' THEN true WHEN p LIKE '/en/%' THEN false WHEN regexp_matches(p, '^/de/.*\\.html$') THEN false ELSE true END AS allowed, 2500::BIGINT AS crawl_delay_ms
+    FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1), '#.*$', '') AS p FROM pages)
+""")
+def robots_rules(spark, d):
+    body = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: mill\nUser-agent: *\nDisallow: /en/\nAllow: /en/9\nDisallow: /de/*.html$\nDisallow:\nCrawl-delay: 2.5\nSitemap: https://x.org/s.xml\n"
+    p = table(spark, d, "pages").select("page_id", "url", structure.parse_robots_udf(F.lit(body), F.lit("textmill/1.0")).alias("r"))
+    return p.select("page_id", structure.is_allowed("r", "url").alias("allowed"), F.col("r.crawl_delay_ms").alias("crawl_delay_ms"))
+
+
+# -- filters over extracted text ----------------------------------------------------------------
+
+_BANNER = "We use cookies to improve. Accept all"
+
+
+@query(f"""
+    SELECT doc_id, len(kept) AS n_lines, len(every) - len(kept) AS dropped, md5(array_to_string(kept, chr(10))) AS sum FROM (
+        SELECT doc_id, every, list_filter(every, lambda x: NOT (n(x) >= 2 OR (n(x) = 1 AND length(trim(x)) < 120))) AS kept
+        FROM (SELECT doc_id, string_split({sql.lit(_BANNER)} || chr(10) || coalesce(text, ''), chr(10)) AS every FROM documents))
+""".replace("n(x)", "(" + " + ".join(f"regexp_matches(x, {sql.lit('(?i)' + p)})::INT" for p in markup.CONSENT) + ")"))
+def consent_lines(spark, d):
+    body = F.concat(F.lit(_BANNER + "\n"), F.coalesce("text", F.lit("")))
+    s = table(spark, d, "documents").select("doc_id", markup.strip_consent(body).alias("s"))
+    return s.select("doc_id", F.size(F.split("s.text", "\n")).cast("bigint").alias("n_lines"), F.col("s.dropped").cast("bigint").alias("dropped"), F.md5("s.text").alias("sum"))
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN length(t) >= 2000 THEN NULL WHEN conv_id % 3 = 0 THEN 'cookie/consent wall' WHEN conv_id % 3 = 1 THEN 'JavaScript-required shell' END AS reason
+    FROM (SELECT conv_id, turn, trim(CASE conv_id % 3 WHEN 0 THEN 'Please accept all cookies. ' WHEN 1 THEN 'You must enable JavaScript. ' ELSE '' END || coalesce(text, ''), ' ' || chr(10) || chr(9)) AS t FROM conversations)
+""")
+def junk_extractions(spark, d):
+    k = F.col("conv_id") % 3
+    head = F.when(k == 0, "Please accept all cookies. ").when(k == 1, "You must enable JavaScript. ").otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", markup.junk_reason(F.concat(head, F.coalesce("text", F.lit("")))).alias("reason"))
+
+
+@query("""
+    SELECT doc_id, length(c) AS n, md5(c) AS sum FROM (
+        SELECT doc_id, CASE WHEN length(t) <= 4000 THEN t ELSE (CASE WHEN last > 2400 THEN left(t, last::INT) ELSE left(t, 4000) END) || chr(10) || chr(10) || '… [truncated]' END AS c
+        FROM (SELECT doc_id, text AS t, CASE WHEN strpos(left(text, 4000), chr(10)) > 0 THEN 4000 - strpos(reverse(left(text, 4000)), chr(10)) ELSE -1 END AS last FROM documents))
+""")
+def capped_extracts(spark, d):
+    c = table(spark, d, "documents").select("doc_id", markup.cap_extract("text", "summary").alias("c"))
+    return c.select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("sum"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN false ELSE true END AS ok,
+           CASE WHEN doc_id % 3 = 0 THEN 'replacement characters throughout (wrong character map)' END AS reason FROM documents WHERE length(trim(text)) > 0
+""")
+def text_quality(spark, d):
+    """The gate over documents, a third of them with replacement characters throughout."""
+    broken = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "[aeiou]|$", "�")).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
+    return docs.select("doc_id", markup.assess_text(broken).alias("v")).select("doc_id", "v.ok", "v.reason")
+
+
+@query("SELECT doc_id, text AS body FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\xff]')")
+def charset_round_trip(spark, d):
+    """Documents of Latin-1 letters, encoded so, declared in a header, decoded."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\xff]"))
+    return docs.select("doc_id", raw.decoded(F.encode("text", "ISO-8859-1"), F.lit("text/html; charset=ISO-8859-1")).alias("body"))
+
+
+@query("SELECT s_suppkey, s_name AS body FROM supplier")
+def pdf_round_trip(spark, d):
+    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj\nstream\nBT ("), F.col("s_name"), F.lit(") Tj ET\nendstream\nendobj"))
+    return table(spark, d, "supplier").select("s_suppkey", raw.pdf_text_udf(F.encode(pdf, "ISO-8859-1")).alias("body"))
+
+
+@query()
+def extract_responses(spark, d):
+    """The router over stored responses of all kinds."""
+    k = F.col("page_id") % 5
+    stored = table(spark, d, "pages").select(
+        "url",
+        F.when(k == 4, 404).otherwise(200).alias("status"),
+        F.when(k == 1, "text/plain").when(k == 2, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
+        F.encode(F.when(k == 2, "%PDF-1.4 stream\nBT (Hello) Tj ET\nendstream").otherwise(F.col("html")), "UTF-8").alias("bytes"),
+    )
+    return raw.extract(stored).drop("bytes")
+
+
+# -- citations ----------------------------------------------------------------------------------
+
+
+def _claims(spark, d) -> DataFrame:
+    k = F.col("l_orderkey").cast("string")
+    line = F.concat(F.lit("Order "), k, F.lit(" shipped [S"), (F.col("l_suppkey") % 40).cast("string"), F.lit("] and [E1](x) `[S999]`."))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", line.alias("claim"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'S' || (l_suppkey % 40) AS cited FROM lineitem")
+def citation_tokens(spark, d):
+    return _claims(spark, d).select("l_orderkey", "l_linenumber", F.explode(citations.citation_tokens("claim")).alias("cited"))
+
+
+@query("SELECT DISTINCT 'S' || (l_suppkey % 40) AS token FROM lineitem WHERE l_suppkey % 40 >= 30")
+def dangling_tokens(spark, d):
+    """Cited tokens that no source has."""
+    cited = _claims(spark, d).select(F.explode(citations.citation_tokens("claim")).alias("token"))
+    known = spark.range(30).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("token"))
+    return cited.join(known, "token", "left_anti").distinct()
+
+
+@query("SELECT d.doc_id FROM (SELECT DISTINCT doc_id FROM documents) d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def uncited_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query()
+def claim_units(spark, d):
+    u = table(spark, d, "documents").select("doc_id", F.posexplode(citations.claim_units_column("text")).alias("no", "u"))
+    return u.select("doc_id", "no", F.col("u.kind").alias("kind"), F.size(citations.unit_texts(F.col("u"))).alias("n_texts"), F.sha1(F.array_join(citations.unit_texts(F.col("u")), "\n")).alias("sum"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR || ',' || (1000 + l_linenumber) || '.5,42' AS figures FROM lineitem WHERE l_orderkey > 42 AND l_orderkey NOT BETWEEN 1000 AND 1010")
+def report_numerals(spark, d):
+    """Figures of a sentence: a plain number, one with a group and a decimal comma, a percentage, a single digit."""
+    li = table(spark, d, "lineitem").where("l_orderkey > 42 AND l_orderkey NOT BETWEEN 1000 AND 1010")
+    thousand = F.concat(F.lit("1'00"), F.col("l_linenumber").cast("string"), F.lit(",5"))
+    said = F.concat(F.lit("In order "), F.col("l_orderkey").cast("string"), F.lit(" we saw "), thousand, F.lit(" units [S12], 42% of 7 `99` [33](u44)."))
+    return li.select("l_orderkey", "l_linenumber", F.array_join(citations.numerals(F.replace(said, F.lit("(u44)"), F.lit(""))), ",").alias("figures"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'src/f' || l_suppkey || '.py' AS path, l_linenumber::BIGINT AS s, (l_linenumber + 3)::BIGINT AS e FROM lineitem")
+def file_lines(spark, d):
+    token = F.concat(F.lit("src/f"), F.col("l_suppkey").cast("string"), F.lit(".py:"), F.col("l_linenumber").cast("string"), F.lit("-"), (F.col("l_linenumber") + 3).cast("string"))
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", citations.file_line(token).alias("f"))
+    return f.select("l_orderkey", "l_linenumber", "f.path", F.col("f.start").alias("s"), F.col("f.end").alias("e"))
+
+
+#: Event time in epoch milliseconds; the column has no time zone and is read as UTC.
+def _ms() -> Column:
+    return F.unix_millis(F.col("ts").cast("timestamp"))
+
+
+# -- state --------------------------------------------------------------------------------------
+
+
+def _observations(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        F.concat(F.lit("https://x.org/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", 503).when(k % 10 == 0, 304).otherwise(200).alias("status"),
+        F.when(k % 3 == 0, F.concat(F.lit("e"), (k % 2).cast("string"))).alias("etag"),
+        F.when(k % 3 == 1, F.concat(F.lit("m"), (k % 4).cast("string"))).alias("last_modified"),
+        F.sha2(F.col("event_type"), 256).alias("content_hash"),
+    )
+
+
+_OBSERVED = """
+    o AS (SELECT 'https://x.org/' || user_id AS url, event_id AS seq, CASE WHEN event_type = 'error' THEN 503 WHEN k % 10 = 0 THEN 304 ELSE 200 END AS status,
+                 CASE WHEN k % 3 = 0 THEN 'e' || (k % 2) END AS etag, CASE WHEN k % 3 = 1 THEN 'm' || (k % 4) END AS lm, sha256(event_type) AS h
+          FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))
+"""
+
+
+@query(f"""
+    WITH {_OBSERVED}, p AS (
+        SELECT *, last_value(CASE WHEN status BETWEEN 200 AND 299 THEN {{'e': etag, 'm': lm, 'h': h}} END IGNORE NULLS) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o)
+    SELECT url, seq,
+           CASE WHEN status = 304 THEN false WHEN status > 299 THEN NULL WHEN b IS NULL THEN false WHEN b.e IS NOT NULL AND etag IS NOT NULL THEN b.e <> etag
+                WHEN b.m IS NOT NULL AND lm IS NOT NULL THEN b.m <> lm ELSE b.h <> h END AS changed,
+           CASE WHEN status = 304 THEN 'not-modified' WHEN status > 299 OR b IS NULL THEN 'unknown' WHEN b.e IS NOT NULL AND etag IS NOT NULL THEN 'etag'
+                WHEN b.m IS NOT NULL AND lm IS NOT NULL THEN 'last-modified' ELSE 'hash' END AS via
+    FROM p
+""")
+def change_verdicts(spark, d):
+    return state.changes(_observations(spark, d)).select("url", "seq", "changed", "via")
+
+
+@query("""
+    WITH a AS (SELECT user_id AS host, event_id AS seq, epoch_ms(ts) // 100000 AS now_ms FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) - 1 AS k FROM a)
+    SELECT host, seq, max(now_ms - k * 400) OVER (PARTITION BY host ORDER BY seq) + k * 400 AS departs_ms FROM r
+""")
+def host_pacing(spark, d):
+    a = table(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.floor(_ms() / 100000).cast("bigint").alias("now_ms"), F.lit(400).cast("bigint").alias("delay_ms"))
+    return state.host_slots(a).select("host", "seq", "departs_ms")
+
+
+_NOW, _TTL = 1706572800000, 14 * 86400000
+
+
+def _cache(spark, d) -> DataFrame:
+    e = table(spark, d, "events").where("event_type <> 'error'")
+    return e.select(
+        F.concat(F.lit("https://x.org/"), F.col("user_id").cast("string")).alias("url"),
+        F.lit("native").alias("namespace"),
+        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("text"),
+        F.when(F.col("event_id") % 2 == 0, "e").alias("etag"),
+        _ms().alias("cached_at"),
+    )
+
+
+@query(f"""
+    SELECT count(*) AS entries, sum(length('v' || event_id))::BIGINT AS bytes, count(*) FILTER ({_NOW} - epoch_ms(ts) < {_TTL}) AS fresh,
+           count(*) FILTER ({_NOW} - epoch_ms(ts) >= {_TTL}) AS stale, min(epoch_ms(ts)) AS oldest, max(epoch_ms(ts)) AS newest FROM events WHERE event_type <> 'error'
+""")
+def cache_stats(spark, d):
+    return state.cache_stats(_cache(spark, d), _NOW, _TTL)
+
+
+@query(f"""
+    WITH c AS (SELECT 'https://x.org/' || user_id AS url, arg_max({{'t': 'v' || event_id, 'e': CASE WHEN event_id % 2 = 0 THEN 'e' END, 'at': epoch_ms(ts)}}, epoch_ms(ts)) AS h FROM events WHERE event_type <> 'error' AND user_id % 2 = 0 AND event_id % 7 = 0 AND epoch_ms(ts) < {_NOW - _TTL // 2} GROUP BY 1),
+    r AS (SELECT DISTINCT 'https://x.org/' || user_id AS url, CASE user_id % 3 WHEN 0 THEN 304 WHEN 1 THEN 200 ELSE 500 END AS st, CASE WHEN user_id % 3 = 1 THEN 'new' ELSE '' END AS t FROM events)
+    SELECT r.url, CASE WHEN h IS NOT NULL AND {_NOW} - h.at < {_TTL} THEN h.t WHEN st = 304 AND h.e IS NOT NULL THEN h.t WHEN t <> '' THEN t WHEN h IS NOT NULL THEN h.t ELSE '' END AS text,
+           CASE WHEN h IS NOT NULL AND {_NOW} - h.at < {_TTL} THEN 'cache' WHEN st = 304 AND h.e IS NOT NULL THEN 'cache' WHEN t <> '' THEN 'response' WHEN h IS NOT NULL THEN 'stale' ELSE 'none' END AS source
+    FROM r LEFT JOIN c USING (url)
+""")
+def cache_read_through(spark, d):
+    u = table(spark, d, "events").select("user_id").distinct()
+    k, address = F.col("user_id") % 3, F.concat(F.lit("https://x.org/"), F.col("user_id").cast("string"))
+    got = u.select(address.alias("url"), F.when(k == 0, 304).when(k == 1, 200).otherwise(500).alias("status"), F.when(k == 1, "new").otherwise("").alias("text"))
+    e = table(spark, d, "events").where("event_type <> 'error' AND user_id % 2 = 0 AND event_id % 7 = 0").where(_ms() < _NOW - _TTL // 2)
+    held = e.select(address.alias("url"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("text"), F.when(F.col("event_id") % 2 == 0, "e").alias("etag"), _ms().alias("cached_at"))
+    return state.read_through(got.select("url"), held, got, _NOW, _TTL).select("url", "text", "source")
+
+
+@query()
+def cache_keys(spark, d):
+    return state.with_cache_key(table(spark, d, "pages").select("page_id", "url"), language=F.lit("en")).select("page_id", "key")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'rate-limited (HTTP 503)' ELSE 'unreachable (status 500)' END AS why, event_type = 'error' AS throttled FROM events")
+def throttle_reasons(spark, d):
+    status = F.when(F.col("event_type") == "error", 503).otherwise(500)
+    return table(spark, d, "events").select("event_id", responses.throttle_reason(status).alias("r")).select("event_id", "r.why", "r.throttled")
+
+
+@query("SELECT event_id, least(5000, (event_id % 20) * 1000)::BIGINT AS wait_ms, event_id % 3 = 0 OR event_id % 5 = 0 AS limited FROM events")
+def retry_hints(spark, d):
+    k = F.col("event_id")
+    headers = F.create_map(F.lit("retry-after"), (k % 20).cast("string"), F.lit("x-ratelimit-remaining"), F.when(k % 5 == 0, "0").otherwise("9"))
+    e = table(spark, d, "events").select("event_id", headers.alias("h"), F.when(k % 3 == 0, 429).otherwise(403).alias("status"))
+    return e.select("event_id", responses.retry_after_ms(F.try_element_at("h", F.lit("retry-after"))).alias("wait_ms"), responses.detect_rate_limited("status", "h").alias("limited"))
+
+
+@query()
+def site_crawl(spark, d):
+    """A walk over a site whose pages are parts: part p links to 2p and 2p + 1."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    at = lambda c: F.concat(F.lit("https://x.org/p/"), c.cast("string"))
+    pages = p.select(at(F.col("p_partkey")).alias("url"), F.col("p_name").alias("title"), F.col("p_name").alias("text"))
+    links = p.select(at(F.col("p_partkey")).alias("url"), F.posexplode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 1)).alias("pos", "to")).select("url", "pos", at(F.col("to")).alias("link"))
+    return state.crawl(pages, links, "https://x.org/p/1", max_pages=20, max_depth=4)["pages"]
+
+
+# -- services -----------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT o_orderkey, o_orderkey AS number, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'draft' ELSE o_orderstatus END AS state, 'a,' || o_orderpriority AS labels FROM orders
+""")
+def forge_items(spark, d):
+    k = F.col("o_orderkey")
+    item = F.concat(
+        F.lit('{"number":'), k.cast("string"), F.lit(',"title":" Order '), k.cast("string"), F.lit(' ","html_url":"u","state":"'), F.col("o_orderstatus"),
+        F.lit('","draft":'), (k % 2 == 0).cast("string"), F.lit(',"labels":["a",{"name":"'), F.col("o_orderpriority"), F.lit('"}],"body":null}'),
+    )
+    o = table(spark, d, "orders").select("o_orderkey", F.explode(apis.forge_items(F.concat(F.lit('{"items":[null,'), item, F.lit("]}")), "pr")).alias("i"))
+    return o.select("o_orderkey", "i.number", "i.title", "i.state", F.array_join("i.labels", ",").alias("labels"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END AS registry, p_name AS name, '1.' || p_size AS version,
+           'https://github.com/o/r' || p_partkey AS repository, CASE WHEN p_partkey % 3 < 2 THEN 'MIT' END AS license,
+           CASE p_partkey % 3 WHEN 0 THEN 'use y' WHEN 1 THEN 'every file for this release is yanked' END AS deprecated
+    FROM part
+""")
+def package_facts(spark, d):
+    k, v, n = F.col("p_partkey"), F.concat(F.lit("1."), F.col("p_size").cast("string")), F.col("p_name")
+    s = k.cast("string")
+    npm = F.concat(F.lit('{"name":"'), n, F.lit('","dist-tags":{"latest":"'), v, F.lit('"},"versions":{"'), v, F.lit('":{"license":"MIT","deprecated":"use y","repository":{"url":"git+https://github.com/o/r'), s, F.lit('.git"}}}}'))
+    pypi = F.concat(F.lit('{"info":{"name":"'), n, F.lit('","version":"'), v, F.lit('","license":"MIT","project_urls":{"Source":"git@github.com:o/r'), s, F.lit('.git"}},"urls":[{"yanked":true}]}'))
+    crates = F.concat(F.lit('{"crate":{"name":"'), n, F.lit('","max_stable_version":"'), v, F.lit('","repository":"o/r'), s, F.lit('"}}'))
+    registry = F.when(k % 3 == 0, "npm").when(k % 3 == 1, "pypi").otherwise("crates")
+    p = table(spark, d, "part").select("p_partkey", registry.alias("registry"), F.when(k % 3 == 0, npm).when(k % 3 == 1, pypi).otherwise(crates).alias("body"))
+    return apis.package_facts(p).select("p_partkey", "registry", "name", "version", "repository", "license", "deprecated")
+
+
+@query("SELECT s_suppkey, 'gitlab.com' AS host, 'grp/sub' AS owner, 'r' || s_suppkey AS repo, 'https://gitlab.com/grp/sub/r' || s_suppkey || '.git' AS clone_url, 'gitlab.com-grp-sub-r' || s_suppkey AS slug FROM supplier")
+def resolve_repos(spark, d):
+    u = F.concat(F.lit("https://gitlab.com/grp/sub/r"), F.col("s_suppkey").cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", apis.resolve_repo(u).alias("r")).select("s_suppkey", "r.host", "r.owner", "r.repo", "r.clone_url", "r.slug")
+
+
+@query("""
+    WITH h AS (SELECT o_custkey AS query, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS rung FROM orders)
+    SELECT query, o_orderkey, rung FROM (SELECT *, min(rung) OVER (PARTITION BY query) AS m FROM h) WHERE rung = m
+""")
+def search_cascade(spark, d):
+    rung = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2)
+    return apis.cascade(table(spark, d, "orders").select(F.col("o_custkey").alias("query"), "o_orderkey", rung.alias("rung")))
+
+
+@query("SELECT s_suppkey, 0 AS pos, 'https://x.org/' || s_suppkey AS url, 'R & D' AS title, s_name AS description FROM supplier")
+def search_records(spark, d):
+    body = F.concat(F.lit('{"success":true,"data":{"web":[{"url":"https://x.org/'), F.col("s_suppkey").cast("string"), F.lit('","title":"R &amp; D","snippet":"<b>'), F.col("s_name"), F.lit('</b>"},{"title":"no url"}]}}'))
+    rows = apis.search_records(table(spark, d, "supplier").select("s_suppkey", body.alias("body")))
+    return rows.select("s_suppkey", "pos", "url", "title", "description")
+
+
+@query("SELECT s_suppkey, 'https://x.org/' || s_suppkey AS url, s_name AS title, 'says so' AS snippet FROM supplier")
+def result_pages(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    html = F.concat(
+        F.lit('<a class="result__a" href="//duckduckgo.com/y.js?ad">ad</a><a rel=x class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2F'), k,
+        F.lit('&amp;rut=1"><b>'), F.col("s_name"), F.lit('</b></a><a class="result__snippet" href=x>says <b>so</b></a>'),
+    )
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(structure_hits(html)).alias("h")).select("s_suppkey", "h.url", "h.title", "h.snippet")
+
+
+def structure_hits(html: Column) -> Column:
+    return apis.result_hits.column(html, F.lit("ddg"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS same FROM supplier")
+def same_commits(spark, d):
+    whole = F.sha1(F.col("s_name"))
+    other = F.when(F.col("s_suppkey") % 2 == 0, F.substring(whole, 1, 10)).otherwise(F.substring(whole, 1, 6))
+    return table(spark, d, "supplier").select("s_suppkey", apis.same_commit(whole, other).alias("same"))
+
+
+@query("""
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'us' ELSE lang END AS region, lang || '-' || upper(CASE lang WHEN 'en' THEN 'us' ELSE lang END) || ',' || lang || ';q=0.9' || CASE WHEN lang = 'en' THEN '' ELSE ',en;q=0.5' END AS header
+    FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')
+""")
+def locale_headers(spark, d):
+    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de", "fr", "es"))
+    return docs.select("doc_id", locale.resolve_region("lang").alias("region"), locale.accept_language("lang").alias("header"))
+
+
+@query("SELECT c_nationkey, b AS batch, count(*) AS n, min(c_custkey) AS first FROM (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 8 AS b FROM customer) GROUP BY ALL")
+def batches(spark, d):
+    """Order-preserving batches of 8 per worklist."""
+    no = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.floor(no / 8).cast("bigint").alias("batch"))
+    return c.groupBy("c_nationkey", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
