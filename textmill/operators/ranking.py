@@ -247,7 +247,9 @@ def diversify(items: DataFrame, tokens: str = "tokens", score: str = "score", ur
         place[order] = np.arange(1, len(pdf) + 1)
         return pdf.assign(place=place)
 
-    return items.groupBy(group if group else F.lit(0)).applyInPandas(run, schema)
+    if group:
+        return items.groupBy(group).applyInPandas(run, schema)
+    return items.withColumn("_pool", F.lit(0)).groupBy("_pool").applyInPandas(lambda pdf: run(pdf.drop(columns="_pool")), schema)
 
 
 # -- the whole pipeline -------------------------------------------------------------------------
@@ -293,7 +295,7 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
         pdf = pdf.iloc[order[:limit]].reset_index(drop=True)
         return pd.DataFrame({"rank": np.arange(1, len(pdf) + 1), "url": pdf["url"], "title": pdf["title"], "score": pdf["score"].round(4), "matched": pdf["matched"]})
 
-    return words.groupBy(F.lit(0)).applyInPandas(run, out)
+    return words.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(run, out)
 
 
 def hybrid_search(docs: DataFrame, question: str, question_vector: Sequence[float] | None = None, limit: int = 10, k: int = 60, pos: str = "pos") -> DataFrame:

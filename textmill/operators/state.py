@@ -172,7 +172,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
     """
     spark = pages.sparkSession
     known = pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"])
-    out = links.withColumn("_from", canonicalize_url("url")).withColumn("_key", canonicalize_url("link"))
+    out = links.select(canonicalize_url("url").alias("_from"), "pos", "link", canonicalize_url("link").alias("_to"))
     if not cross_origin:
         out = out.where(origin_of("link") == origin_of(F.lit(seed)))
     start = spark.createDataFrame([(seed, 0, 0, 0)], "url string, depth int, p1 long, p2 long").withColumn("_key", canonicalize_url("url"))
@@ -199,7 +199,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
         n = taken.count()
         full = n >= left
         left -= n
-        following = taken.join(out, taken["_key"] == out["_from"]).select(F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), out["_key"])
+        following = taken.join(out, F.col("_key") == F.col("_from")).select(F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), F.col("_to").alias("_key"))
         if ahead is not None and depth == 0:
             following = following.unionByName(ahead.select(following.columns))
         first = Window.partitionBy("_key").orderBy("p1", "p2")
