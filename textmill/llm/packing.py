@@ -11,10 +11,8 @@ powers of two, the lengths that need no padding.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +20,18 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from textmill.llm.bpe_count import byte_alphabet
 from textmill.llm.common import narrow_batches
 
 #: Fixed by the vocabulary's file: clitics, letters, single digits, other signs.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters on which all Unicode versions and libraries agree; texts with others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa0-įı-ɏ‐-‧]*")
-REMEMBERED_WORDS = 200_000
+REMEMBERED_CHUNKS = 250_000
 
 
 class WordIds(dict):
-    """``word -> ids``, filled by the tokenizer library; bounded in size."""
+    """``run of text without white space -> packed ids``, filled by the tokenizer library; bounded in size."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -41,23 +40,39 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        #: the shortcut is for word-end vocabularies that fold case and split as _WORDS does
+        #: the shortcut is for word-end vocabularies that fold case, drop white space and split as _WORDS does
+        self.model, self.letters, self.words = self.tokenizer.model, byte_alphabet(), {}
+        self.before: dict[str, bytes] = {}
         self.by_words = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str().replace(" ", "")
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 40:
-            if len(self) >= REMEMBERED_WORDS:
+    def word(self, word: str) -> bytes:
+        """Packed ids of one word: the library's merge model over the word's byte letters."""
+        packed = self.words.get(word)
+        if packed is None:
+            letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+            packed = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+            if len(word) <= 40:
+                if len(self.words) >= REMEMBERED_CHUNKS:
+                    self.words.clear()
+                self.words[word] = packed
+        return packed
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.before.get(chunk)
+        if packed is None:
+            packed = b"".join(map(self.word, _WORDS.findall(chunk)))
+        if len(chunk) <= 40:
+            if len(self) >= REMEMBERED_CHUNKS:  # one generation back stays at hand, so that frequent runs survive
+                self.before = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[chunk] = packed
+        return packed
 
     def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text as the library gives them, each distinct word encoded once."""
+        """The ids of a whole text as the library gives them; each distinct run between white space is encoded once."""
         text = text or ""
         if self.by_words and _PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
-            found = array("I", chain.from_iterable(map(self.__getitem__, _WORDS.findall(text.lower()))))
-            return np.frombuffer(found, dtype=np.uint32) if found else np.zeros(0, np.uint32)
+            return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
