@@ -1,0 +1,140 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textmill.functions import locale, structure
+from textmill.operators import ranking, state
+from textmill.sources import apis, bytes as raw
+
+
+def test_spans_are_copied_and_rows_padded():
+    page = (
+        "<table><caption>C &amp; D</caption><tr><th>a</th><th colspan=2>b</th></tr>"
+        "<tr><td rowspan='2'>1</td><td>2</td><td>3</td></tr><tr><td>4<br>5</td></tr></table><table><tr><th>only</th></tr></table>"
+    )
+    assert structure.extract_tables(page) == [{"caption": "C & D", "headers": ["a", "b", "b"], "rows": [["1", "2", "3"], ["1", "4 5", ""]]}]
+
+
+def test_a_row_label_makes_no_header():
+    assert structure.extract_tables("<table><tr><th>k</th><td>v</td></tr></table>")[0]["headers"] == []
+    wide = structure.extract_tables("<table><tr><td colspan=9999>x</td></tr></table>")[0]
+    assert len(wide["rows"][0]) == 100
+
+
+def test_metadata_prefers_embedded_json():
+    page = """<script type="application/ld+json">{"@graph":[{"@type":["Article"],"headline":"H","author":[{"name":"A"},"B"],"publisher":{"name":"P"}}]}</script>
+    <script type='application/ld+json'>{bad,}</script><meta property="og:title" content="no"><meta name="author" content="B"><meta name="description" content="d &amp; e"><title>T</title>"""
+    m = structure.page_metadata(page)
+    assert (m["title"], m["type"], m["authors"], m["site_name"], m["description"]) == ("H", "Article", ["A", "B"], "P", "d & e")
+    assert structure.page_metadata("<title> x\n y </title>")["title"] == "x y"
+
+
+def test_feeds():
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>E</title><link rel="self" href="s"/><link href="u&amp;v"/><updated>2024</updated></entry></feed>'
+    f = structure.parse_feed(atom)
+    assert (f["kind"], f["title"], f["items"][0]["url"], f["items"][0]["published"]) == ("atom", "F", "u&v", "2024")
+    assert structure.parse_feed("<html></html>") is None
+    page = '<link rel="alternate" type="application/rss+xml" href="/f.xml"><link rel=stylesheet href=x>'
+    assert structure.discover_feeds(page, "https://x.org/a/b") == ["https://x.org/f.xml"]
+
+
+def test_sitemap_index():
+    s = structure.parse_sitemap("<sitemapindex><sitemap><loc>https://x.org/1.xml</loc></sitemap></sitemapindex>")
+    assert s == {"urls": [], "sitemaps": ["https://x.org/1.xml"]}
+
+
+@pytest.mark.parametrize(
+    ("agent", "path", "allowed"),
+    [("mill", "/a/x", False), ("mill", "/a/x/ok", True), ("mill", "/q?x=1", False), ("other", "/a/x", True), ("other", "/z.html", False), ("other", "/z.html?x", True)],
+)
+def test_robots(spark, agent, path, allowed):
+    body = "User-agent: mill\nDisallow: /a/\nAllow: /a/*/ok\nDisallow: /q?\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /*.html$\nSitemap: https://x.org/s.xml"
+    r = spark.createDataFrame([(body, agent, f"https://x.org{path}")], "b string, a string, u string").withColumn("r", structure.parse_robots_udf("b", "a"))
+    assert r.select(structure.is_allowed("r", "u")).first()[0] is allowed
+    assert structure.parse_robots("", "x")["absent"] is True
+
+
+def test_links():
+    page = '<a href="b">1</a><a href="/b#x">2</a><a class=k href="mailto:x@y">3</a><a href="http://www.x.org/a/b/?utm_source=1">4</a><a href="http://[">5</a>'
+    assert structure.links_from(page, "http://x.org/a/c") == ["http://x.org/a/b"]
+
+
+def test_charsets():
+    assert raw.decode_body(b"\x80\x93\x81", "text/html; charset=latin1") == "€“\x81"
+    assert raw.decode_body("é".encode("utf-16-le"), "x; charset=utf-16le") == "é"
+    assert raw.decode_body(b"\xef\xbb\xbf\xc3\xa9", "x; charset=latin1") == "é"
+    assert raw.decode_body(b'<meta charset="iso-8859-1">\xe9') == '<meta charset="iso-8859-1">é'
+    assert raw.decode_body(b"\xff", "x; charset=no-such") == "�"
+
+
+def test_pdf_text_layer():
+    import zlib
+
+    packed = zlib.compress(b"BT [(He) -20 (llo) -300 (wor\\154d)] TJ T* <4142> Tj ET")
+    assert raw.pdf_text(b"%PDF stream\n" + packed + b"\nendstream") == "Hello world\nAB"
+    assert raw.pdf_text(b"garbage") == ""
+
+
+def test_relevance_floor_and_fusion(spark):
+    lists = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "b")], "list int, pos int, key string")
+    got = {r.key: r.score for r in ranking.rrf(lists).collect()}
+    assert got["b"] > got["a"] == pytest.approx(1 / 61)
+
+
+def test_near_duplicates_collapse_like_the_greedy_pass(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, base), (2, base.upper()), (3, base.replace("word5 ", "other ")), (4, " ".join(f"else{i}" for i in range(200))), (5, "short"), (6, "short")]
+    items = spark.createDataFrame(rows, "rank int, text string")
+    got = {r.rank: r.kept for r in ranking.dedupe_near_duplicates(items, max_bits=6).collect()}
+    assert got[1] and not got[2] and got[4] and got[5] and got[6]
+
+
+def test_diversity_is_a_permutation_led_by_the_best(spark):
+    import numpy as np
+
+    order = ranking.mmr_order(np.array([3.0, 2.9, 2.0]), [{"a", "b"}, {"a", "b"}, {"c"}], ["x", "y", "z"])
+    assert order == [0, 2, 1] and ranking.mmr_order(np.array([1.0, 2.0]), [set(), set()], ["a", "b"]) == [0, 1]
+
+
+def test_ranking_of_nothing(spark):
+    empty = spark.createDataFrame([], "url string, title string, headings string, text string")
+    assert ranking.rank_documents(empty, "needle").count() == 0
+    one = spark.createDataFrame([("u", None, None, None)], "url string, title string, headings string, text string")
+    assert ranking.rank_documents(one, "of the").count() == 0
+
+
+def test_pacing_equals_the_recurrence(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(h, i, rng.randrange(3000), 400, rng.choice([0, 0, 1500])) for h in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "host string, seq int, now_ms long, delay_ms long, back long")
+    got = {(r.host, r.seq): r.departs_ms for r in state.host_slots(df, back_off_ms="back").collect()}
+    free = {}
+    for h, i, now, delay, back in rows:
+        at = max(now, free.get(h, 0))
+        assert got[h, i] == at
+        free[h] = max(at + delay, now + back) if back else at + delay
+
+
+def test_crawl_budget_and_rules(spark):
+    at = "https://x.org/p/{}".format
+    pages = spark.createDataFrame([(at(i), f"t{i}", f"text {i}") for i in range(1, 30)], "url string, title string, text string")
+    links = spark.createDataFrame([(at(i), k, at(2 * i + k)) for i in range(1, 15) for k in (0, 1)], "url string, pos int, link string")
+    got = state.crawl(pages, links, at(1), max_pages=4, max_depth=3)
+    assert [r.url for r in got["pages"].orderBy("depth", "place").collect()] == [at(1), at(2), at(3), at(4)]
+    robots = spark.createDataFrame([("User-agent: *\nDisallow: /p/2",)], "b string").select(structure.parse_robots_udf("b", F.lit("mill")).alias("robots"))
+    ruled = state.crawl(pages, links, at(1), robots=robots, max_pages=10, max_depth=1)
+    assert [r.url for r in ruled["pages"].orderBy("depth", "place").collect()] == [at(1), at(3)]
+    assert [r.url for r in ruled["disallowed"].collect()] == [at(2)]
+
+
+def test_commits_and_tags(spark):
+    df = spark.createDataFrame([("abcdef1234", "abcdef1"), ("abcdef1234", "abcdef"), ("v1.10.0", "v1.9.9")], "a string, b string")
+    assert [r[0] for r in df.select(apis.same_commit("a", "b")).collect()][:2] == [True, False]
+    assert df.where("a like 'v%'").select(locale.compare_tags("a", "b")).first()[0] == 1
+
+
+def test_search_pages_stop_where_nothing_is_new(spark):
+    rows = [("q", 0, 0, "https://x.org/a"), ("q", 0, 1, "https://x.org/b"), ("q", 1, 0, "https://www.x.org/a/"), ("q", 2, 0, "https://x.org/c")]
+    hits = spark.createDataFrame(rows, "query string, page int, pos int, url string")
+    assert sorted(r.url for r in apis.paged_hits(hits).collect()) == ["https://x.org/a", "https://x.org/b"]
