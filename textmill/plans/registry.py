@@ -608,7 +608,7 @@ def change_verdicts(spark, d):
 
 
 @query("""
-    WITH a AS (SELECT user_id AS host, event_id AS seq, epoch_ms(ts) // 100000 AS now_ms FROM events),
+    WITH a AS (SELECT user_id AS host, event_id AS seq, epoch_us(ts) // 100000000 AS now_ms FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) - 1 AS k FROM a)
     SELECT host, seq, max(now_ms - k * 400) OVER (PARTITION BY host ORDER BY seq) + k * 400 AS departs_ms FROM r
 """)
@@ -632,15 +632,15 @@ def _cache(spark, d) -> DataFrame:
 
 
 @query(f"""
-    SELECT count(*) AS entries, sum(length('v' || event_id))::BIGINT AS bytes, count(*) FILTER ({_NOW} - epoch_ms(ts) < {_TTL}) AS fresh,
-           count(*) FILTER ({_NOW} - epoch_ms(ts) >= {_TTL}) AS stale, min(epoch_ms(ts)) AS oldest, max(epoch_ms(ts)) AS newest FROM events WHERE event_type <> 'error'
+    SELECT count(*) AS entries, sum(length('v' || event_id))::BIGINT AS bytes, count(*) FILTER ({_NOW} - (epoch_us(ts) // 1000) < {_TTL}) AS fresh,
+           count(*) FILTER ({_NOW} - (epoch_us(ts) // 1000) >= {_TTL}) AS stale, min((epoch_us(ts) // 1000)) AS oldest, max((epoch_us(ts) // 1000)) AS newest FROM events WHERE event_type <> 'error'
 """)
 def cache_stats(spark, d):
     return state.cache_stats(_cache(spark, d), _NOW, _TTL)
 
 
 @query(f"""
-    WITH c AS (SELECT 'https://x.org/' || user_id AS url, arg_max({{'t': 'v' || event_id, 'e': CASE WHEN event_id % 2 = 0 THEN 'e' END, 'at': epoch_ms(ts)}}, epoch_ms(ts)) AS h FROM events WHERE event_type <> 'error' AND user_id % 2 = 0 AND event_id % 7 = 0 AND epoch_ms(ts) < {_NOW - _TTL // 2} GROUP BY 1),
+    WITH c AS (SELECT 'https://x.org/' || user_id AS url, arg_max({{'t': 'v' || event_id, 'e': CASE WHEN event_id % 2 = 0 THEN 'e' END, 'at': (epoch_us(ts) // 1000)}}, (epoch_us(ts) // 1000)) AS h FROM events WHERE event_type <> 'error' AND user_id % 2 = 0 AND event_id % 7 = 0 AND (epoch_us(ts) // 1000) < {_NOW - _TTL // 2} GROUP BY 1),
     r AS (SELECT DISTINCT 'https://x.org/' || user_id AS url, CASE user_id % 3 WHEN 0 THEN 304 WHEN 1 THEN 200 ELSE 500 END AS st, CASE WHEN user_id % 3 = 1 THEN 'new' ELSE '' END AS t FROM events)
     SELECT r.url, CASE WHEN h IS NOT NULL AND {_NOW} - h.at < {_TTL} THEN h.t WHEN st = 304 AND h.e IS NOT NULL THEN h.t WHEN t <> '' THEN t WHEN h IS NOT NULL THEN h.t ELSE '' END AS text,
            CASE WHEN h IS NOT NULL AND {_NOW} - h.at < {_TTL} THEN 'cache' WHEN st = 304 AND h.e IS NOT NULL THEN 'cache' WHEN t <> '' THEN 'response' WHEN h IS NOT NULL THEN 'stale' ELSE 'none' END AS source
@@ -777,3 +777,115 @@ def batches(spark, d):
     return c.groupBy("c_nationkey", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
 
 
+
+
+# -- more of the same operators -----------------------------------------------------------------
+
+_POWERS = "[" + ", ".join(f"{1 << b}::HUGEINT" for b in range(64)) + "]"
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, {sql.terms('text')} AS t FROM conversations),
+    s AS (SELECT conv_id, turn, CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END AS s FROM t),
+    h AS (SELECT conv_id, turn, list_transform(s, lambda x: list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(x, ''), lambda c: unicode(c)::HUGEINT)),
+          lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)) AS h FROM s)
+    SELECT conv_id, turn, format('{{:016x}}', coalesce(list_sum(list_transform({_POWERS}, lambda p: CASE WHEN 2 * len(list_filter(h, lambda x: (x // p) % 2 = 1)) > len(h) THEN p ELSE 0 END)), 0)::HUGEINT) AS simhash FROM h
+""")
+def simhashes(spark, d):
+    h = table(spark, d, "conversations").select("conv_id", "turn", hashing.simhash(text.terms("text")).alias("h"))
+    return h.select("conv_id", "turn", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("simhash"))
+
+
+@query("SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl, " + ", ".join(f"sum(list_contains(t, {sql.lit(q)})::INT)::BIGINT AS df_{i}" for i, q in enumerate(text.query_terms(QUESTION))) + f" FROM (SELECT {sql.terms('text')} AS t FROM documents)")
+def bm25_stats(spark, d):
+    """Pool size, mean length and document frequencies, in one aggregation."""
+    tokens = table(spark, d, "documents").select(text.terms("text").alias("t"))
+    df = [F.sum(F.array_contains("t", q).cast("bigint")).alias(f"df_{i}") for i, q in enumerate(text.query_terms(QUESTION))]
+    return tokens.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")), 6).alias("avgdl"), *df)
+
+
+@query()
+def near_duplicate_collapse(spark, d):
+    """Greedy collapse of all documents at 8 bits, best (longest) first."""
+    docs = numbering.ranked(table(spark, d, "documents").select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).alias("n")), [F.col("n").desc(), F.col("doc_id")], "rank")
+    return ranking.dedupe_near_duplicates(docs, max_bits=8).select("doc_id", "rank", "kept")
+
+
+@query(r"SELECT domain, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS domain FROM pages) GROUP BY domain")
+def host_counts(spark, d):
+    p = table(spark, d, "pages").select("page_id", urls.domain_of("url").alias("domain"))
+    return p.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+
+
+@query("SELECT p_partkey, 'https://github.com/o/r' || p_partkey AS repo FROM part")
+def repo_urls(spark, d):
+    k = F.col("p_partkey")
+    forms = F.array(*[F.concat(F.lit(a), F.lit("o/r"), k.cast("string"), F.lit(b)) for a, b in (("git+https://github.com/", ".git"), ("git://github.com/", ".git"), ("ssh://git@github.com/", ""), ("git@github.com:", ".git"), ("", ""))])
+    return table(spark, d, "part").select("p_partkey", apis.normalize_repo_url(F.get(forms, (k % 5).cast("int"))).alias("repo"))
+
+
+@query("SELECT doc_id, 'Part ' || doc_id AS heading FROM documents")
+def nearest_headings(spark, d):
+    """The heading of the last line of a document put under one, behind a fence with a false one."""
+    body = F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit(" #\n```\n# no\n```\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[#`~]", ""))
+    return table(spark, d, "documents").select("doc_id", F.try_element_at(text.nearest_headings(F.split(body, "\n")), F.lit(-1)).alias("heading"))
+
+
+@query("SELECT doc_id, replace(coalesce(text, ''), chr(160), ' ') AS body FROM documents")
+def entity_round_trip(spark, d):
+    """Documents with markup characters and accents escaped, decoded once."""
+    t = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;")), F.lit("é"), F.lit("&eacute;"))
+    return table(spark, d, "documents").select("doc_id", markup.decode_entities_udf(F.replace(F.replace(t, F.lit("ü"), F.lit("&#xFC;")), F.lit("\u00a0"), F.lit("&nbsp;"))).alias("body"))
+
+
+@query("SELECT 'https://x.org/' || user_id AS url, arg_max('v' || event_id, (epoch_us(ts) // 1000)) AS text, max((epoch_us(ts) // 1000)) AS cached_at FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def cache_newest(spark, d):
+    """Offline reading: the newest entry of each address in any namespace."""
+    held = _cache(spark, d)
+    served = state.read_through(held.select("url").distinct(), held, spark.createDataFrame([], "url string, status int, text string, etag string"), _NOW, _TTL, offline=True)
+    return served.select("url", "text", "cached_at")
+
+
+@query(f"SELECT count(*) AS removed FROM events WHERE event_type <> 'error' AND {_NOW} - (epoch_us(ts) // 1000) >= {_TTL}")
+def cache_clean(spark, d):
+    return state.cache_clean(_cache(spark, d), _NOW, _TTL)[1].agg(F.count(F.lit(1)).alias("removed"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS office, s_suppkey % 10 = 0 AS fallback FROM supplier")
+def document_formats(spark, d):
+    k = F.col("s_suppkey")
+    u = F.concat(F.lit("https://x.org/f."), F.when(k % 10 == 0, "csv").when(k % 2 == 0, "DOCX").otherwise("html"), F.lit("?v=1"))
+    f = table(spark, d, "supplier").select("s_suppkey", raw.doc_format_for_url(u).alias("f"))
+    return f.select("s_suppkey", F.col("f").isNotNull().alias("office"), F.coalesce("f.text_fallback", F.lit(False)).alias("fallback"))
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'O' AS prerelease, 'v' || o_orderkey AS title FROM orders")
+def release_lists(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit('[{"tag_name":"v'), k, F.lit('","name":"","prerelease":'), (F.col("o_orderstatus") == "O").cast("string"), F.lit("},null]"))
+    r = table(spark, d, "orders").select("o_orderkey", F.explode(apis.releases(body)).alias("r"))
+    return r.select("o_orderkey", (F.col("r.state") == "prerelease").alias("prerelease"), "r.title")
+
+
+@query("SELECT c_custkey, 'o/c' || c_custkey AS full_name, c_custkey::BIGINT AS stars, 'MIT' AS license, c_custkey % 2 = 0 AS archived FROM customer")
+def repository_facts(spark, d):
+    k = F.col("c_custkey").cast("string")
+    name = F.when(F.col("c_custkey") % 3 == 0, "path_with_namespace").otherwise("full_name")
+    stars = F.when(F.col("c_custkey") % 3 == 0, "star_count").otherwise("stargazers_count")
+    body = F.concat(F.lit('{"'), name, F.lit('":"o/c'), k, F.lit('","'), stars, F.lit('":'), k, F.lit(',"license":{"name":"MIT"},"archived":'), (F.col("c_custkey") % 2 == 0).cast("string"), F.lit("}"))
+    f = table(spark, d, "customer").select("c_custkey", apis.repo_facts(body).alias("f"))
+    return f.select("c_custkey", "f.full_name", "f.stars", "f.license", "f.archived")
+
+
+@query("SELECT event_id, event_type <> 'error' AS challenged FROM events")
+def challenge_pages(spark, d):
+    page = F.when(F.col("event_type") == "error", "<title>Results</title>").otherwise("<html><TITLE>Please solve the CAPTCHA</title>")
+    return table(spark, d, "events").select("event_id", apis.looks_like_challenge(page).alias("challenged"))
+
+
+@query("SELECT s_suppkey, '# ' || s_name AS markdown, s_suppkey::INT AS status_code FROM supplier WHERE s_suppkey % 4 <> 0")
+def scrape_records(spark, d):
+    text_ = F.when(F.col("s_suppkey") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("# "), F.col("s_name")))
+    body = F.concat(F.lit('{"success":true,"data":{"markdown":"'), text_, F.lit('","metadata":{"statusCode":'), F.col("s_suppkey").cast("string"), F.lit("}}}"))
+    r = table(spark, d, "supplier").select("s_suppkey", apis.scrape_record(body).alias("r")).where("r is not null")
+    return r.select("s_suppkey", "r.markdown", "r.status_code")

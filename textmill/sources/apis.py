@@ -30,7 +30,9 @@ def field(v: Column, *paths: str, kind: str = "string") -> Column:
 
 
 def _items(v: Column, *paths: str) -> Column:
-    return F.filter(F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths], F.array().cast("array<variant>")), lambda x: x.isNotNull())
+    """The objects of the first path that holds a list; other elements, JSON nulls among them, are left out."""
+    listed = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths], F.array().cast("array<variant>"))
+    return F.filter(listed, lambda x: x.isNotNull() & F.schema_of_variant(x).startswith("OBJECT"))
 
 
 def _labels(item: Column) -> Column:
@@ -41,7 +43,7 @@ def _labels(item: Column) -> Column:
 def forge_items(body: Column | str, kind: str, forge: str = "github") -> Column:
     """Issues or pull requests of a search answer: ``ARRAY<STRUCT<kind, number, title, url, state, labels, body, updated_at, score>>``."""
     v = json_of(body)
-    listed = F.filter(_items(v, "$.items", "$"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    listed = _items(v, "$.items", "$")
     number, url, text = ("$.iid", "$.web_url", "$.description") if forge == "gitlab" else ("$.number", "$.html_url", "$.body")
 
     def item(x: Column) -> Column:
