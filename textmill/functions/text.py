@@ -305,3 +305,27 @@ def excerpt_windows(c: Column | str, questions: Sequence[str], per_doc: int = 2,
         return F.when(full | clash | (trim_space(snippet) == ""), acc).otherwise(F.concat(acc, F.array(window)).cast(kind))
 
     return F.aggregate(ordered, F.array().cast(kind), step)
+
+
+# -- small formats ------------------------------------------------------------------------------
+
+
+def shell_quote(c: Column | str) -> Column:
+    """A POSIX single-quoted word; line ends become blanks."""
+    flat = F.regexp_replace(_col(c), r"\r?\n", " ")
+    return F.concat(F.lit("'"), F.replace(flat, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def run_id(ts: Column | str) -> Column:
+    """``run-YYYYMMDD-HHMMSS`` in the session's time zone."""
+    return F.date_format(_col(ts), "'run-'yyyyMMdd-HHmmss")
+
+
+def regexp_escape(c: Column | str) -> Column:
+    """The text as a regular expression for itself."""
+    return F.regexp_replace(_col(c), r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def documented_flags(c: Column | str) -> Column:
+    """Distinct ``--flags`` that a help text names, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"(?<![\w-])(--[a-z][a-z0-9-]*)"), F.lit(1)))

@@ -889,3 +889,45 @@ def scrape_records(spark, d):
     body = F.concat(F.lit('{"success":true,"data":{"markdown":"'), text_, F.lit('","metadata":{"statusCode":'), F.col("s_suppkey").cast("string"), F.lit("}}}"))
     r = table(spark, d, "supplier").select("s_suppkey", apis.scrape_record(body).alias("r")).where("r is not null")
     return r.select("s_suppkey", "r.markdown", "r.status_code")
+
+
+@query("SELECT p_partkey, '''' || replace(p_name || ' it''s', '''', '''\\''''') || '''' AS quoted FROM part")
+def shell_quotes(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.shell_quote(F.concat("p_name", F.lit("\nit's"))).alias("quoted"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, 'run-%Y%m%d-%H%M%S') AS run FROM orders")
+def run_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.run_id("o_orderdate").alias("run"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 9 THEN 1 WHEN p_size < 9 THEN -1 ELSE 0 END AS sign FROM part")
+def tag_order(spark, d):
+    a = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit(".0"))
+    return table(spark, d, "part").select("p_partkey", locale.compare_tags(a, F.lit("v1.9.0")).alias("sign"))
+
+
+@query("SELECT p_partkey, '--size-' || p_size || ' --brand' AS flags FROM part")
+def documented_flags(spark, d):
+    help_ = F.concat(F.lit("use --size-"), F.col("p_size").cast("string"), F.lit(" or [--brand NAME], --brand again; a--b and ---x are none"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.documented_flags(help_), " ").alias("flags"))
+
+
+@query("SELECT c_custkey, 'https://x.org/' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'snap' END AS text FROM customer")
+def dead_link_rescue(spark, d):
+    """Failed responses joined to archived copies."""
+    from textmill.sources.store import rescued
+
+    u = F.concat(F.lit("https://x.org/"), F.col("c_custkey").cast("string"))
+    c = table(spark, d, "customer")
+    answers = c.select("c_custkey", u.alias("url"), F.lit(404).alias("status"), F.lit(None).cast("string").alias("text"))
+    shots = c.where("c_custkey % 2 = 0").select(u.alias("url"), F.lit("s").alias("snapshot_url"), F.lit("2024").alias("timestamp"), F.lit("snap").alias("text"))
+    return rescued(answers, shots).select("c_custkey", "url", "text")
+
+
+@query("SELECT c_nationkey AS query, c_custkey AS pos, 'https://x.org/' || (c_custkey % 7) AS url FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 7 ORDER BY c_custkey) AS rn FROM customer) WHERE rn = 1")
+def search_pages(spark, d):
+    """One result page per nation, repeats of an address dropped."""
+    u = F.concat(F.lit("https://www.x.org/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/?utm_source=a"))
+    hits = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), F.lit(0).alias("page"), F.col("c_custkey").alias("pos"), u.alias("url"))
+    return apis.paged_hits(hits).select("query", "pos", urls.canonicalize_url("url").alias("url"))
