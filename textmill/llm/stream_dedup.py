@@ -127,7 +127,8 @@ def dedup_rows(
         stream = stream.withColumn("neg_at", F.struct((-F.col("at.row")).alias("row"), F.col("at.file").alias("file")))
         run_stream(stream, out, checkpoint)
         remove(spark, checkpoint)
-        groups = groups_of(spark, out)
+        # written, so that the join below has an exchange on either side and a hot digest can be split
+        groups = written(groups_of(spark, out), "digests")
     else:
         groups = keyed_state(narrow)
     texts = base.select(digest(norm).alias("digest"), norm.alias("norm"), "at")
