@@ -27,28 +27,46 @@ BASE = ("assign", "access", "hex")
 _LOGIN = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@+-]{3,128})""", re.I | re.A)
 _WEAK = re.compile(r"""\b(?:pwd|pass(?:word|wd)?|secret|token|credential|private_?key|api_?key|auth)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,256})""", re.I | re.A)
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{40,64}={0,2}(?![A-Za-z0-9+/=])", re.A)
+_LONG = re.compile(r"[A-Za-z0-9+/]{40}")
 _POINT = re.compile(r"""\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,512}|\b(?:host|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.:-]{4,256}""", re.I | re.A)
 KINDS = (*BASE, "login", "weak", "endpoint")
 
 
+#: Strings of which every match of a pattern has one, in lower case: a text without them is not searched.
+_SIGNS = {
+    _ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    _LOGIN: ("user", "login", "account", "client", "access"),
+    _WEAK: ("pwd", "pass", "secret", "token", "credential", "private", "api", "auth"),
+    _POINT: ("://", "host", "endpoint", "server"),
+}
+
+
 class Span(NamedTuple):
     kind: str
     start: int
     end: int
 
 
+def _matches(pattern: re.Pattern, text: str, lower: str) -> Iterator[re.Match]:
+    return pattern.finditer(text) if any(sign in lower for sign in _SIGNS[pattern]) else iter(())
+
+
 def base_spans(text: str) -> list[Span]:
     """Strong findings, leftmost and non-overlapping within each kind."""
-    found = [Span("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
-    found += [Span("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    found = [Span("assign", m.start(), m.end()) for m in _matches(_ASSIGN, text, text.lower()) if len(m[2]) >= 12]
+    if "AKIA" in text:
+        found += [Span("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [Span("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     return found
 
 
 def weak_parts(text: str) -> list[Span]:
-    found = [Span("login", m.start(), m.end()) for m in _LOGIN.finditer(text)]
-    found += [Span("weak", m.start(), m.end()) for p in (_WEAK, _BLOB) for m in p.finditer(text)]
-    found += [Span("endpoint", m.start(), m.end()) for m in _POINT.finditer(text)]
+    lower = text.lower()
+    found = [Span("login", m.start(), m.end()) for m in _matches(_LOGIN, text, lower)]
+    found += [Span("weak", m.start(), m.end()) for m in _matches(_WEAK, text, lower)]
+    if _LONG.search(text):
+        found += [Span("weak", m.start(), m.end()) for m in _BLOB.finditer(text)]
+    found += [Span("endpoint", m.start(), m.end()) for m in _matches(_POINT, text, lower)]
     return found
 
 
