@@ -192,7 +192,7 @@ def citable_urls(spark, d):
     base = F.when(k % 3 == 0, F.lit("https://api.crossref.org/works")).otherwise(F.lit("https://example.org/works"))
     u = F.concat(base, query_string)
     pdf = F.when(k % 7 == 0, F.lit("https://arxiv.org/pdf/2401.00001v2")).otherwise(F.lit("https://example.org/pdf/intro.html"))
-    return o.select("o_orderkey", urls.is_api_endpoint(u).alias("api"), urls.is_citable_url(u).alias("citable"), urls.addressed_id_count(u).alias("n_ids"), urls.looks_like_pdf(pdf).alias("pdf"))
+    return o.select("o_orderkey", urls.is_api_endpoint(u).alias("api"), urls.is_citable_url(u).alias("citable"), urls.addressed_id_count(u).cast("bigint").alias("n_ids"), urls.looks_like_pdf(pdf).alias("pdf"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'https://example.org/a' WHEN 1 THEN 'https://doi.org/10.1234/s' || s_suppkey WHEN 2 THEN 'https://arxiv.org/abs/2401.00' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') ELSE 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + s_suppkey) || '/' END AS cite FROM supplier")
@@ -314,7 +314,7 @@ def relevance_floor(spark, d):
     k = F.col("s_suppkey")
     matched = F.when(k % 3 == 0, F.array(F.lit("2024"))).otherwise(F.array(F.lit("worthless"), F.lit("2024")))
     ranked = table(spark, d, "supplier").select(k.alias("rank"), matched.alias("matched"))
-    return ranking.relevance_floor(ranked, ["worthless", "2024"], 80).select("rank", "kept", "place")
+    return ranking.relevance_floor(ranked, ["worthless", "2024"], 80).select("rank", "kept", F.col("place").cast("bigint").alias("place"))
 
 
 @query()
