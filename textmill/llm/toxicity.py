@@ -99,12 +99,14 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 1500, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 1500, prior: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, spread, weights and bias; ``prior`` is the weight decay of the whole sample, so few rows are trusted less."""
     mean = x.mean(axis=0) if len(x) else np.zeros(_WIDTH)
     spread = x.std(axis=0) + 1e-6 if len(x) else np.ones(_WIDTH)
     if len(set(y.tolist())) < 2:
         return mean, spread, np.zeros(_WIDTH), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
     z = np.clip((x - mean) / spread, -8, 8)
+    ridge = prior / len(y)
     w, b = np.zeros(_WIDTH), 0.0
     m, v = np.zeros(_WIDTH + 1), np.zeros(_WIDTH + 1)
     for t in range(1, rounds + 1):
