@@ -281,6 +281,20 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "7", "8"] and kept.columns == df.columns
 
 
+def test_near_copies_with_a_repeated_line_and_few_shingles(spark):
+    rng = np.random.default_rng(18)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for k in range(40):  # a line of ten words repeated in one copy; eight words and one more, at exactly 0.8
+        base, line, short = words(204), words(10), words(8)
+        texts += [base, base + line * (10 + k % 11), short, short + words(1)]
+    near = simhash_bk.near_components(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "row long, text string"))
+    sets = [simhash_bk.shingle_set(" ".join(t)) for t in texts]
+    want = roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if simhash_bk.jaccard(sets[a], sets[b]) >= 0.8])
+    got = {r.node: r.component for r in near.collect()}
+    assert len(set(want)) == len(texts) // 2 and [got.get(k, k) for k in range(len(texts))] == want
+
+
 def test_simhash_of_awkward_rows(awkward, nothing):
     assert simhash_bk.simhash_components(awkward).count() == len(AWKWARD)
     assert simhash_bk.simhash_components(nothing).count() == simhash_bk.drop_near_duplicates(nothing).count() == 0
