@@ -165,6 +165,20 @@ def test_weak_parts_need_their_complement():
     assert found(lone) == [] and found(pair) == ["login", "weak", "endpoint"] and found(apart) == []
 
 
+@pytest.mark.parametrize("size", [60, 65, 88, 257, 513, 5000])
+def test_long_values_are_covered_whole(size):
+    value = ("aB3d" * size)[:size]
+    found = lambda t: [(s.kind, t[s.start : s.end]) for s in secrets.linked(t, secrets.base_spans(t))]
+    assert found(f"login: bob\n{value}==\n") == [("login", "login: bob"), ("weak", f"{value}==")]
+    assert ("weak", value) in found(f"login: bob AccountKey={value}")
+    assert ("weak", f"pwd= {value[:-1]}!") in found(f"login: bob pwd= {value[:-1]}!")
+    assert ("login", f"user={value}") in found(f"user={value} pwd=hunter22")
+    assert ("endpoint", f"host: {value}") in found(f"user=bob pwd=hunter22 host: {value}")
+    assert ("endpoint", f"https://x.org/{value}") in found(f"user=bob pwd=hunter22 https://x.org/{value}")
+    assert not [t for k, t in found(f"login: bob token={value}.x-y_z") if k == "weak" and t.startswith("token")]  # the base span has it all
+    assert ("weak", "pwd" + " " * size + "= hunter22") in found("login: bob\npwd" + " " * size + "= hunter22")
+
+
 def test_secret_digest(spark, awkward, nothing):
     text = "éé token=abcdefghijklmnop"
     got = secrets.secret_digest(spark.createDataFrame([(1, text)], DOCS)).first()

@@ -24,11 +24,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 BASE = ("assign", "access", "hex")
 
-_LOGIN = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@+-]{3,128})""", re.I | re.A)
-_WEAK = re.compile(r"""\b(?:pwd|pass(?:word|wd)?|secret|token|credential|private_?key|api_?key|auth)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,256})""", re.I | re.A)
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{40,64}={0,2}(?![A-Za-z0-9+/=])", re.A)
+_LOGIN = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9_.@+-]{3,}+)""", re.I | re.A)
+_WEAK = re.compile(r"""\b(?:pwd|pass(?:word|wd)?|secret|token|credential|private_?key|api_?key|auth)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,}+)""", re.I | re.A)
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{40,}+={0,2}+(?![A-Za-z0-9+/=])", re.A)
 _LONG = re.compile(r"[A-Za-z0-9+/]{40}")
-_POINT = re.compile(r"""\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,512}|\b(?:host|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.:-]{4,256}""", re.I | re.A)
+_POINT = re.compile(r"""\b(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}+|\b(?:host|endpoint|server)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.:-]{4,}+""", re.I | re.A)
 KINDS = (*BASE, "login", "weak", "endpoint")
 
 
