@@ -58,3 +58,14 @@ def test_run_gives_the_same_documents(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == stages[5].columns
     assert got.groupBy("doc_id").sum("length").collect().__len__() == stages[4].count()
+
+
+def test_packing_follows_the_mixture_over_files_of_unequal_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    text = F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), (F.lit(1) + F.col("id") / 20).cast("int"))
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).withColumn("part", F.shiftright("sequence_id", 40))
+    spans = [(r.lo, r.hi) for r in packed.groupBy("part").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("part").collect()]
+    assert spans[0][0] == 0 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == 899

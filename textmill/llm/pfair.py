@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import fresh_name, with_gapless_index, written
+from textmill.llm.common import fresh_name, located, with_gapless_index
 
 
 def fluid_slots(blocks: list[int], weights: list[Fraction]):
@@ -134,3 +134,17 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     placed = mix(docs, **options)
     position = placed.columns[-1]
     return placed.repartitionByRange(position).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """A Parquet scan's rows in the order in which they were written, whatever the sizes of its files.
+
+    A scan deals its files by size. Writers number files by partition, so that
+    file number (longer names are higher ones) and row index are the order of
+    ``mixed``; range partitions of both restore it.
+    """
+    scan = located(docs)
+    file, row = fresh_name(scan, "mix_file"), fresh_name(scan, "mix_row")
+    told = scan.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    keys = [F.length(file), F.col(file), F.col(row)]
+    return told.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(file, row)
