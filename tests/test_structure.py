@@ -138,3 +138,20 @@ def test_search_pages_stop_where_nothing_is_new(spark):
     rows = [("q", 0, 0, "https://x.org/a"), ("q", 0, 1, "https://x.org/b"), ("q", 1, 0, "https://www.x.org/a/"), ("q", 2, 0, "https://x.org/c")]
     hits = spark.createDataFrame(rows, "query string, page int, pos int, url string")
     assert sorted(r.url for r in apis.paged_hits(hits).collect()) == ["https://x.org/a", "https://x.org/b"]
+
+
+def test_hybrid_ranks_documents_without_a_vector(spark):
+    rows = [(1, "1", "", "", "other words", [1.0, 0.0]), (2, "2", "", "", "needle needle", None), (3, "3", "", "", "more words", [0.0, 1.0])]
+    docs = spark.createDataFrame(rows, "pos int, id string, title string, headings string, body string, vec array<double>")
+    got = {r.id: r for r in ranking.hybrid_search(docs, "needle", [1.0, 0.0]).collect()}
+    assert set(got) == {"1", "2", "3"} and got["2"].dense_rank is None and got["2"].lexical_rank == 1
+    assert got["2"].score == pytest.approx(1 / 61) and (got["1"].dense_rank, got["3"].dense_rank) == (1, 2)
+
+
+def test_hybrid_query_ranks_every_document(spark, sf, monkeypatch):
+    from textmill.plans import registry
+
+    seen = []
+    monkeypatch.setattr(registry.ranking, "hybrid_search", lambda docs, *a, **k: seen.append(docs.count()) or docs.withColumn("score", F.lit(0.0)))
+    registry.QUERIES["hybrid_search"](spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/documents.parquet").count()]

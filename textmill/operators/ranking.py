@@ -302,22 +302,24 @@ def hybrid_search(docs: DataFrame, question: str, question_vector: Sequence[floa
     """Lexical and dense ranks fused: ``docs(pos, id, title, headings, body[, vec])`` to ``id, score, lexical_rank, dense_rank, place``.
 
     Ties keep input order. Without a question vector the lexical lane decides alone.
+    Every document is ranked; one without a vector is not in the dense lane and
+    gets no part of its score.
     """
     tokens = docs.withColumn("tokens", document_terms("body", "headings", "title"))
     index = build_bm25_index(tokens, question)
-    lanes = tokens.select(pos, "id", bm25_score(index, "tokens").alias("lexical"), *([cosine("vec", F.array(*[F.lit(float(x)) for x in question_vector])).alias("dense")] if question_vector else []))
+    lanes = tokens.select(pos, "id", bm25_score(index, "tokens").alias("lexical"), *([F.col("vec").isNotNull().alias("has_vec"), cosine("vec", F.array(*[F.lit(float(x)) for x in question_vector])).alias("dense")] if question_vector else []))
 
-    def lane(score: str) -> DataFrame:
+    def lane(lanes: DataFrame, score: str) -> DataFrame:
         """Ranks come from the sorted output's gapless numbering rather than from one window over all rows."""
         from textmill.operators.numbering import ranked
 
         return ranked(lanes.select(pos, "id", score), [F.col(score).desc(), F.col(pos)], f"{score}_rank")
 
-    fused = lane("lexical").select(pos, "id", "lexical_rank")
+    fused = lane(lanes, "lexical").select(pos, "id", "lexical_rank")
     score = 1.0 / (k + F.col("lexical_rank"))
     if question_vector:
-        fused = fused.join(lane("dense").select(pos, "dense_rank"), pos)
-        score = score + 1.0 / (k + F.col("dense_rank"))
+        fused = fused.join(lane(lanes.where("has_vec"), "dense").select(pos, "dense_rank"), pos, "left")
+        score = score + F.coalesce(1.0 / (k + F.col("dense_rank")), F.lit(0.0))
     else:
         fused = fused.withColumn("dense_rank", F.lit(None).cast("long"))
     top = fused.withColumn("score", score).orderBy(F.col("score").desc(), pos).limit(limit)

@@ -290,7 +290,7 @@ def rank_fusion(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"), "left")
     q = table(spark, d, "embeddings").orderBy("vec_id").limit(1).select("embedding").first()[0]
     pool = docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("headings"), F.col("text").alias("body"), F.col("embedding").alias("vec"))
     return ranking.hybrid_search(pool, QUESTION, q).withColumn("score", F.round("score", 9))
