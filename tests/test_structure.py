@@ -140,6 +140,26 @@ def test_search_pages_stop_where_nothing_is_new(spark):
     assert sorted(r.url for r in apis.paged_hits(hits).collect()) == ["https://x.org/a", "https://x.org/b"]
 
 
+def test_copies_do_not_fill_the_pool(spark):
+    best = "needle thread " * 50
+    rows = [(f"a{i:03}", "", "", best) for i in range(60)] + [(f"b{i}", "", "", "needle " + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "url string, title string, headings string, text string")
+    got = [r.url for r in ranking.rank_documents(docs, "needle thread", pool=10).collect()]
+    assert got[0] == "a000" and sorted(got[1:]) == [f"b{i}" for i in range(9)]
+
+
+def test_near_copies_do_not_fill_the_pool(spark):
+    from textmill.functions.hashing import simhash_of
+
+    base = ["needle", *(f"w{k}" for k in range(900))]
+    copies = [" ".join([*base[:-1], f"end{i}"]) for i in range(60)]
+    near = [t for t in copies if ((simhash_of(t.split()) ^ simhash_of(copies[0].split())) & 2**64 - 1).bit_count() <= 3]
+    rows = [(f"a{i:03}", "needle", "", t) for i, t in enumerate(near)] + [("b", "", "", "needle short"), ("c", "", "", "other")]
+    docs = spark.createDataFrame(rows, "url string, title string, headings string, text string")
+    got = [r.url for r in ranking.rank_documents(docs, "needle", pool=3).collect()]
+    assert len(near) > 20 and len([u for u in got if u[0] == "a"]) == 1 and {"b", "c"} <= set(got)
+
+
 def test_hybrid_ranks_documents_without_a_vector(spark):
     rows = [(1, "1", "", "", "other words", [1.0, 0.0]), (2, "2", "", "", "needle needle", None), (3, "3", "", "", "more words", [0.0, 1.0])]
     docs = spark.createDataFrame(rows, "pos int, id string, title string, headings string, body string, vec array<double>")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,11 +259,12 @@ def diversify(items: DataFrame, tokens: str = "tokens", score: str = "score", ur
 def rank_documents(docs: DataFrame, question: str, limit: int | None = None, pool: int = 1000) -> DataFrame:
     """The flagship: rank ``docs(url, title, headings, text)`` for a question.
 
-    BM25F, scores over the pool's best, near copies collapsed, diversified:
-    ``rank, url, title, score, matched``, score to 4 digits. ``pool`` is how
-    many of the best candidates are collapsed and diversified; statistics cover
-    all documents. A question without terms gives no rows, and so does an empty
-    table; null fields are empty.
+    BM25F, near copies collapsed, the best that stay diversified: ``rank, url,
+    title, score, matched``, score to 4 digits. Near copies of a better
+    candidate go before the cut, so groups of copies of any size leave the pool
+    full: ``pool`` is how many candidates that stay are diversified; statistics
+    cover all documents. A question without terms gives no rows, and so does an
+    empty table; null fields are empty.
     """
     fields = ["url", "title", "headings", "text"]
     narrow = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
@@ -271,24 +273,15 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
     index = build_bm25_index(tokens, question)
     if not index.query_terms or not index.n:
         return docs.sparkSession.createDataFrame([], out)
-    scored = tokens.select("url", "title", "text", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"))
-    best = scored.orderBy(F.col("score").desc(), "url").limit(pool)
-    words = best.withColumn("tokens", terms("text")).withColumn("hash", F.when(F.length("text") >= 500, simhash(F.col("tokens"))))
-    words = words.select("url", "title", "score", "matched", F.array_distinct("tokens").alias("tokens"), "hash")
+    digest = F.when(F.length("text") >= 500, F.sha2(F.array_join(terms("text"), " "), 256))
+    scored = tokens.select("url", "title", "text", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"), digest.alias("digest"))
+    scored = scored.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    stays = _best_distinct(scored, pool)
+    best = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in stays], "row long")), "row")
+    words = best.select("url", "title", "score", "matched", F.array_distinct(terms("text")).alias("tokens"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "url"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        hashes = pdf["hash"].to_numpy(object)
-        known = [i for i, h in enumerate(hashes) if h is not None and not pd.isna(h)]
-        kept: list[int] = []
-        gone = set()
-        for i in known:
-            mine = int(hashes[i]) & 0xFFFFFFFFFFFFFFFF
-            if any((mine ^ k).bit_count() <= 3 for k in kept):
-                gone.add(i)
-            else:
-                kept.append(mine)
-        pdf = pdf.drop(index=list(gone)).reset_index(drop=True)
         most = max(pdf["score"].max(), 1e-9) if len(pdf) else 1e-9
         pdf["score"] = pdf["score"] / most
         order = mmr_order(pdf["score"].to_numpy(float), [set(t) for t in pdf["tokens"]], pdf["url"].tolist())
@@ -298,6 +291,45 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
     return words.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(run, out)
 
 
+def _best_distinct(scored: DataFrame, pool: int, max_bits: int = 3) -> list[int]:
+    """The ``row`` of the best ``pool`` candidates that are no near copies of a better one.
+
+    Equal term streams, which have equal hashes, first collapse to their best
+    row by aggregation. Whether a candidate stays depends on better ones only,
+    so a best-first prefix is collapsed, and a longer one while too few stay.
+    """
+    key = F.struct((-F.col("score")).alias("minus"), "url", "row").alias("key")
+    lone = scored.where(F.col("digest").isNull()).select(key)
+    heads = lone.unionByName(scored.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(key).alias("key")).select("key")).select("key.*").checkpoint()
+
+    def greedy(batches):
+        kept = np.zeros(pool, dtype=np.uint64)
+        hashed = stay = 0
+        for batch in batches:
+            rows = []
+            for row, h in zip(batch.column("row").to_pylist(), batch.column("hash").to_pylist()):
+                if stay == pool:
+                    break
+                if h is not None:
+                    mine = np.uint64(h & 0xFFFFFFFFFFFFFFFF)
+                    if (np.bitwise_count(kept[:hashed] ^ mine) <= max_bits).any():
+                        continue
+                    kept[hashed] = mine
+                    hashed += 1
+                stay += 1
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], names=["row"])
+
+    n, total = pool, heads.count()
+    while True:
+        prefix = heads.orderBy("minus", "url", "row").limit(n).join(scored.select("row", "text"), "row")
+        hashed = prefix.select("minus", "url", "row", F.when(F.length("text") >= 500, simhash(terms("text"))).alias("hash"))
+        stays = [r.row for r in hashed.repartition(1).sortWithinPartitions("minus", "url", "row").select("row", "hash").mapInArrow(greedy, "row long").collect()]
+        if len(stays) == pool or n >= total:
+            return stays
+        n *= 4
+
+
 def hybrid_search(docs: DataFrame, question: str, question_vector: Sequence[float] | None = None, limit: int = 10, k: int = 60, pos: str = "pos") -> DataFrame:
     """Lexical and dense ranks fused: ``docs(pos, id, title, headings, body[, vec])`` to ``id, score, lexical_rank, dense_rank, place``.
 
