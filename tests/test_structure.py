@@ -175,3 +175,29 @@ def test_hybrid_query_ranks_every_document(spark, sf, monkeypatch):
     monkeypatch.setattr(registry.ranking, "hybrid_search", lambda docs, *a, **k: seen.append(docs.count()) or docs.withColumn("score", F.lit(0.0)))
     registry.QUERIES["hybrid_search"](spark, sf)
     assert seen == [spark.read.parquet(f"{sf}/documents.parquet").count()]
+
+
+def test_near_duplicate_pairs_against_brute_force(spark, sf):
+    from textmill.functions import hashing, text
+    from textmill.plans.registry import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") >= 500)
+    h = {r.doc_id: r.h & 2**64 - 1 for r in docs.select("doc_id", hashing.simhash(text.terms("text")).alias("h")).collect()}
+    head = {}
+    for i in sorted(h):
+        head.setdefault(h[i], i)
+    heads = sorted(head.values())
+    want = {(a, b, (h[a] ^ h[b]).bit_count()) for a in heads for b in heads if a < b and (h[a] ^ h[b]).bit_count() <= 12}
+    want |= {(head[h[i]], i, 0) for i in h if head[h[i]] != i}
+    got = [tuple(r) for r in QUERIES["near_duplicate_pairs"](spark, sf).select("a", "b", "bits").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_wide_pairs_over_several_chunks(spark):
+    import random
+
+    rng = random.Random(4)
+    h = [sum(1 << b for b in rng.sample(range(63), 8)) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(h)), "id long, h long")
+    got = {tuple(r) for r in ranking.wide_simhash_pairs(items, "id", "h", 12, chunk=64).collect()}
+    assert got == {(a, b, (h[a] ^ h[b]).bit_count()) for b in range(300) for a in range(b) if (h[a] ^ h[b]).bit_count() <= 12}

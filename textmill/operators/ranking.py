@@ -163,6 +163,37 @@ def simhash_pairs(items: DataFrame, id_col: str, hash_col: str, max_bits: int =
     return near.select("a", "b", hamming("ha", "hb").alias("bits")).distinct()
 
 
+def wide_simhash_pairs(items: DataFrame, id_col: str, hash_col: str, max_bits: int, chunk: int = 8192) -> DataFrame:
+    """``simhash_pairs`` for radii where bit bands are too narrow to select (12 bits: bands of 5).
+
+    Rows are dealt to chunks and every two chunks meet in a task, which counts
+    the differing bits of all their pairs: 64-bit words, with no loss at any radius.
+    """
+    rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    g = max(1, -(-rows.count() // chunk))
+    c = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"))))
+    dealt = rows.withColumn("c", c).select("id", "h", "c", meets.alias("p")).select("id", "h", "c", "p.i", "p.j")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = (pdf["c"] == key[0]).to_numpy()
+        ids, h = pdf["id"].to_numpy(), pdf["h"].to_numpy(np.int64).view(np.uint64)
+        left = np.flatnonzero(inside)
+        right = left if key[0] == key[1] else np.flatnonzero(~inside)
+        found = []
+        for x in left:
+            bits = np.bitwise_count(h[right] ^ h[x])
+            near = np.flatnonzero(bits <= max_bits)
+            near = near[right[near] > x] if key[0] == key[1] else near
+            if len(near):
+                other = ids[right[near]]
+                found.append(pd.DataFrame({"a": np.minimum(ids[x], other), "b": np.maximum(ids[x], other), "bits": bits[near].astype(np.int32)}))
+        return pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0], "bits": np.zeros(0, np.int32)})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, bits int")
+
+
 def greedy_keep(n: int, earlier: Sequence[tuple[int, int]]) -> np.ndarray:
     """Whether each of ``n`` items, best first, survives: it does if none of its earlier neighbours survives."""
     keep = np.ones(n, dtype=bool)

@@ -232,10 +232,15 @@ def content_hashes(spark, d):
 
 @query()
 def near_duplicate_pairs(spark, d):
-    """SimHash pairs at 12 bits of texts of 500 characters and more, one row per distinct hash."""
-    docs = table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h"))
+    """SimHash pairs ``a, b, bits`` at 12 bits of texts of 500 characters and more.
+
+    Between different hashes there is one row per pair, for the least document
+    of each. ``bits`` = 0 is membership: ``b`` has the hash of its head ``a``.
+    """
+    docs = table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h")).checkpoint()
     heads = docs.groupBy("h").agg(F.min("doc_id").alias("head"))
-    return ranking.simhash_pairs(heads, "head", "h", 5)
+    members = docs.join(heads, "h").where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("bits"))
+    return ranking.wide_simhash_pairs(heads, "head", "h", 12).unionByName(members)
 
 
 @query("SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://([a-z0-9.-]+)', 1), lambda h: regexp_replace(h, '^www\\.', '')), lambda h: h <> regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')))), ' '), '') AS hosts FROM pages")
