@@ -140,6 +140,23 @@ def test_search_pages_stop_where_nothing_is_new(spark):
     assert sorted(r.url for r in apis.paged_hits(hits).collect()) == ["https://x.org/a", "https://x.org/b"]
 
 
+def _drifting(n, step=4, size=300):
+    words = [f"term{i * 7919 % 100003}" for i in range(n * step + size)]
+    return [" ".join(words[i * step : i * step + size]) for i in range(n)]
+
+
+def test_long_chains_of_near_copies_settle_like_the_greedy_pass(spark):
+    from textmill.functions.hashing import simhash_of
+
+    texts = _drifting(220)
+    h = [simhash_of(t.split()) & 2**64 - 1 for t in texts]
+    bits = 14
+    want = ranking.greedy_keep(len(h), [(a, b) for b in range(len(h)) for a in range(b) if (h[a] ^ h[b]).bit_count() <= bits])
+    items = spark.createDataFrame(list(enumerate(texts)), "rank int, text string")
+    got = ranking.dedupe_near_duplicates(items, max_bits=bits, max_rounds=3).collect()
+    assert [r.kept for r in sorted(got, key=lambda r: r.rank)] == want.tolist() and not want.all()
+
+
 def test_copies_do_not_fill_the_pool(spark):
     best = "needle thread " * 50
     rows = [(f"a{i:03}", "", "", best) for i in range(60)] + [(f"b{i}", "", "", "needle " + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(9)]

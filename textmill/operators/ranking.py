@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from textmill.functions.vectors import cosine
 # Fixed values of the scorer: field weights, proximity window and its most.
 TITLE_WEIGHT, HEADING_WEIGHT = 3, 2
 NEAR, NEAR_BONUS = 6, 0.1
+SETTLED_AT_ONCE = 100_000
 
 
 def document_terms(body: Column | str, headings: Column | str | None = None, title: Column | str | None = None) -> Column:
@@ -205,25 +206,49 @@ def greedy_keep(n: int, earlier: Sequence[tuple[int, int]]) -> np.ndarray:
     return keep
 
 
+def _settle(pairs: Sequence[tuple[int, int, bool | None]]) -> dict[int, bool]:
+    """The greedy rule for the undecided ``b`` of pairs ``(a, b, whether a survives, None for undecided)``."""
+    earlier: dict[int, list[tuple[int, bool | None]]] = {}
+    for a, b, survives in pairs:
+        earlier.setdefault(b, []).append((a, survives))
+    kept: dict[int, bool] = {}
+    for b in sorted(earlier):
+        kept[b] = not any(kept[a] if survives is None else survives for a, survives in earlier[b])
+    return kept
+
+
 def dedupe_near_duplicates(items: DataFrame, rank: str = "rank", text: str = "text", max_bits: int = 3, min_chars: int = 500, max_rounds: int = 50) -> DataFrame:
     """Collapse near copies of best-first items; shorter texts never collapse. Appends ``kept``.
 
     Equal hashes collapse to their best item before the join, so groups of
     copies cost one row. Survivors settle in rounds: an item with no undecided
     or surviving earlier neighbour survives, one with a surviving one goes.
+    Each round settles one item at least; it goes on until none is undecided.
+    After ``max_rounds`` rounds (a long chain of drifting copies settles few
+    items a round) the rest is settled in one pass as soon as it has at most
+    ``SETTLED_AT_ONCE`` pairs.
     """
-    spark = items.sparkSession
     hashed = items.withColumn("_h", F.when(F.length(text) >= min_chars, simhash(terms(text))))
     heads = hashed.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(rank).alias("head"))
     pairs = simhash_pairs(heads, "head", "_h", max_bits).select(F.col("a"), F.col("b")).checkpoint()
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    for _ in range(max_rounds):
+    for done in count(1):
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         seen = before.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("some"), F.bool_or(F.col("ka").isNull()).alias("open"))
         state = state.join(seen, "id", "left").select(
             "id", F.coalesce("kept", F.when(F.coalesce("some", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")
         ).checkpoint()
-        if state.where(F.col("kept").isNull()).isEmpty():
+        undecided = state.where(F.col("kept").isNull()).select("id")
+        if undecided.isEmpty():
+            break
+        if done < max_rounds:
+            continue
+        rest = pairs.join(undecided.select(F.col("id").alias("b")), "b", "left_semi").join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
+        rest = rest.select("a", "b", "ka").checkpoint()
+        if rest.count() <= SETTLED_AT_ONCE:
+            last = _settle([(r.a, r.b, r.ka) for r in rest.collect()])
+            told = items.sparkSession.createDataFrame(list(last.items()), T.StructType([T.StructField("id", state.schema["id"].dataType), T.StructField("last", T.BooleanType())]))
+            state = state.join(F.broadcast(told), "id", "left").select("id", F.coalesce("kept", "last").alias("kept"))
             break
     gone = state.where(~F.col("kept")).select(F.col("id").alias("head"), F.lit(True).alias("_gone"))
     stays = heads.join(gone, "head", "left").select(F.col("_h"), F.when(F.col("_gone").isNull(), F.col("head")).alias("_stay"))
