@@ -218,3 +218,11 @@ def test_wide_pairs_over_several_chunks(spark):
     items = spark.createDataFrame(list(enumerate(h)), "id long, h long")
     got = {tuple(r) for r in ranking.wide_simhash_pairs(items, "id", "h", 12, chunk=64).collect()}
     assert got == {(a, b, (h[a] ^ h[b]).bit_count()) for b in range(300) for a in range(b) if (h[a] ^ h[b]).bit_count() <= 12}
+
+
+def test_every_turn_of_a_conversation_is_diversified(spark, sf):
+    from textmill.plans.registry import QUERIES
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
+    got = QUERIES["diversified"](spark, sf)
+    assert got.count() == got.select("conv_id", "place").distinct().count() == turns.count()

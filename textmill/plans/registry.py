@@ -324,11 +324,11 @@ def relevance_floor(spark, d):
 
 @query()
 def diversified(spark, d):
-    """MMR within each language's 40 longest texts of the benchmark's shape: a pool per question."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
-    top = docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))).where("rn <= 40")
-    pool = top.select("lang", F.col("doc_id").cast("string").alias("url"), F.col("rn").alias("pos"), (1.0 / F.col("rn")).alias("score"), F.array_distinct(text.terms("text")).alias("tokens"))
-    return ranking.diversify(pool, group="lang").select("lang", "url", "pos", "place")
+    """MMR within each conversation, by turn: a whole pool per natural key, every turn with a text comes back."""
+    turns = table(spark, d, "conversations").where(F.col("text").isNotNull())
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    pool = turns.withColumn("pos", order).select("conv_id", F.concat_ws(":", "conv_id", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("url"), "pos", (1.0 / F.col("pos")).alias("score"), F.array_distinct(text.terms("text")).alias("tokens"))
+    return ranking.diversify(pool, group="conv_id").select("conv_id", "url", "pos", "place")
 
 
 # -- markup -------------------------------------------------------------------------------------
