@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators.cuts import written
+
 
 def ranked(df: DataFrame, order: Sequence[Column], out: str, start: int = 1) -> DataFrame:
     """Append the 1-based place of each row in ``order``, whose last key must be unique.
 
     A range sort deals the rows to ordered partitions; each numbers its own rows
     on top of the counts of those before it. The counts, one per partition, are
-    all that reaches the driver.
+    all that reaches the driver. The sorted rows are cut in the shared folder.
     """
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()).persist()
+    ordered = written(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()), "ranked")
     counts = sorted((r[0], r[1], r[2]) for r in ordered.groupBy("_part").agg(F.count(F.lit(1)), F.min("_no")).collect())
     bases, total = [], start
     for part, n, first in counts:

@@ -22,6 +22,7 @@ from textmill.functions.hashing import hamming, simhash
 from textmill.functions.text import Matcher, query_terms, terms
 from textmill.functions.urls import canonicalize_url
 from textmill.functions.vectors import cosine
+from textmill.operators.cuts import dropped, written
 
 # Fixed values of the scorer: field weights, proximity window and its most.
 TITLE_WEIGHT, HEADING_WEIGHT = 3, 2
@@ -230,21 +231,21 @@ def dedupe_near_duplicates(items: DataFrame, rank: str = "rank", text: str = "te
     """
     hashed = items.withColumn("_h", F.when(F.length(text) >= min_chars, simhash(terms(text))))
     heads = hashed.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(rank).alias("head"))
-    pairs = simhash_pairs(heads, "head", "_h", max_bits).select(F.col("a"), F.col("b")).checkpoint()
-    state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
+    pairs = written(simhash_pairs(heads, "head", "_h", max_bits).select("a", "b"), "near-pairs")
+    state = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "near-state")
     for done in count(1):
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         seen = before.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("some"), F.bool_or(F.col("ka").isNull()).alias("open"))
-        state = state.join(seen, "id", "left").select(
-            "id", F.coalesce("kept", F.when(F.coalesce("some", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")
-        ).checkpoint()
+        settled = F.coalesce("kept", F.when(F.coalesce("some", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)))
+        last, state = state, written(state.join(seen, "id", "left").select("id", settled.alias("kept")), "near-state")
+        dropped(last)
         undecided = state.where(F.col("kept").isNull()).select("id")
         if undecided.isEmpty():
             break
         if done < max_rounds:
             continue
         rest = pairs.join(undecided.select(F.col("id").alias("b")), "b", "left_semi").join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
-        rest = rest.select("a", "b", "ka").checkpoint()
+        rest = written(rest.select("a", "b", "ka"), "near-rest")
         if rest.count() <= SETTLED_AT_ONCE:
             last = _settle([(r.a, r.b, r.ka) for r in rest.collect()])
             told = items.sparkSession.createDataFrame(list(last.items()), T.StructType([T.StructField("id", state.schema["id"].dataType), T.StructField("last", T.BooleanType())]))
@@ -331,7 +332,7 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
         return docs.sparkSession.createDataFrame([], out)
     digest = F.when(F.length("text") >= 500, F.sha2(F.array_join(terms("text"), " "), 256))
     scored = tokens.select("url", "title", "text", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"), digest.alias("digest"))
-    scored = scored.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     stays = _best_distinct(scored, pool)
     best = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in stays], "row long")), "row")
     words = best.select("url", "title", "score", "matched", F.array_distinct(terms("text")).alias("tokens"))
@@ -356,7 +357,7 @@ def _best_distinct(scored: DataFrame, pool: int, max_bits: int = 3) -> list[int]
     """
     key = F.struct((-F.col("score")).alias("minus"), "url", "row").alias("key")
     lone = scored.where(F.col("digest").isNull()).select(key)
-    heads = lone.unionByName(scored.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(key).alias("key")).select("key")).select("key.*").checkpoint()
+    heads = written(lone.unionByName(scored.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(key).alias("key")).select("key")).select("key.*"), "heads")
 
     def greedy(batches):
         kept = np.zeros(pool, dtype=np.uint64)

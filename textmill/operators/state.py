@@ -10,6 +10,7 @@ from textmill.functions.hashing import fnv1a64
 from textmill.functions.structure import is_allowed
 from textmill.functions.text import _col
 from textmill.functions.urls import canonicalize_url, domain_of, host_of, scheme_of
+from textmill.operators.cuts import written
 
 # -- change -------------------------------------------------------------------------------------
 
@@ -168,7 +169,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
     (``url, depth, place, title, text``), ``pending`` and ``disallowed``.
     Addresses are visited once per canonical form, in first-in-first-out order:
     level, place of the parent, place of the link. The page budget counts
-    readable pages only. Levels are checkpointed; each holds one frontier.
+    readable pages only. Levels are cut in the shared folder; each holds one frontier.
     """
     spark = pages.sparkSession
     known = pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"])
@@ -192,7 +193,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
         refused.append(ruled.where(~F.col("_ok")).select("url", "depth"))
         read = ruled.where("_ok").join(known.select("_key", "title", "text"), "_key", "left").withColumn("place", place)
         read = read.withColumn("_readable", F.coalesce(F.length("text") > 0, F.lit(False)))
-        read = read.withColumn("_nth", F.sum(F.col("_readable").cast("int")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
+        read = written(read.withColumn("_nth", F.sum(F.col("_readable").cast("int")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))), "crawl-level")
         taken = read.where(F.col("_readable") & (F.col("_nth") <= left))
         over = read.where((F.col("_nth") > left) | ((F.col("_nth") == left) & ~F.col("_readable")))
         levels.append(taken)
@@ -203,7 +204,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
         if ahead is not None and depth == 0:
             following = following.unionByName(ahead.select(following.columns))
         first = Window.partitionBy("_key").orderBy("p1", "p2")
-        following = following.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn").join(seen, "_key", "left_anti").checkpoint()
+        following = written(following.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn").join(seen, "_key", "left_anti"), "crawl-next")
         pending = over.select(start.columns).unionByName(following.select(start.columns)) if full else pending
         if full or depth == max_depth or following.isEmpty():
             break

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
 from textmill.operators import numbering, ranking, state
+from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.sources import apis, bytes as raw, responses
 
@@ -237,7 +238,7 @@ def near_duplicate_pairs(spark, d):
     Between different hashes there is one row per pair, for the least document
     of each. ``bits`` = 0 is membership: ``b`` has the hash of its head ``a``.
     """
-    docs = table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h")).checkpoint()
+    docs = written(table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h")), "hashes")
     heads = docs.groupBy("h").agg(F.min("doc_id").alias("head"))
     members = docs.join(heads, "h").where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("bits"))
     return ranking.wide_simhash_pairs(heads, "head", "h", 12).unionByName(members)
