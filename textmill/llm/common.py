@@ -1,15 +1,7 @@
-"""Shared plumbing of the training-data operators.
-
-Lineage is cut by writing Parquet into the folder named by
-``spark.checkpoint.dir``: every executor sees it, so a lost executor costs a
-re-run of its tasks and nothing else.
-"""
+"""Shared plumbing of the training-data operators: numbering, skew-proof joins, locators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 from operator import and_
 
@@ -18,48 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_written: list[tuple[SparkSession, str]] = []
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="textmill-"))
-    return _fallback[0]
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/textmill/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+from textmill.operators.cuts import dropped, remove, work_path, written  # noqa: F401 - the operators take them from here
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a durable cut of the lineage."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work path through Hadoop's file system, wherever it lies."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may be gone already
-            return
+#: A key with more than this part of all rows is hot; there are at most as many hot keys.
+HOT = 2048
 
 
 def narrow_batches(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,26 +34,43 @@ def fresh_name(df: DataFrame, wish: str) -> str:
     return name
 
 
-def with_gapless_index(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
-    """Number the rows of each group 0, 1, 2, ... without gathering a group in one task.
+def with_offsets(df: DataFrame, group: list[str], order: list[str], out: str, size: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """Append, per row, the sum of ``size`` (1 without it) over the rows before it in its group, gathering no group in one task.
 
-    Rows are dealt to ``buckets`` hash buckets by the order key; only the row
-    counts per (group, bucket) are summed up in sequence, and each bucket
-    numbers its own rows. Order inside a group: bucket, then ``order``.
-    Rows that agree in all of ``order`` are interchangeable.
+    Rows are dealt to ``buckets`` hash buckets by the order key; only the sums
+    per (group, bucket) are added up in sequence, and each bucket adds up its
+    own rows. Order inside a group: bucket, then ``order``. Rows that agree in
+    all of ``order`` are interchangeable.
     """
     buckets = buckets or shuffle_partitions(df.sparkSession)
-    bucket, base = fresh_name(df, "gi_bucket"), fresh_name(df, "gi_base")
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*group, bucket).count()
+    bucket, base, mine = fresh_name(df, "gi_bucket"), fresh_name(df, "gi_base"), fresh_name(df, "gi_size")
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn(mine, F.lit(1) if size is None else size)
+    sums = dealt.groupBy(*group, bucket).agg(F.sum(mine).alias(base))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     theirs = {c: fresh_name(df, f"gi_of{i}") for i, c in enumerate([*group, bucket])}
-    bases = counts.select(*[F.col(c).alias(theirs[c]) for c in theirs], F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    bases = sums.select(*[F.col(c).alias(theirs[c]) for c in theirs], F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
     cond = reduce(and_, [F.col(c).eqNullSafe(F.col(t)) for c, t in theirs.items()])
     joined = dealt.join(bases, cond).drop(*theirs.values())
-    inside = Window.partitionBy(*group, bucket).orderBy(*order)
-    ranked = joined.withColumn(out, (F.col(base) + F.row_number().over(inside) - 1).cast("long"))
-    return ranked.drop(bucket, base)
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(out, (F.col(base) + F.sum(mine).over(inside) - F.col(mine)).cast("long")).drop(bucket, base, mine)
+
+
+def with_gapless_index(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ...: ``with_offsets`` of ones."""
+    return with_offsets(df, group, order, out, buckets=buckets)
+
+
+def join_hot(rows: DataFrame, told: DataFrame, key: list[str], n: str) -> DataFrame:
+    """``rows`` inner-joined with ``told``, whose ``key`` is unique and which counts the rows of each key in ``n``.
+
+    A key that holds more than 1/HOT of all rows is told by a broadcast of such
+    keys, of which there are HOT at most; the others meet in a shuffle, where
+    none is hot any more. ``rows`` and ``told`` should be tables, as both are read twice.
+    """
+    total = told.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(told.where(F.col(n) * HOT > total).drop(n))
+    cold = told.where(F.col(n) * HOT <= total).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 
 
 def located(docs: DataFrame) -> DataFrame:

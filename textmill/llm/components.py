@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import written
+from textmill.llm.common import dropped, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: u and its smaller neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        dropped(before)
         now = _fingerprint(edges)
         if now == last:
             break

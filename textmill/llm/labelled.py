@@ -11,18 +11,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, parts: int = 2) -> DataFrame:
     """``text, y, part`` of at most ``rows`` labels outside the held-out fold, the least by hash of the id.
 
-    ``part`` (0 or 1) halves the sample by another hash. The sample's bound is
-    what makes it a broadcast; a label may meet several documents of its id.
+    ``part`` (0 to ``parts`` - 1) splits the sample by another hash. The sample's
+    bound is what makes it a broadcast. A label teaches one row: of several
+    documents of its id, the least text; repeated labels count once.
     """
     picked = (
         labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("label_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("label_id")))
+        .distinct()
         .orderBy(F.xxhash64("label_id"), "label_id", "y")
         .limit(rows)
     )
-    texts = docs.select("doc_id", "text")
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("label_id")), F.lit(2)).cast("int")
-    return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("text", "y", part.alias("part"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("label_id")), F.lit(parts)).cast("int")
+    told = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "y").agg(F.min("text").alias("text"))
+    return told.select("text", "y", part.alias("part"))
