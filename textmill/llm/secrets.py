@@ -2,20 +2,22 @@
 
 Base spans: assignments to secret-like names, access key identifiers, long hex
 runs. On top, weak parts (account names, short or unnamed secrets, endpoints)
-are collected; an interval join over scopes reports a weak part only when its
-complement lies in the same scope: a secret needs an identifier, an identifier
+are collected; an interval join over scopes, by look-ups in the sorted starts
+and ends of a scope's parts, reports a weak part only when its complement lies
+in the same scope: a secret needs an identifier, an identifier
 needs a secret, an endpoint needs both.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textmill.llm.common import narrow_batches
 
@@ -83,15 +85,16 @@ def scopes_of(spans: list[Span], reach: int) -> list[list[Span]]:
     return groups
 
 
-def near_any(span: Span, others: list[Span], reach: int) -> bool:
-    """Whether an interval of ``others``, sorted by start, overlaps ``span`` widened by ``reach``, other than by being inside it."""
-    lo, hi = span.start - reach, span.end + reach
-    for o in others:
-        if o.start > hi:
-            return False
-        if o.end >= lo and (o.end <= span.start or o.start >= span.end):
-            return True
-    return False
+class Near:
+    """Intervals that answer whether one of them lies beside a span, at most ``reach`` code points away."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = sorted(s.start for s in spans), sorted(s.end for s in spans)
+
+    def beside(self, span: Span, reach: int) -> bool:
+        """One interval starts in [end, end + reach] or ends in [start - reach, start] of ``span``: two look-ups in sorted lists."""
+        after, before = bisect_left(self.starts, span.end), bisect_left(self.ends, span.start - reach)
+        return (after < len(self.starts) and self.starts[after] <= span.end + reach) or (before < len(self.ends) and self.ends[before] <= span.start)
 
 
 def linked(text: str, base: list[Span], reach: int = 120) -> list[Span]:
@@ -102,29 +105,26 @@ def linked(text: str, base: list[Span], reach: int = 120) -> list[Span]:
     taken = {(s.start, s.end) for s in base}
     credible = set()
     for scope in scopes_of([*base, *weak], reach):
-        names = [s for s in scope if s.kind in ("access", "login")]
-        secrets = [s for s in scope if s.kind in ("assign", "hex", "weak")]
+        names = Near([s for s in scope if s.kind in ("access", "login")])
+        secrets = Near([s for s in scope if s.kind in ("assign", "hex", "weak")])
         for s in scope:
             if s.kind in BASE or (s.start, s.end) in taken:
                 continue
-            by_name = s.kind != "login" and near_any(s, names, reach)
-            by_secret = s.kind != "weak" and near_any(s, secrets, reach)
+            by_name = s.kind != "login" and names.beside(s, reach)
+            by_secret = s.kind != "weak" and secrets.beside(s, reach)
             if (s.kind == "login" and by_secret) or (s.kind == "weak" and by_name) or (s.kind == "endpoint" and by_name and by_secret):
                 credible.add(s)
     return sorted(credible, key=lambda s: (s.start, s.end))
 
 
-def told(spans: list[Span]) -> str:
-    """``kind:start:end``, by start, then kind in the order of ``KINDS``."""
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end)))
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 120) -> DataFrame:
     """Per document ``doc_id`` and ``found``: an array of (kind, start, end), code points, end exclusive, base and linked spans.
 
-    Null texts are empty: no spans. Whole texts are read; rows are independent,
-    so repeated rows and null ids come back as they are; an empty table gives
-    none; other columns play no part.
+    Spans come by start, then kind in the order of ``KINDS`` (ties). Null texts
+    are empty: no spans. Whole texts are read, of any length, in time that grows
+    with the length but for the sorting of the spans; rows are independent, so
+    repeated rows and null ids come back as they are; an empty table gives none;
+    other columns, whatever their names, play no part.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -134,7 +134,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in batch.column("text"):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                found.append([s._asdict() for s in [*base, *linked(text, base, reach)]])
+                spans = sorted([*base, *linked(text, base, reach)], key=lambda s: (s.start, KINDS.index(s.kind), s.end))
+                found.append([s._asdict() for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(span))], names=["doc_id", "found"])
 
     rows = narrow_batches(docs, id_col, text_col).toDF("doc_id", "text")
@@ -144,17 +145,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def secret_digest(docs: DataFrame, **options) -> DataFrame:
     """Counts and digests of ``find_secrets``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``."""
-
-    def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = [[Span(**s) for s in found] for found in batch.column("found").to_pylist()]
-            counts = [pa.array([sum(s.kind == k for s in r) for r in rows], pa.int64()) for k in BASE]
-            sha = [hashlib.sha256(told([s for s in r if s.kind in BASE]).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *counts, pa.array(sha, pa.string()), pa.array([told(r) for r in rows], pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
-
-    found = find_secrets(docs, **options)
-    id_type = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(digest, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return find_secrets(docs, **options).select("doc_id", *map(of, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
