@@ -8,9 +8,9 @@ text costs one row per task. Each micro-batch appends the groups it changed,
 under its batch id, to a table in the shared folder: a re-run batch overwrites
 its own folder only.
 
-On a hit the full normalised texts of the digest are compared; rows whose
-digest agrees while their bytes do not are looked up by their locators and
-grouped anew by the bytes themselves.
+On a hit the full normalised texts of the digest are compared, by a batch pass
+over the content behind the locators once the stream has drained; rows whose
+digest agrees while their bytes do not are grouped anew by the bytes themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import fresh_name, located, locator, remove, work_path, written
+from textmill.llm.common import fresh_name, join_hot, located, locator, remove, work_path, written
 
 WHITE = " \t\n\x0b\x0c\r"
 #: State on disk; many small stores neither preallocate their logs nor upload whole snapshots each batch.
@@ -42,8 +42,8 @@ def sha256_digest(norm: Column) -> Column:
 
 
 def _best() -> Column:
-    """Most code points, then the smallest identifier, then the first locator."""
-    return F.max(F.struct("n_cp", "neg_id", "neg_at", "at"))
+    """Most code points, then the smallest identifier (of any type with an order; null last), then the first locator."""
+    return F.min(F.struct("minus_cp", "no_id", "doc_id", "at"))
 
 
 def keyed_state(stream: DataFrame) -> DataFrame:
@@ -109,26 +109,23 @@ def dedup_rows(
     narrow = written(
         base.select(
             "doc_id",
+            F.col("doc_id").isNull().alias("no_id"),
             digest(norm).alias("digest"),
             F.sha2(norm, 256).alias("text_sha256"),
-            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_cp"),
-            (-F.col("doc_id").cast("decimal(20,0)")).alias("neg_id"),
+            (-F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("minus_cp"),
             "at",
         ),
         "narrow",
     )
-    # ties between repeated rows: struct order on the reversed locator has no meaning but is stable
-    narrow = narrow.withColumn("neg_at", F.struct((-F.col("at.row")).alias("row"), F.col("at.file").alias("file")))
     rows_path = [p for p in narrow.inputFiles()][:1]
     out, checkpoint = work_path(spark, "groups"), work_path(spark, "stream")
     if rows_path:
         folder = rows_path[0].rsplit("/", 1)[0]
-        stream = spark.readStream.schema(narrow.drop("neg_at").schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(folder)
-        stream = stream.withColumn("neg_at", F.struct((-F.col("at.row")).alias("row"), F.col("at.file").alias("file")))
+        stream = spark.readStream.schema(narrow.schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(folder)
         run_stream(stream, out, checkpoint)
-        remove(spark, checkpoint)
-        # written, so that the join below has an exchange on either side and a hot digest can be split
         groups = written(groups_of(spark, out), "digests")
+        remove(spark, checkpoint)
+        remove(spark, out)
     else:
         groups = keyed_state(narrow)
     texts = base.select(digest(norm).alias("digest"), norm.alias("norm"), "at")
@@ -141,7 +138,7 @@ def dedup_rows(
         .select("digest"),
         "collisions",
     )
-    joined = narrow.join(groups, "digest").select("doc_id", "digest", "text_sha256", "at", "best", "n")
+    joined = join_hot(narrow, groups.withColumn("of", F.col("n")), ["digest"], "of").select("doc_id", "digest", "text_sha256", "at", "best", "n")
     if wrong.isEmpty():
         rows = joined
     else:
@@ -152,7 +149,7 @@ def dedup_rows(
         )
     decided = rows.select(
         "doc_id",
-        (-F.col("best.neg_id")).cast("long").alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("at") == F.col("best.at")).alias("kept"),
         "text_sha256",
@@ -165,17 +162,22 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``, dropped ones too.
 
     Texts are equal when identical after deleting white space; the row with the
-    most code points in its original text stays, then the smallest id. Null
-    texts are empty texts. A null id loses against any other; repeated rows
+    most code points in its original text stays, then the smallest id (ties).
+    Ids may be of any type that has an order; a null id loses against any other.
+    Null texts are empty texts; whole texts count, however long. Repeated rows
     (same id, same text) count each, and one of them stays. An empty table
-    gives no rows; other columns play no part.
+    gives no rows; other columns, whatever their names, play no part.
     """
     rows, _ = dedup_rows(docs, **options)
     return rows.drop("at")
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all its columns unchanged."""
+    """``docs`` with one row of each group of equal texts, all its columns unchanged, clashing names included.
+
+    Nulls, ties, repeated rows and long texts as in ``exact_duplicates``: one
+    null or blank text stays of all; an empty table gives none back.
+    """
     rows, scan = dedup_rows(docs, **options)
     at = fresh_name(scan, "kept_at")
     gone = rows.where(~F.col("kept")).select(F.col("at").alias(at))
