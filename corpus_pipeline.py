@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import packing, pfair, simhash_bk, stream_dedup, toxicity
 from textmill.llm.common import written
-from textmill.llm.queries import table, tokenizer_file
+from textmill.llm.queries import MIXTURE, table, tokenizer_file
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the Pfair schedule of their sources."""
-    return pfair.mixed(docs)
+    return pfair.mixed(docs, MIXTURE, size_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,9 +48,13 @@ def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of characters; a source that is not named gets the least of them.
+MIXTURE = {f"src{i}": 4.0 if i < 5 else 2.0 if i < 10 else 1.0 for i in range(20)}
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return pfair.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+    return pfair.mix(docs, MIXTURE, size_col="n_chars").select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
 def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
