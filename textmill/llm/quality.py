@@ -134,8 +134,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000,
 
     Only the text enters a score. Null texts count as empty and are scored;
     null ids are held out; labels that are null or neither 0 nor 1 teach
-    nothing; without labels of both kinds every score is ``cut``. Repeated rows
-    score alike; an empty table gives no rows; other columns play no part.
+    nothing; without labels of both kinds every score is ``cut``. Texts of any
+    length are read whole. Repeated rows and equal texts score alike (ties); an
+    empty table gives no rows; other columns, whatever their names, play no part.
     """
     rows = narrow_batches(docs, id_col, text_col).toDF("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, "quality", sample_rows))
