@@ -16,7 +16,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, par
 
     ``part`` (0 to ``parts`` - 1) splits the sample by another hash. The sample's
     bound is what makes it a broadcast. A label teaches one row: of several
-    documents of its id, the least text; repeated labels count once.
+    documents of its id, the least text. Repeated labels and equal texts of one
+    label count once, so that copies neither weigh more nor meet themselves in
+    another part.
     """
     picked = (
         labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y"))
@@ -28,4 +30,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, par
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("label_id")), F.lit(parts)).cast("int")
     told = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "y").agg(F.min("text").alias("text"))
+    told = told.groupBy("text", "y").agg(F.min("label_id").alias("label_id"))
     return told.select("text", "y", part.alias("part"))

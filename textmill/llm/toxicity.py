@@ -32,7 +32,8 @@ WINDOW = 32
 LEVEL = 9
 STEPS = 12
 REMEMBERED_WINDOWS = 250_000
-LEAST_GAIN = 12.0
+#: A segment must set apart more than chance does, and a part of the toxic texts rather than one and its near copies.
+LEAST_GAIN, LEAST_PART = 12.0, 1 / 16
 _WIDTH = STEPS * 2 + (2 * STEPS - 1) * 2 + 1
 
 
@@ -148,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     """Train on at most ``sample_rows`` labelled rows outside the held-out fold: two thirds the dictionaries, the rest the calibration.
 
     The toxic dictionary holds the segments whose log likelihood ratio passes
-    ``LEAST_GAIN``, the ordinary one the most usual segments, each at most
+    ``LEAST_GAIN`` and ``LEAST_PART`` of the toxic texts, the ordinary one the most usual segments, each at most
     ``dictionary_bytes`` long.
     """
     sample = written(training_rows(docs, labels, label, sample_rows, parts=3), "labelled")
@@ -172,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     share, usual_share = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("ordinary") + 0.5) / (n0 + 1)
     gain = F.col("toxic") * F.ln(share / usual_share) - n1 * (share - usual_share)  # log likelihood ratio of two Poisson rates
     words = counts.where(F.length("segment") > 0)
-    best = words.where((share > usual_share) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "segment").limit(dictionary_bytes)
+    best = words.where((share > usual_share) & (gain > max(LEAST_GAIN, LEAST_PART * n1))).orderBy(gain.desc(), "segment").limit(dictionary_bytes)
     usual = words.where(F.col("ordinary") > 0).orderBy(F.col("ordinary").desc(), "segment").limit(dictionary_bytes)
     toxic = _content(_novel(bytes(r.segment) for r in best.collect()), dictionary_bytes)
     ordinary = _content([bytes(r.segment) for r in usual.collect()], dictionary_bytes)
