@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import fresh_name, narrow_batches, shuffle_partitions, written
+from textmill.llm.common import fresh_name, join_hot, narrow_batches, shuffle_partitions, written
 from textmill.llm.components import components
 from textmill.llm.grouped import runs
 
@@ -200,17 +200,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
     Null and blank texts have fingerprint zero, which links like any other.
-    Repeated rows and exact copies share their fingerprint and component. A
-    null id belongs to its component and never names it, unless all of its ids
-    are null. An empty table gives no rows; other columns play no part.
+    Repeated rows and exact copies (ties) share their fingerprint and component;
+    texts of any length are read whole. A null id belongs to its component and never names it, unless all of its ids
+    are null. An empty table gives no rows; other columns, whatever their names,
+    play no part.
     """
     rows = written(with_fingerprint(narrow_batches(docs, id_col, text_col).toDF("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     comps = components(link_fingerprints(least.select("fp"), radius))
-    named = least.join(comps, least["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
-    heads = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(heads, "comp").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(least.join(comps, least["fp"] == comps["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("comp")), "classes")
+    heads = written(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("of")), "heads")
+    by_fp = written(join_hot(named, heads, ["comp"], "of").select("fp", "n", "component_id"), "classes")
+    return join_hot(rows, by_fp, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Of pairs at exactly 0.8, 0.36 ** 14 = 6e-7 meet in no band.
@@ -314,15 +315,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Two documents link at a Jaccard similarity of ``similarity`` or more of
     their distinct ``shingle``-word shingles (A-Z lower-cased; a shorter text is
     one shingle). Of a group the smallest id stays, and of repeated rows of it
-    one. Texts without words link with nothing and stay; an empty table gives
-    none back.
+    one. Null texts and texts without words link with nothing and stay; texts of
+    any length count whole; an empty table gives none back; clashing names of
+    other columns stay as they are.
     """
     scan = written(docs.withColumn(fresh_name(docs, "row_no"), F.monotonically_increasing_id()), "numbered")
     no = scan.columns[-1]
     base = scan.select(F.col(f"`{no}`").alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     comps = written(near_components(base, shingle, radius, similarity), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    members = base.select("row", "doc_id").join(comps, F.col("row") == F.col("node"))
-    stay = members.groupBy("component").agg(first).select("component", F.col("first.row").alias("stays"))
-    gone = members.join(stay, "component").where(F.col("row") != F.col("stays")).select(F.col("row").alias(no))
+    members = written(base.select("row", "doc_id").join(comps, F.col("row") == F.col("node")), "members")
+    stay = written(members.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).select("component", "n", F.col("first.row").alias("stays")), "stay")
+    gone = join_hot(members, stay, ["component"], "n").where(F.col("row") != F.col("stays")).select(F.col("row").alias(no))
     return scan.join(gone, no, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
