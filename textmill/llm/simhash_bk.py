@@ -148,13 +148,22 @@ def _layout(n: int, radius: int) -> tuple[int, int]:
     return (radius + 2, 2) if n <= 500_000_000 else (radius + 3, 3)
 
 
-def _in_chunks(dealt: DataFrame, shard_rows: int, node: str) -> DataFrame:
-    """Rows of shards (way, key) with two rows or more, a large shard split so that each pair of its chunks meets as (i, j)."""
-    counts = dealt.groupBy("way", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+#: Shingles of the texts of a chunk, 8 bytes each, however many texts that makes.
+CHUNK_SHINGLES = 2_000_000
+
+
+def _in_chunks(dealt: DataFrame, shard_rows: int, node: str, weight: str | None = None) -> DataFrame:
+    """Rows of shards (way, key) with two rows or more, a large shard split so that each pair of its chunks meets as (i, j).
+
+    Large is a shard over ``shard_rows`` rows, or over CHUNK_SHINGLES of ``weight``.
+    """
+    size = F.count(F.lit(1)) / F.lit(shard_rows)
+    if weight:
+        size = F.greatest(size, F.sum(weight) / F.lit(CHUNK_SHINGLES))
+    counts = dealt.groupBy("way", "key").agg(F.count(F.lit(1)).alias("m"), F.ceil(size).cast("int").alias("g")).where(F.col("m") > 1).drop("m")
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
     return (
         dealt.join(counts, ["way", "key"])
-        .withColumn("g", F.ceil(F.col("m") / F.lit(shard_rows)).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64(node), F.col("g")).cast("int"))
         .select(*dealt.columns, F.explode(pairs).alias("p"))
         .select(*dealt.columns, "p.i", "p.j")
@@ -256,13 +265,14 @@ def near_components(docs: DataFrame, shingle: int = 5, radius: int = 28, similar
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps, bands = [], []
+            fps, bands, sizes = [], [], []
             for t in batch.column("text"):
                 hashes = shingle_set(t.as_py(), shingle)
                 fps.append(set_fingerprint(hashes))
                 bands.append(minhash_bands(hashes))
+                sizes.append(len(hashes))
             fp = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], names=["row", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "fp", "n", "bands"])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -291,14 +301,14 @@ def near_components(docs: DataFrame, shingle: int = 5, radius: int = 28, similar
 
     def links_of(dealt: DataFrame) -> DataFrame:
         by = ["way", "key", "i", "j"]
-        tasks = written(_in_chunks(dealt, shard_rows, "row"), "shards")
+        tasks = written(_in_chunks(dealt, shard_rows, "row", "n").drop("n"), "shards")
         wanted = tasks.select("row").distinct()
         with_sets = docs.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(sets, "row long, shingles binary")
         joined = tasks.join(with_sets, "row").select("row", "fp", *by, "shingles")
         return joined.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")
 
-    marked = written(docs.select("row", "text").mapInArrow(keys, "row long, fp long, bands array<long>"), "bands")
-    dealt = marked.select("row", "fp", F.posexplode("bands").alias("way", "key"))
+    marked = written(docs.select("row", "text").mapInArrow(keys, "row long, fp long, n long, bands array<long>"), "bands")
+    dealt = marked.select("row", "fp", "n", F.posexplode("bands").alias("way", "key"))
     found = components(links_of(dealt.where(F.col("way") < FIRST_BANDS)))
     later = dealt.where(F.col("way") >= FIRST_BANDS)
     known = later.join(found, F.col("row") == F.col("node"), "left").select("way", "key", F.coalesce("component", "row").alias("comp"))
