@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill.functions.batched import per_record, per_value
+from textmill.functions.elements import Node, tags, tree
 from textmill.functions.markup import decode_entities
 from textmill.functions.text import _col
 from textmill.functions.urls import canonical_url, query_of, path_of, resolved_url
@@ -208,65 +209,56 @@ page_metadata_udf = per_record(_META, [*_LD_FIELDS, "authors", "json_ld"], page_
 # -- feeds and sitemaps -------------------------------------------------------------------------
 
 
-def _tag_text(block: str, *names: str) -> str | None:
-    """Text of the first of the named elements that has any; CDATA unwrapped."""
+_NO_PAGE = frozenset("self edit replies enclosure".split())
+
+
+def _plain(text: str) -> str:
+    """One line without markup: what raw text still holds of it is taken out, then references decoded."""
+    return " ".join(decode_entities(re.sub(r"<[^>]+>", " ", text)).split())
+
+
+def _first(node: Node, *names: str, but: frozenset[str] = frozenset()) -> str | None:
+    """The text of the first element of each name in turn, until one has any."""
     for name in names:
-        m = re.search(rf"<{name}\b[^>]*>([\s\S]*?)</{name}>", block, _I)
-        if m:
-            data = re.search(r"<!\[CDATA\[([\s\S]*?)\]\]>", m[1])
-            text = re.sub(r"\s+", " ", decode_entities(re.sub(r"<[^>]+>", " ", data[1] if data else m[1]))).strip()
-            if text:
-                return text
+        found = next((n for n in node.walk(but) if n.name == name), None)
+        if found and (text := _plain(found.text())):
+            return text
     return None
 
 
-def _entry_url(block: str) -> str | None:
-    links = [m[1] for m in re.finditer(r"<link\b([^>]*)>", block, _I)]
-    href = lambda a: (m := re.search(r"\bhref\s*=\s*[\"']([^\"']+)[\"']", a, _I)) and m[1]
-    with_href = [(a, h) for a in links if (h := href(a))]
-    if not with_href:
-        return _tag_text(block, "link", "guid")
-    fit = [h for a, h in with_href if not re.search(r"\brel\s*=\s*[\"'](?:self|edit|replies|enclosure)[\"']", a, _I)]
-    return decode_entities((fit or [with_href[0][1]])[0]).strip()
+def _address(entry: Node) -> str | None:
+    """An entry's page: a link's ``href``, preferably none that points elsewhere than to it; else the link or identifier as text."""
+    links = [n.attributes for n in entry.walk() if n.name == "link" and n.attributes.get("href")]
+    links.sort(key=lambda a: a.get("rel", "").lower() in _NO_PAGE)  # stable: document order otherwise
+    return decode_entities(links[0]["href"]).strip() if links else _first(entry, "link", "guid")
 
 
 _FEED = "struct<kind:string,title:string,items:array<struct<title:string,url:string,published:string,summary:string,id:string>>>"
+#: Where each fact of an entry stands in either format, in order of preference.
+_ENTRY = {"title": ("title",), "published": ("pubdate", "published", "updated", "dc:date"), "summary": ("description", "summary"), "id": ("guid", "id")}
 
 
 def parse_feed(xml: str) -> dict | None:
     """RSS or Atom; null for what is neither. Items without title and address are left out."""
-    atom = re.search(r"<feed\b[^>]*xmlns\s*=\s*[\"'][^\"']*www\.w3\.org/2005/Atom", xml, _I) or re.search(r"<entry\b", xml, _I)
-    rss = re.search(r"<(?:rss|channel)\b", xml, _I)
-    if not atom and not rss:
+    root = tree(xml)
+    named = {n.name: n for n in reversed(list(root.walk()))}
+    if not named.keys() & {"rss", "channel", "entry"} and "www.w3.org/2005/Atom" not in getattr(named.get("feed"), "attributes", {}).get("xmlns", ""):
         return None
-    kind = "rss" if rss else "atom"
-    item = re.compile(r"<item\b[\s\S]*?</item>" if rss else r"<entry\b[\s\S]*?</entry>", _I)
-    items = [
-        {
-            "title": _tag_text(b, "title"),
-            "url": _entry_url(b),
-            "published": _tag_text(b, "pubDate", "published", "updated", "dc:date"),
-            "summary": _tag_text(b, "description", "summary"),
-            "id": _tag_text(b, "guid", "id"),
-        }
-        for b in item.findall(xml)
-    ]
-    return {"kind": kind, "title": _tag_text(item.sub("", xml), "title"), "items": [i for i in items if i["title"] or i["url"]]}
+    kind, unit = ("rss", "item") if named.keys() & {"rss", "channel"} else ("atom", "entry")
+    entries = [n for n in root.walk() if n.name == unit]
+    items = [{"url": _address(e), **{fact: _first(e, *names) for fact, names in _ENTRY.items()}} for e in entries]
+    return {"kind": kind, "title": _first(root, "title", but=frozenset([unit])), "items": [i for i in items if i["title"] or i["url"]]}
 
 
 parse_feed_udf = per_record(_FEED, ["kind", "title", "items"], lambda xml: parse_feed(xml) if xml else None)
+_FEED_TYPES = frozenset(("application/rss+xml", "application/atom+xml", "application/feed+json"))
 
 
 @structs("array<string>")
 def discover_feeds(page: str, base: str) -> list[str]:
     """Addresses of the feeds a page announces, resolved against its own."""
-    out = []
-    for m in re.finditer(r"<link\b([^>]*)>", page, _I):
-        kind = re.search(r"\btype\s*=\s*[\"'](?:application/(?:rss|atom)\+xml|application/feed\+json)[\"']", m[1], _I)
-        href = re.search(r"\bhref\s*=\s*[\"']([^\"']+)[\"']", m[1], _I)
-        if kind and href and re.search(r"\brel\s*=\s*[\"']?alternate\b", m[1], _I):
-            out.append(resolved_url(decode_entities(href[1]).strip(), base) or urljoin(base, href[1]))
-    return list(dict.fromkeys(out))
+    offered = [a["href"] for a in tags(page, "link") if a.get("href") and a.get("type", "").lower() in _FEED_TYPES and "alternate" in a.get("rel", "").lower().split()]
+    return list(dict.fromkeys(resolved_url(decode_entities(h).strip(), base) or urljoin(base, h) for h in offered))
 
 
 _SITEMAP = "struct<urls:array<struct<loc:string,lastmod:string>>,sitemaps:array<string>>"
@@ -274,11 +266,11 @@ _SITEMAP = "struct<urls:array<struct<loc:string,lastmod:string>>,sitemaps:array<
 
 def parse_sitemap(xml: str) -> dict:
     """Page entries, and the addresses of further sitemaps."""
-    index = bool(re.search(r"<sitemapindex\b", xml, _I))
-    blocks = [(m[1].lower(), m[0], _tag_text(m[0], "loc")) for m in re.finditer(r"<(sitemap|url)\b[\s\S]*?</\1>", xml, _I)]
-    further = [loc for kind, _, loc in blocks if loc and (index or kind == "sitemap")]
-    pages = [{"loc": loc, "lastmod": _tag_text(b, "lastmod")} for kind, b, loc in blocks if loc and not index and kind == "url"]
-    return {"urls": pages, "sitemaps": further}
+    nodes = list(tree(xml).walk())
+    index = any(n.name == "sitemapindex" for n in nodes)
+    told = [(n.name == "sitemap" or index, _first(n, "loc"), n) for n in nodes if n.name in ("sitemap", "url")]
+    pages = [{"loc": loc, "lastmod": _first(n, "lastmod")} for further, loc, n in told if loc and not further]
+    return {"urls": pages, "sitemaps": [loc for further, loc, _ in told if loc and further]}
 
 
 parse_sitemap_udf = per_record(_SITEMAP, ["urls", "sitemaps"], lambda xml: parse_sitemap(xml or ""))

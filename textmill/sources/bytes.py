@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 import re
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,56 +72,83 @@ def decoded(data: Column | str, content_type: Column | str) -> Column:
 
 # -- PDF text layer -----------------------------------------------------------------------------
 
-_STRING = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>"
-_SHOW = re.compile(rb"(?:" + _STRING + rb")|\[(?:" + _STRING + rb"|[^\]])*\]|\bT\*|\bT[dDjJ]\b|['\"]", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-    inner = re.sub(rb"\\([nrtbf()\\])", lambda m: _ESCAPES.get(m[1], m[1]), token[1:-1])
-    return re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), inner).decode("latin-1")
+# Fixed values of the page description language: delimiters, escapes of literal strings, operators that show or place text.
+_LEXEME = re.compile(rb"[\x00\t\n\f\r ]+|%[^\r\n]*|<<|>>|<[^<>]*>|[()\[\]{}]|/?[^\x00\t\n\f\r ()<>\[\]{}/%]+|.", re.S)
+_ESCAPED = {ord(k): v for k, v in {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": "", "\r": ""}.items()}
+_OPENS_LINE = {b"'", b'"'}
+_SHOWS = {b"Tj", b"TJ"} | _OPENS_LINE
+#: A shift to the right by so many thousandths of the font size is a blank.
+GAP = 100
+
+
+def _literal(data: bytes, at: int) -> tuple[str, int]:
+    """The string whose opening parenthesis is just before ``at``, inner pairs counted, and where it ends."""
+    out, depth, n = [], 1, len(data)
+    while at < n:
+        c = data[at]
+        at += 1
+        if c == 0x5C and at < n:
+            octal = re.compile(rb"[0-7]{1,3}").match(data, at)
+            out.append(chr(int(octal[0], 8) & 255) if octal else _ESCAPED.get(data[at], chr(data[at])))
+            at = octal.end() if octal else at + 1
+            continue
+        depth += (c == 0x28) - (c == 0x29)
+        if not depth:
+            break
+        out.append(chr(c))
+    return "".join(out), at
 
 
-def _pdf_array(token: bytes) -> str:
-    """Strings joined; a shift of 100 units or more to the right is a blank."""
-    parts = re.findall(_STRING + rb"|-?\d+(?:\.\d+)?", token, re.S)
-    return "".join(_pdf_string(p) if p[:1] in b"(<" else " " * (float(p) <= -100) for p in parts)
+def _hexadecimal(lexeme: bytes) -> str:
+    digits = bytes(c for c in lexeme if c in b"0123456789abcdefABCDEF")
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
 
 
 def _shown(content: bytes) -> str:
-    out, held = [], b""
-    for m in _SHOW.finditer(content):
-        token = m[0]
-        if token[:1] in b"(<[":
-            held = token
+    """The text a content stream shows: operands gather until an operator takes them all."""
+    out: list[str] = []
+    operands: list[str] = []
+    at, in_array = 0, False
+    while (m := _LEXEME.match(content, at)) is not None:
+        lexeme, at = m[0], m.end()
+        if lexeme == b"(":
+            text, at = _literal(content, at)
+            operands.append(text)
+        elif lexeme[:1] == b"<" and lexeme != b"<<":
+            operands.append(_hexadecimal(lexeme))
+        elif lexeme in (b"[", b"]"):
+            in_array = lexeme == b"["
+        elif lexeme[:1].isspace() or lexeme[:1] in (b"%", b"/"):
             continue
-        if token in (b"Tj", b"TJ", b"'", b'"'):
-            text = (_pdf_array(held) if held[:1] == b"[" else _pdf_string(held)) if held else ""
-            out.append(("\n" if token in (b"'", b'"') else "") + text + " ")
-        elif token == b"T*":
-            out.append("\n")
-        held = b""
+        elif re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", lexeme):
+            if in_array and float(lexeme) <= -GAP:
+                operands.append(" ")
+        elif not in_array:
+            if lexeme in _SHOWS:
+                out += ["\n" if lexeme in _OPENS_LINE else "", *operands, " "]
+            elif lexeme == b"T*":
+                out.append("\n")
+            operands = []
     return "".join(out)
 
 
-def _inflated(chunk: bytes) -> bytes:
-    for bits in (15, -15):
-        try:
-            return zlib.decompress(chunk, bits)
-        except zlib.error:
-            continue
-    return chunk
+def _streams(data: bytes) -> Iterator[bytes]:
+    """The bodies between ``stream`` and ``endstream``, inflated where they are deflated, with or without a header."""
+    at = 0
+    while (opened := re.compile(rb"stream\r?\n").search(data, at)) and (end := data.find(b"endstream", opened.end())) >= 0:
+        body, at = data[opened.end() : end].removesuffix(b"\n").removesuffix(b"\r"), end + len(b"endstream")
+        for header in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+            with contextlib.suppress(zlib.error):
+                body = zlib.decompress(body, header)
+                break
+        yield body
 
 
 def pdf_text(data: bytes) -> str:
     """The text that a PDF's content streams show; '' when there is none."""
-    streams = (_inflated(m[1]) for m in re.finditer(rb"stream\r?\n([\s\S]*?)\r?\n?endstream", data))
-    text = "".join(_shown(s) + "\n" for s in streams if re.search(rb"\bT[jJ]\b|\)\s*'", s))
-    text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    pages = [_shown(body) for body in _streams(data) if re.search(rb"\bT[jJ]\b|\)\s*'", body)]
+    lines = [re.sub(r"[ \t]+", " ", line).strip(" ") for line in "\n".join(pages).split("\n")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 pdf_text_udf = per_value("string", lambda b: pdf_text(bytes(b)))
