@@ -230,6 +230,12 @@ def dedupe_near_duplicates(items: DataFrame, rank: str = "rank", text: str = "te
     ``SETTLED_AT_ONCE`` pairs.
     """
     hashed = items.withColumn("_h", F.when(F.length(text) >= min_chars, simhash(terms(text))))
+    return collapse_hashes(hashed, rank, "_h", max_bits, max_rounds).drop("_h")
+
+
+def collapse_hashes(hashed: DataFrame, rank: str, hash_col: str, max_bits: int = 3, max_rounds: int = 50) -> DataFrame:
+    """``dedupe_near_duplicates`` of rows that have their hash, null for rows that never collapse. Appends ``kept``."""
+    hashed = hashed.withColumn("_h", F.col(hash_col))
     heads = hashed.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(rank).alias("head"))
     pairs = written(simhash_pairs(heads, "head", "_h", max_bits).select("a", "b"), "near-pairs")
     state = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "near-state")
@@ -248,13 +254,13 @@ def dedupe_near_duplicates(items: DataFrame, rank: str = "rank", text: str = "te
         rest = written(rest.select("a", "b", "ka"), "near-rest")
         if rest.count() <= SETTLED_AT_ONCE:
             last = _settle([(r.a, r.b, r.ka) for r in rest.collect()])
-            told = items.sparkSession.createDataFrame(list(last.items()), T.StructType([T.StructField("id", state.schema["id"].dataType), T.StructField("last", T.BooleanType())]))
+            told = hashed.sparkSession.createDataFrame(list(last.items()), T.StructType([T.StructField("id", state.schema["id"].dataType), T.StructField("last", T.BooleanType())]))
             state = state.join(F.broadcast(told), "id", "left").select("id", F.coalesce("kept", "last").alias("kept"))
             break
     gone = state.where(~F.col("kept")).select(F.col("id").alias("head"), F.lit(True).alias("_gone"))
     stays = heads.join(gone, "head", "left").select(F.col("_h"), F.when(F.col("_gone").isNull(), F.col("head")).alias("_stay"))
     joined = hashed.join(stays, "_h", "left")
-    return joined.withColumn("kept", F.col("_h").isNull() | F.coalesce(F.col(rank) == F.col("_stay"), F.lit(False))).drop("_h", "_stay")
+    return joined.withColumn("kept", F.col("_h").isNull() | F.coalesce(F.col(rank) == F.col("_stay"), F.lit(False))).drop("_stay", *(["_h"] if hash_col != "_h" else []))
 
 
 # -- diversity ----------------------------------------------------------------------------------
@@ -316,26 +322,35 @@ def diversify(items: DataFrame, tokens: str = "tokens", score: str = "score", ur
 def rank_documents(docs: DataFrame, question: str, limit: int | None = None, pool: int = 1000) -> DataFrame:
     """The flagship: rank ``docs(url, title, headings, text)`` for a question.
 
-    BM25F, near copies collapsed, the best that stay diversified: ``rank, url,
-    title, score, matched``, score to 4 digits. Near copies of a better
-    candidate go before the cut, so groups of copies of any size leave the pool
-    full: ``pool`` is how many candidates that stay are diversified; statistics
-    cover all documents. A question without terms gives no rows, and so does an
-    empty table; null fields are empty.
+    BM25F, near copies collapsed, the top diversified: ``rank, url, title,
+    score, matched``, score to 4 digits. Every document that is no near copy of
+    a better one is ranked, or the first ``limit`` of them. Diversifying is
+    sequential and compares all with all, so ``pool`` says how many of the best
+    take part; those after them follow by score. Near copies of a better
+    candidate go before that, so groups of copies of any size leave the pool
+    full; statistics cover all documents. A question without terms gives no
+    rows, and so does an empty table; null fields are empty.
     """
     fields = ["url", "title", "headings", "text"]
     narrow = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
-    tokens = narrow.withColumn("tokens", document_terms("text", "headings", "title"))
+    tokens = narrow.withColumn("tokens", document_terms("text", "headings", "title")).withColumn("own", F.slice("tokens", 1, F.size(terms("text"))))
+    tokens = written(tokens.select("url", "title", F.length("text").alias("n_chars"), "tokens", "own"), "terms")  # each text is read once
     out = "rank int, url string, title string, score double, matched array<string>"
     index = build_bm25_index(tokens, question)
     if not index.query_terms or not index.n:
         return docs.sparkSession.createDataFrame([], out)
-    digest = F.when(F.length("text") >= 500, F.sha2(F.array_join(terms("text"), " "), 256))
-    scored = tokens.select("url", "title", "text", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"), digest.alias("digest"))
+    digest = F.when(F.col("n_chars") >= 500, F.sha2(F.array_join("own", " "), 256))
+    scored = tokens.select("url", "title", "n_chars", "own", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"), digest.alias("digest"))
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    stays = _best_distinct(scored, pool)
-    best = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in stays], "row long")), "row")
-    words = best.select("url", "title", "score", "matched", F.array_distinct(terms("text")).alias("tokens"))
+    dropped(tokens)
+    whole = limit is None or limit > pool
+    stays = None if whole else _best_distinct(scored, pool)
+    if whole:
+        placed = written(_all_distinct(scored), "ranked")
+        best = scored.join(placed.where(F.col("place") <= pool).select("row"), "row")
+    else:
+        best = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in stays], "row long")), "row")
+    words = best.select("url", "title", "score", "matched", F.array_distinct("own").alias("tokens"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "url"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -345,7 +360,23 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
         pdf = pdf.iloc[order[:limit]].reset_index(drop=True)
         return pd.DataFrame({"rank": np.arange(1, len(pdf) + 1), "url": pdf["url"], "title": pdf["title"], "score": pdf["score"].round(4), "matched": pdf["matched"]})
 
-    return words.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(run, out)
+    top = words.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(run, out)
+    if not whole:
+        return top
+    most = F.greatest(F.lit(1e-9), F.lit(scored.agg(F.max("score")).first()[0]))
+    later = scored.join(placed.where((F.col("place") > pool) & (F.col("place") <= limit if limit else F.lit(True))), "row")
+    return top.unionByName(later.select(F.col("place").cast("int").alias("rank"), "url", "title", F.round(F.col("score") / most, 4).alias("score"), "matched"))
+
+
+def _all_distinct(scored: DataFrame) -> DataFrame:
+    """``row, place`` of all candidates that are no near copies of a better one, best first."""
+    from textmill.operators.numbering import ranked
+
+    keys = [F.col("score").desc(), F.col("url"), F.col("row")]
+    numbered = ranked(scored.select("row", "score", "url"), keys, "rank").select("row", "rank")
+    hashed = scored.select("row", F.when(F.col("n_chars") >= 500, simhash("own")).alias("hash")).join(numbered, "row")
+    kept = collapse_hashes(written(hashed, "hashes"), "rank", "hash").where("kept")
+    return ranked(kept.select("row", "rank"), [F.col("rank")], "place").select("row", "place")
 
 
 def _best_distinct(scored: DataFrame, pool: int, max_bits: int = 3) -> list[int]:
@@ -379,8 +410,8 @@ def _best_distinct(scored: DataFrame, pool: int, max_bits: int = 3) -> list[int]
 
     n, total = pool, heads.count()
     while True:
-        prefix = heads.orderBy("minus", "url", "row").limit(n).join(scored.select("row", "text"), "row")
-        hashed = prefix.select("minus", "url", "row", F.when(F.length("text") >= 500, simhash(terms("text"))).alias("hash"))
+        prefix = heads.orderBy("minus", "url", "row").limit(n).join(scored.select("row", "n_chars", "own"), "row")
+        hashed = prefix.select("minus", "url", "row", F.when(F.col("n_chars") >= 500, simhash("own")).alias("hash"))
         stays = [r.row for r in hashed.repartition(1).sortWithinPartitions("minus", "url", "row").select("row", "hash").mapInArrow(greedy, "row long").collect()]
         if len(stays) == pool or n >= total:
             return stays

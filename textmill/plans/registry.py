@@ -55,8 +55,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rank_documents(spark, d):
-    """The flagship: BM25F, collapse, diversify, top 20."""
-    return flagship(spark, d)
+    """BM25F, collapse, diversify: every document that is no near copy of a better one."""
+    return ranking.rank_documents(as_documents(table(spark, d, "documents")), QUESTION)
 
 
 # -- terms and scores ---------------------------------------------------------------------------
