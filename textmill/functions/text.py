@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
@@ -145,9 +145,13 @@ def slugify(c: Column | str, max_length: int = 120, fallback: str = "") -> Colum
 # -- question side: one literal question, compiled on the driver --------------------------------
 
 
+@cache
+def _plain_letters() -> dict[int, int]:
+    return str.maketrans(*accent_table())
+
+
 def _py_lower_plain(s: str) -> str:
-    source, target = accent_table()
-    return s.translate(str.maketrans(source, target))
+    return s if s.isascii() else s.translate(_plain_letters())
 
 
 def py_fold_term(raw: str) -> str:
