@@ -96,7 +96,7 @@ def terms(c: Column | str, extra_stopwords: Iterable[str] = ()) -> Column:
     """Canonical terms of a text, in order, with repetition. Null texts have none.
 
     In Arrow batches: a chain of array expressions takes every word through a
-    list of stopwords and five patterns again, at ten times the cost.
+    list of stopwords and five patterns again, at several times the cost.
     """
     extra = frozenset(w.lower() for w in extra_stopwords)
     udf = per_value("array<string>", lambda text: text_terms(text, extra)) if extra else _terms_udf
