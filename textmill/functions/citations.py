@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.batched import per_value
@@ -132,10 +133,20 @@ def _kind(line: str) -> str:
     return "quote" if re.match(r"^\s*>", line) else "item" if _ITEM.match(line) else "prose"
 
 
-def claim_units(text: str, quotes: str = "unit", skip_table_header: bool = True, keep_inline_code: bool = False) -> list[dict]:
+def claim_units(
+    text: str,
+    exclude: Sequence[bool] | None = None,
+    quotes: str = "unit",
+    skip_table_header: bool = True,
+    keep_inline_code: bool = False,
+    section_tag: Callable[[str], str | None] | None = None,
+) -> list[dict]:
     """A report's claims: paragraphs, table rows, quotes as text; lists as items. Code, comments and headings are none.
 
-    Lines are classified first; runs of one class then form the units.
+    Lines are classified first; runs of one class then form the units. Lines
+    marked in ``exclude`` count as code; a mask shorter than the text excludes
+    nothing beyond its end. ``section_tag`` maps a heading to the ``section`` of
+    the units up to the next heading, or to None.
     """
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
     lines = re.sub(r"<!--[\s\S]*?-->", blank, text).split("\n")
@@ -146,18 +157,24 @@ def claim_units(text: str, quotes: str = "unit", skip_table_header: bool = True,
         fence = bool(_FENCE.match(raw))
         kinds.append("code" if fence or fenced else _kind(line))
         fenced = fenced != fence
+    for i, out in enumerate(() if exclude is None else exclude):
+        if out and i < len(kinds):
+            kinds[i] = "code"
     if quotes == "prose":
         kinds = ["prose-quote" if k == "quote" else k for k in kinds]
     units: list[dict] = []
     run: list[str] = []
-    mode = ""
+    mode, section = "", None
+
+    def said_so(kind: str, text: str | None, items: list[str]) -> None:
+        units.append({"kind": kind, "text": text, "items": items} | ({} if section is None else {"section": section}))
 
     def close() -> None:
         nonlocal run, mode
         if mode == "list":
-            units.append({"kind": "list", "text": None, "items": run})
+            said_so("list", None, run)
         elif run:
-            units.append({"kind": "text", "text": " ".join(run), "items": []})
+            said_so("text", " ".join(run), [])
         run, mode = [], ""
 
     separator = [k == "gap" and "|" in b for k, b in zip(kinds, bare)] + [False]
@@ -171,11 +188,13 @@ def claim_units(text: str, quotes: str = "unit", skip_table_header: bool = True,
             run.append(_ITEM.sub("", line).strip())
         elif kind in ("gap", "heading", "code"):
             close()
+            if kind == "heading" and section_tag:
+                section = section_tag(bare[i].strip())
         elif kind == "row":
             close()
             if not (skip_table_header and separator[i + 1]):
                 cells = re.sub(r"\|$", "", re.sub(r"^\|", "", line.strip())).split("|")
-                units.append({"kind": "text", "text": " ".join(c.strip() for c in cells), "items": []})
+                said_so("text", " ".join(c.strip() for c in cells), [])
         else:
             now = "quote" if kind == "quote" else "prose"
             if mode != now:
@@ -188,21 +207,33 @@ def claim_units(text: str, quotes: str = "unit", skip_table_header: bool = True,
     return units
 
 
-_UNITS = "array<struct<kind:string,text:string,items:array<string>>>"
+_UNITS = "array<struct<kind:string,text:string,items:array<string>,section:string>>"
 
 
-def claim_units_column(text: Column | str, **options) -> Column:
-    return per_value(_UNITS, lambda t: claim_units(t, **options))(text)
+def claim_units_column(text: Column | str, exclude: Column | None = None, **options) -> Column:
+    """``claim_units`` of a column; ``exclude`` is a mask over its lines, such as ``appendix_mask`` or several through ``or_masks``."""
+    f = per_value(_UNITS, lambda t, mask=None: claim_units(t, mask, **options))
+    return f(text) if exclude is None else f(text, exclude)
 
 
 def unit_texts(unit: Column) -> Column:
     return F.when(unit["kind"] == "text", F.array(unit["text"])).otherwise(unit["items"])
 
 
-def collect_citations(text: Column | str, pattern: str = SOURCE_TOKEN) -> Column:
+def collect_citations(text: Column | str, pattern: str = SOURCE_TOKEN, exclude: Column | None = None) -> Column:
     """``STRUCT<grounding, inert_only>``: tokens inside claims, and tokens that occur nowhere but outside of them."""
-    units = claim_units_column(text)
+    units = claim_units_column(text, exclude)
     grounding = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(units, unit_texts)), lambda t: citation_tokens(t, pattern))))
     every = F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(TOKEN), F.lit(1)), trim_space)
     every = F.array_distinct(F.filter(every, lambda t: t.rlike(pattern)))
     return F.struct(grounding.alias("grounding"), F.array_except(every, grounding).alias("inert_only"))
+
+
+def dangling_tokens(cited: DataFrame, known: DataFrame, token: str = "token") -> DataFrame:
+    """Distinct cited tokens that nothing known bears; nulls are no tokens."""
+    return cited.select(token).where(F.col(token).isNotNull()).distinct().join(known.select(token), token, "left_anti")
+
+
+def uncited_ids(cited: DataFrame, known: DataFrame, token: str = "token") -> DataFrame:
+    """Distinct known identifiers that no claim cites: the difference the other way round."""
+    return dangling_tokens(known, cited, token)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textmill.operators.cuts import written
 
@@ -25,3 +26,16 @@ def ranked(df: DataFrame, order: Sequence[Column], out: str, start: int = 1) ->
         total += n
     shift = df.sparkSession.createDataFrame(bases, "_part int, _shift long")
     return ordered.join(F.broadcast(shift), "_part").withColumn(out, F.col("_no") + F.col("_shift")).drop("_part", "_no", "_shift")
+
+
+def to_batches(df: DataFrame, size: int, order: Sequence[Column], group: Sequence[str] = (), out: str = "batch") -> DataFrame:
+    """Append the number, from 0, of the batch of ``size`` rows that a row falls in, in ``order``, within each group.
+
+    A size below 1 counts as 1. Without a group the places come from ``ranked``,
+    and the last key of ``order`` must be unique.
+    """
+    width = max(1, int(size))
+    if group:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+        return df.withColumn(out, F.floor(place / width).cast("bigint"))
+    return ranked(df, order, out, 0).withColumn(out, F.floor(F.col(out) / width).cast("bigint"))

@@ -23,6 +23,7 @@ from textmill.functions.text import Matcher, query_terms, terms
 from textmill.functions.urls import canonicalize_url
 from textmill.functions.vectors import cosine
 from textmill.operators.cuts import dropped, written
+from textmill.operators.numbering import ranked
 
 # Fixed values of the scorer: field weights, proximity window and its most.
 TITLE_WEIGHT, HEADING_WEIGHT = 3, 2
@@ -109,22 +110,20 @@ def dedupe_by_url(items: DataFrame, url: str = "url", score: str = "score", pos:
     return canon.withColumn("_rn", F.row_number().over(best)).withColumn("_first", first).where("_rn = 1").withColumn(pos, F.col("_first")).drop("_rn", "_first")
 
 
-def relevance_floor(ranked: DataFrame, asked: Sequence[str], floor: int, rank: str = "rank", matched: str = "matched") -> DataFrame:
+def relevance_floor(ordered: DataFrame, asked: Sequence[str], floor: int, rank: str = "rank", matched: str = "matched") -> DataFrame:
     """Drop candidates that share no word with the question, but never below ``floor`` of them.
 
     Appends ``kept`` and ``place``: kept rows first in rank order, re-admitted
     ones after them. Inert unless the question has two terms, one with letters.
+    Places come from a range sort over topic and ``rank``, which must be unique.
     """
     wordy = [t for t in asked if any(ch.isalpha() for ch in t)]
     if len(asked) < 2 or not wordy:
-        return ranked.withColumn("kept", F.lit(True)).withColumn("place", F.row_number().over(Window.orderBy(rank)))
+        return ranked(ordered.withColumn("kept", F.lit(True)), [F.col(rank)], "place")
     off = ~F.exists(F.coalesce(matched, F.array().cast("array<string>")), lambda t: t.rlike(r"\p{L}"))
-    flagged = ranked.withColumn("_off", off)
-    counts = flagged.agg(F.count_if(~F.col("_off")).alias("on")).first()
-    readmitted = max(0, floor - counts.on)
-    among = F.row_number().over(Window.partitionBy("_off").orderBy(rank))
-    told = flagged.withColumn("_among", among).withColumn("kept", ~F.col("_off") | (F.col("_among") <= readmitted))
-    return told.withColumn("place", F.col("_among") + F.when(F.col("_off"), F.lit(counts.on)).otherwise(0)).drop("_off", "_among")
+    placed = ranked(ordered.withColumn("_off", off), [F.col("_off"), F.col(rank)], "place")
+    on = placed.agg(F.count_if(~F.col("_off"))).first()[0]
+    return placed.withColumn("kept", ~F.col("_off") | (F.col("place") <= max(on, floor))).drop("_off")
 
 
 def recency(year: Column | str, least: Column, most: Column) -> Column:
@@ -370,8 +369,6 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
 
 def _all_distinct(scored: DataFrame) -> DataFrame:
     """``row, place`` of all candidates that are no near copies of a better one, best first."""
-    from textmill.operators.numbering import ranked
-
     keys = [F.col("score").desc(), F.col("url"), F.col("row")]
     numbered = ranked(scored.select("row", "score", "url"), keys, "rank").select("row", "rank")
     hashed = scored.select("row", F.when(F.col("n_chars") >= 500, simhash("own")).alias("hash")).join(numbered, "row")
@@ -431,8 +428,6 @@ def hybrid_search(docs: DataFrame, question: str, question_vector: Sequence[floa
 
     def lane(lanes: DataFrame, score: str) -> DataFrame:
         """Ranks come from the sorted output's gapless numbering rather than from one window over all rows."""
-        from textmill.operators.numbering import ranked
-
         return ranked(lanes.select(pos, "id", score), [F.col(score).desc(), F.col(pos)], f"{score}_rank")
 
     fused = lane(lanes, "lexical").select(pos, "id", "lexical_rank")

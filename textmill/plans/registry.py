@@ -6,8 +6,6 @@ a relational table, so that what it extracts can be compared with those rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,27 +14,10 @@ from textmill.functions import citations, hashing, locale, markup, structure, te
 from textmill.operators import numbering, ranking, state
 from textmill.operators.cuts import written
 from textmill.plans import sql
+from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
 from textmill.sources import apis, bytes as raw, responses
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: The fixed question of the ranking queries: words of the corpus in several languages.
-QUESTION = "thering enten pour leaux considerations of worthless verkeit"
-
-
-def query(oracle: str | None = None):
-    def wrap(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return wrap
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def as_documents(docs: DataFrame) -> DataFrame:
@@ -102,7 +83,14 @@ def keywords(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.keywords("text"), " ").alias("kw"))
 
 
-@query()
+@query(rf"""
+    WITH w AS (SELECT item_id, {sql.words('text')} AS w FROM benchmark),
+    k AS (SELECT item_id, list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i THEN {{'i': i, 'w': x}} END), lambda x: x IS NOT NULL) AS k FROM w),
+    s AS (SELECT item_id, list_sort(list_transform(k, lambda x: {{'minus': -(
+        CASE WHEN regexp_matches(x.w, '[0-9]') THEN 3.0 ELSE 0 END + CASE WHEN regexp_matches(x.w, '[A-Z]') AND NOT regexp_full_match(x.w, '[A-Z0-9]+') THEN 2.0 ELSE 0 END
+        + CASE WHEN contains(x.w, '_') THEN 2.0 ELSE 0 END + CASE WHEN length(x.w) >= 8 THEN 1.5 WHEN length(x.w) >= 5 THEN 0.5 ELSE 0 END), 'i': x.i, 'w': x.w}})) AS s FROM k)
+    SELECT item_id, coalesce(array_to_string(list_transform(s, lambda x: x.w), ' '), '') AS kw FROM s
+""")
 def ranked_keywords(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.ranked_keywords("text"), " ").alias("kw"))
 
@@ -119,7 +107,13 @@ def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", text.slugify("url").alias("slug"))
 
 
-@query()
+@query(rf"""
+    WITH a AS (SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') AS u FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g') AS u FROM a),
+    p AS (SELECT page_id, list_filter(string_split_regex(u, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS p FROM b),
+    g AS (SELECT page_id, p, list_filter(list_transform(p, lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN {sql.STOP_LIST}) AS g FROM p)
+    SELECT page_id, CASE WHEN len(p) < 2 THEN '' ELSE coalesce(array_to_string(list_filter(list_transform(g, lambda x, i: CASE WHEN list_position(g, x) = i THEN x END), lambda x: x IS NOT NULL)[1:4], ' '), '') END AS parts FROM g
+""")
 def subtokens(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(text.subtokens(F.regexp_replace("url", "[^A-Za-z0-9]+", "_")), " ").alias("parts"))
 
@@ -231,7 +225,13 @@ def content_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", state.content_hash(F.coalesce("text", F.lit(""))).alias("sha"))
 
 
-@query()
+@query(f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, {sql.terms('text')} AS t FROM documents WHERE length(text) >= 500),
+    h AS MATERIALIZED ({sql.simhash('d', 'doc_id')}),
+    g AS MATERIALIZED (SELECT h, min(doc_id) AS head FROM h GROUP BY h)
+    SELECT least(x.head, y.head) AS a, greatest(x.head, y.head) AS b, bit_count(xor(x.h, y.h))::INT AS bits FROM g x JOIN g y ON x.head < y.head WHERE bit_count(xor(x.h, y.h)) <= 12
+    UNION ALL SELECT head, doc_id, 0 FROM h JOIN g USING (h) WHERE doc_id <> head
+""")
 def near_duplicate_pairs(spark, d):
     """SimHash pairs ``a, b, bits`` at 12 bits of texts of 500 characters and more.
 
@@ -294,7 +294,14 @@ def rank_fusion(spark, d):
     return ranking.rrf(lists).select("key", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+    l AS ({sql.bm25(QUESTION, 'tokens', f"SELECT doc_id, {sql.terms('text')} AS tokens FROM documents", 'doc_id')}),
+    x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS lexical_rank FROM l),
+    v AS (SELECT doc_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, doc_id) AS dense_rank FROM documents JOIN embeddings ON doc_id = vec_id, q),
+    f AS (SELECT doc_id, lexical_rank, dense_rank, 1.0::DOUBLE / (60 + lexical_rank) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0) AS score FROM x LEFT JOIN v USING (doc_id))
+    SELECT doc_id::VARCHAR AS id, lexical_rank, dense_rank, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM f ORDER BY score DESC, doc_id LIMIT 10
+""")
 def hybrid_search(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"), "left")
     q = table(spark, d, "embeddings").orderBy("vec_id").limit(1).select("embedding").first()[0]
@@ -541,12 +548,12 @@ def dangling_tokens(spark, d):
     """Cited tokens that no source has."""
     cited = _claims(spark, d).select(F.explode(citations.citation_tokens("claim")).alias("token"))
     known = spark.range(30).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("token"))
-    return cited.join(known, "token", "left_anti").distinct()
+    return citations.dangling_tokens(cited, known)
 
 
 @query("SELECT d.doc_id FROM (SELECT DISTINCT doc_id FROM documents) d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 def uncited_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return citations.uncited_ids(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id")
 
 
 @query()
@@ -664,7 +671,10 @@ def cache_read_through(spark, d):
     return state.read_through(got.select("url"), held, got, _NOW, _TTL).select("url", "text", "source")
 
 
-@query()
+@query(f"""
+    SELECT page_id, regexp_replace(regexp_extract(canon, '^[a-z]+://([^/?#]+)', 1), '[^A-Za-z0-9.-]', '_', 'g') || '-' || ltrim({sql.fnv("canon || chr(0) || 'en' || chr(0) || 'native'")}, '0') AS key
+    FROM (SELECT page_id, {_CANON} AS canon FROM pages)
+""")
 def cache_keys(spark, d):
     return state.with_cache_key(table(spark, d, "pages").select("page_id", "url"), language=F.lit("en")).select("page_id", "key")
 
@@ -683,7 +693,10 @@ def retry_hints(spark, d):
     return e.select("event_id", responses.retry_after_ms(F.try_element_at("h", F.lit("retry-after"))).alias("wait_ms"), responses.detect_rate_limited("status", "h").alias("limited"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_name, floor(log2(p_partkey))::INT AS depth FROM part WHERE p_partkey BETWEEN 1 AND 31)
+    SELECT 'https://x.org/p/' || k AS url, depth, (k - (1 << depth) + 1)::INT AS place, p_name AS title, p_name AS text FROM p ORDER BY k LIMIT 20
+""")
 def site_crawl(spark, d):
     """A walk over a site whose pages are parts: part p links to 2p and 2p + 1."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
@@ -781,13 +794,11 @@ def locale_headers(spark, d):
 @query("SELECT c_nationkey, b AS batch, count(*) AS n, min(c_custkey) AS first FROM (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 8 AS b FROM customer) GROUP BY ALL")
 def batches(spark, d):
     """Order-preserving batches of 8 per worklist."""
-    no = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.floor(no / 8).cast("bigint").alias("batch"))
+    c = numbering.to_batches(table(spark, d, "customer").select("c_nationkey", "c_custkey"), 8, [F.col("c_custkey")], ["c_nationkey"])
     return c.groupBy("c_nationkey", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
 
 
 
-
 # -- more of the same operators -----------------------------------------------------------------
 
 _POWERS = "[" + ", ".join(f"{1 << b}::HUGEINT" for b in range(64)) + "]"
@@ -813,7 +824,18 @@ def bm25_stats(spark, d):
     return tokens.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")), 6).alias("avgdl"), *df)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {sql.terms('text')} AS t FROM documents WHERE length(text) >= 500),
+    h AS MATERIALIZED ({sql.simhash('d', 'doc_id')}),
+    r AS MATERIALIZED (SELECT doc_id, h, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS rank FROM documents LEFT JOIN h USING (doc_id)),
+    g AS (
+        SELECT 0::BIGINT AS rank, NULL::BIGINT AS doc_id, true AS kept, []::HUGEINT[] AS stay
+        UNION ALL
+        SELECT r.rank, r.doc_id, r.h IS NULL OR len(list_filter(g.stay, lambda s: bit_count(xor(s, r.h)) <= 8)) = 0,
+               CASE WHEN r.h IS NULL OR len(list_filter(g.stay, lambda s: bit_count(xor(s, r.h)) <= 8)) > 0 THEN g.stay ELSE list_append(g.stay, r.h) END
+        FROM g JOIN r ON r.rank = g.rank + 1)
+    SELECT doc_id, rank, kept FROM g WHERE rank > 0
+""")
 def near_duplicate_collapse(spark, d):
     """Greedy collapse of all documents at 8 bits, best (longest) first."""
     docs = numbering.ranked(table(spark, d, "documents").select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).alias("n")), [F.col("n").desc(), F.col("doc_id")], "rank")
@@ -940,3 +962,6 @@ def search_pages(spark, d):
     u = F.concat(F.lit("https://www.x.org/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/?utm_source=a"))
     hits = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), F.lit(0).alias("page"), F.col("c_custkey").alias("pos"), u.alias("url"))
     return apis.paged_hits(hits).select("query", "pos", urls.canonicalize_url("url").alias("url"))
+
+
+from textmill.plans import facts  # noqa: E402, F401  registers the queries over constructed reports, pages and answers

@@ -61,3 +61,21 @@ def n_hits(question: str, x: str) -> str:
         own = " OR ".join(f"regexp_matches({x}, {lit('(?i)' + accent_pattern(t))})" for t, _ in k.variants)
         each.append(f"CASE WHEN {own} THEN 1 ELSE 0 END")
     return "(" + " + ".join(each) + ")"
+
+
+def fnv_value(x: str) -> str:
+    """The 64-bit FNV-1a of a text's code points, as HUGEINT."""
+    return f"""list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::HUGEINT)),
+        lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)"""
+
+
+def fnv(x: str) -> str:
+    return f"format('{{:016x}}', {fnv_value(x)})"
+
+
+def simhash(source: str, key: str) -> str:
+    """``key`` and ``h`` (HUGEINT) of every row of ``source``, which has the terms as list ``t``: three-term shingles, the majority of each bit."""
+    shingles = "CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END"
+    each = f"SELECT {key}, {fnv_value('x')}::UBIGINT AS u FROM (SELECT {key}, unnest({shingles}) AS x FROM {source})"
+    bits = " + ".join(f"CASE WHEN 2 * sum((u >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
+    return f"SELECT {key}, coalesce(h, 0::HUGEINT) AS h FROM (SELECT {key} FROM {source}) LEFT JOIN (SELECT {key}, {bits} AS h FROM ({each}) GROUP BY {key}) USING ({key})"
