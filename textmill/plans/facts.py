@@ -9,7 +9,7 @@ from textmill.functions import citations, hashing, markup, structure, text, urls
 from textmill.operators import state
 from textmill.operators.cuts import work_path
 from textmill.plans.catalog import query, table
-from textmill.sources import apis, bytes as raw, responses, store
+from textmill.sources import apis, bytes as raw, responses, site, store
 
 
 def said(*parts: Column | str) -> Column:
@@ -198,6 +198,80 @@ def extraction_routes(spark, d):
     return raw.extract(stored).select("s_suppkey", "text", "title", "note", "extractor")
 
 
+@query("""
+    SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'any ' || s_name WHEN 1 THEN 'fire ' || s_name ELSE '' END AS text,
+           CASE s_suppkey % 3 WHEN 0 THEN 'anydoc' WHEN 1 THEN 'firecrawl' END AS extractor, CASE WHEN s_suppkey % 3 = 2 THEN 'no converter for this format' END AS reason FROM supplier
+""")
+def document_rungs(spark, d):
+    """The office ladder over given rungs: garbled and missing texts fall through, nothing readable is refused."""
+    k, name = F.col("s_suppkey") % 3, F.col("s_name")
+    rungs = {"anydoc": F.when(k == 0, said("any ", name)).when(k == 1, F.lit("�" * 20)), "firecrawl": F.when(k == 1, said("fire ", name)).when(k == 0, said("fire ", name))}
+    r = table(spark, d, "supplier").select("s_suppkey", raw.doc_ladder(**rungs).alias("r"))
+    return r.select("s_suppkey", "r.text", "r.extractor", "r.reason")
+
+
+# -- what sites publish -------------------------------------------------------------------------
+
+
+def _stored(rows: DataFrame, url: Column, status: Column, body: Column, kind: str) -> DataFrame:
+    return rows.select(url.alias("url"), status.cast("int").alias("status"), F.lit(kind).alias("content_type"), F.encode(body, "UTF-8").alias("bytes"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 <> 0 AS allowed, c_custkey % 4 <> 0 AS absent, CASE WHEN c_custkey % 4 = 0 THEN 1500 END::VARCHAR AS crawl_delay_ms FROM customer")
+def stored_robots(spark, d):
+    """Rules by origin: a file that forbids, none, a failed and a blank one; the failed one is no reason to stay away."""
+    k, c = F.col("c_custkey"), table(spark, d, "customer").select("c_custkey")
+    origin = said("https://h", k, ".org:8443")
+    status = F.when(k % 4 == 1, 404).otherwise(200)
+    body = F.when(k % 4 == 2, F.lit(" \n")).otherwise(F.lit("User-agent: *\nDisallow: /private\nCrawl-delay: 1.5\n"))
+    files = _stored(c.where(k % 4 != 3), F.concat(origin, F.lit("/robots.txt")), status, body, "text/plain")
+    pages = c.select("c_custkey", F.concat(origin, F.lit("/private/a")).alias("url"))
+    r = site.robots_of(pages, files, "textmill")
+    return r.select("c_custkey", structure.is_allowed("robots", "url").alias("allowed"), F.col("robots.absent").alias("absent"), F.col("robots.crawl_delay_ms").cast("string").alias("crawl_delay_ms"))
+
+
+@query("""
+    SELECT 'https://h' || s_suppkey || '.org/start' AS url, unnest([0, 2]) AS doc_no, 'https://h' || s_suppkey || '.org/' || unnest(['a', 'c']) AS loc FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT 'https://h' || s_suppkey || '.org/start', 0, 'https://h' || s_suppkey || '.org/s' FROM supplier WHERE s_suppkey % 2 = 1
+""")
+def stored_sitemaps(spark, d):
+    """Three documents a site: even sites name an index with pages and two further maps, the second of which is beyond the budget; odd ones have the usual address."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey")
+    at = lambda path: said("https://h", k, f".org/{path}")
+    entry = lambda path: said("<url><loc>", at(path), "</loc></url>")
+    index = said(entry("a"), "<sitemap><loc>", at("m2.xml"), "</loc></sitemap><sitemap><loc>", at("m3.xml"), "</loc></sitemap>")
+    even, odd, ok = s.where(k % 2 == 0), s.where(k % 2 == 1), F.lit(200)
+    stored = _stored(even, at("m1.xml"), ok, said("<urlset>", index, "</urlset>"), "text/xml")
+    for rows, path, status, body in ((even, "m2.xml", ok, entry("c")), (even, "m3.xml", ok, entry("d")), (even, "sitemap.xml", F.lit(404), entry("x")), (odd, "sitemap.xml", ok, entry("s"))):
+        stored = stored.unionByName(_stored(rows, at(path), status, said("<urlset>", body, "</urlset>"), "text/xml"))
+    sites = s.select(at("start").alias("url"), F.when(k % 2 == 0, F.array(at("m1.xml"))).alias("sitemaps"))
+    return site.sitemaps_of(sites, stored).select("url", "doc_no", "loc")
+
+
+@query("SELECT 'https://x.org/f/' || s_suppkey AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'atom' ELSE 'rss' END AS kind, s_name AS title, 'https://x.org/i/' || s_suppkey AS link FROM supplier WHERE s_suppkey % 4 IN (0, 1)")
+def stored_feeds(spark, d):
+    """Atom, RSS, a page that is no feed and a failed answer with the body of one."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    link = said("https://x.org/i/", k)
+    atom = said('<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>', name, '</title><link href="', link, '"/></entry></feed>')
+    rss = said("<rss><channel><title>F</title><item><title>", name, "</title><link>", link, "</link></item></channel></rss>")
+    body = F.when(k % 4 == 0, atom).when(k % 4 == 2, F.lit("<html><body>none</body></html>")).otherwise(rss)
+    f = site.feeds_of(_stored(table(spark, d, "supplier"), said("https://x.org/f/", k), F.when(k % 4 == 3, 500).otherwise(200), body, "text/xml"))
+    return f.select("url", F.col("feed.kind").alias("kind"), F.explode("feed.items").alias("i")).select("url", "kind", "i.title", F.col("i.url").alias("link"))
+
+
+@query("""
+    SELECT 'https://x.org/j/' || c_custkey AS url, c_custkey % 4 <> 3 AS ok, CASE WHEN c_custkey % 4 IN (0, 3) THEN c_custkey::VARCHAR END AS n, CASE WHEN c_custkey % 4 = 1 THEN 'plain ' || c_custkey END AS text FROM customer
+""")
+def stored_json(spark, d):
+    """JSON, text that is none, an empty body, and JSON of a failed request, which is told all the same."""
+    k = F.col("c_custkey")
+    body = F.when(k % 4 == 1, said("plain ", k)).when(k % 4 == 2, "").otherwise(said('{"n":', k, "}"))
+    j = site.json_answers(_stored(table(spark, d, "customer"), said("https://x.org/j/", k), F.when(k % 4 == 3, 400).otherwise(200), body, "application/json"))
+    return j.select("url", "ok", F.try_variant_get("data", "$.n", "string").alias("n"), "text")
+
+
 # -- state --------------------------------------------------------------------------------------
 
 

@@ -118,13 +118,30 @@ def subtokens(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(text.subtokens(F.regexp_replace("url", "[^A-Za-z0-9]+", "_")), " ").alias("parts"))
 
 
-@query()
+@query(f"""
+    WITH l AS MATERIALIZED ({sql.headed_lines('documents', 'doc_id')}),
+    s AS (SELECT *, greatest({sql.n_hits(QUESTION, 'line')}, {sql.n_hits('leaux pour', 'line')})::INT AS score, greatest(0, i - 3) AS lo, least(len(lines), i + 12)::INT AS hi FROM l),
+    c AS (SELECT *, left(array_to_string(lines[lo + 1 : hi], chr(10)), 1500) AS snippet, max(score) OVER (PARTITION BY doc_id) AS most FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rn FROM c WHERE (score > 0 OR (most = 0 AND i = 0)) AND {sql.trimmed('snippet')} <> ''),
+    f AS (SELECT doc_id, lo AS lo1, hi AS hi1 FROM r WHERE rn = 1),
+    w AS (SELECT r.*, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS nth FROM r JOIN f USING (doc_id) WHERE rn = 1 OR NOT (lo < hi1 AND hi > lo1))
+    SELECT doc_id, lo AS start, hi AS "end", i AS anchor, score, heading, length(snippet)::INT AS n_chars FROM w WHERE nth <= 2
+""")
 def excerpt_windows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.inline(text.excerpt_windows("text", [QUESTION, "leaux pour"])))
     return docs.select("doc_id", "start", "end", "anchor", "score", "heading", F.length("snippet").alias("n_chars"))
 
 
-@query()
+@query(rf"""
+    WITH l AS MATERIALIZED ({sql.headed_lines('documents', 'doc_id')}),
+    p AS (SELECT doc_id, i AS line, heading, unnest(list_transform(parts, lambda x: {sql.trimmed('x')})) AS t, unnest(range(len(parts))) AS no
+          FROM (SELECT *, string_split(regexp_replace(line, '([.!?]){sql.SPACE}+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l WHERE NOT regexp_matches(line, '^#{{1,6}}{sql.SPACE}'))),
+    s AS (SELECT *, {sql.n_hits(QUESTION, 't')} AS score FROM p WHERE length(t) >= 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, no) AS rn, max(score) OVER (PARTITION BY doc_id) AS most FROM s),
+    c AS (SELECT doc_id, string_agg(t, ' ' ORDER BY line, no) AS said, first(heading ORDER BY line, no) AS heading FROM r WHERE rn <= 3 AND (score > 0 OR most = 0) GROUP BY doc_id),
+    o AS (SELECT doc_id, array_to_string(first(lines)[1:4], ' ') AS opening FROM l GROUP BY doc_id)
+    SELECT doc_id, {sql.trimmed("left(CASE WHEN said IS NULL THEN opening WHEN heading IS NOT NULL AND NOT starts_with(said, heading) THEN heading || ' — ' || said ELSE said END, 360)")} AS snippet FROM o LEFT JOIN c USING (doc_id)
+""")
 def focused_snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", markup.focused_snippet("text", QUESTION).alias("snippet"))
 

@@ -79,3 +79,23 @@ def simhash(source: str, key: str) -> str:
     each = f"SELECT {key}, {fnv_value('x')}::UBIGINT AS u FROM (SELECT {key}, unnest({shingles}) AS x FROM {source})"
     bits = " + ".join(f"CASE WHEN 2 * sum((u >> {b}) & 1) > count(*) THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
     return f"SELECT {key}, coalesce(h, 0::HUGEINT) AS h FROM (SELECT {key} FROM {source}) LEFT JOIN (SELECT {key}, {bits} AS h FROM ({each}) GROUP BY {key}) USING ({key})"
+
+
+#: White space as ``functions.text.SPACE`` has it.
+SPACE = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def headed_lines(source: str, key: str) -> str:
+    """``key, lines, i, line, heading``: every line of ``text`` with the markdown heading at or above it, fenced code aside."""
+    found = rf"nullif(trim(regexp_extract(line, '^#{{1,6}}{SPACE}+(.+?){SPACE}*#*{SPACE}*$', 1)), '')"
+    return rf"""
+        SELECT {key}, lines, i, line, last_value(own IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY i) AS heading FROM (
+            SELECT *, CASE WHEN fence = 0 AND fences % 2 = 0 THEN {found} END AS own FROM (
+                SELECT *, sum(fence) OVER (PARTITION BY {key} ORDER BY i) AS fences FROM (
+                    SELECT *, CASE WHEN regexp_matches(line, '^{SPACE}*(```|~~~)') THEN 1 ELSE 0 END AS fence FROM (
+                        SELECT {key}, lines, unnest(range(len(lines)))::INT AS i, unnest(lines) AS line FROM (SELECT {key}, string_split(coalesce(text, ''), chr(10)) AS lines FROM {source})))))
+    """

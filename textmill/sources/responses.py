@@ -64,16 +64,33 @@ def revalidation_headers(etag: Column | str, last_modified: Column | str) -> Col
     return F.map_filter(both, lambda _, v: v.isNotNull())
 
 
-def fetch_one(url: str, timeout: float = TIMEOUT_S, max_bytes: int = MAX_BYTES, agent: str = "textmill") -> tuple:
-    """One GET as a row of ``SCHEMA``; whatever goes wrong is in the row."""
+def fetch_one(
+    url: str,
+    timeout: float = TIMEOUT_S,
+    max_bytes: int = MAX_BYTES,
+    agent: str = "textmill",
+    method: str = "GET",
+    body: str | None = None,
+    headers: dict[str, str] | None = None,
+    retries: int = ATTEMPTS - 1,
+) -> tuple:
+    """One request as a row of ``SCHEMA``; whatever goes wrong is in the row.
+
+    A body is sent as JSON unless ``headers`` say otherwise; their names are
+    lower-cased and win over the defaults. Transient statuses and lost
+    connections are tried again ``retries`` times.
+    """
     last: tuple = ()
-    for attempt in range(ATTEMPTS):
+    attempts = 1 + max(0, retries)
+    sent = {"user-agent": agent, **({} if body is None else {"content-type": "application/json"}), **{k.lower(): v for k, v in (headers or {}).items()}}
+    data = None if body is None else body.encode()
+    for attempt in range(attempts):
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers={"user-agent": agent}), timeout=timeout) as r:  # noqa: S310
+            with urllib.request.urlopen(urllib.request.Request(url, data=data, headers=sent, method=method), timeout=timeout) as r:  # noqa: S310
                 h, declared = r.headers, int(r.headers.get("content-length") or 0)
-                data = b"" if declared > max_bytes else r.read(max_bytes)
+                got = b"" if declared > max_bytes else r.read(max_bytes)
                 error = f"body of {declared} bytes is over {max_bytes}" if declared > max_bytes else None
-                return (url, error is None, r.status, h.get("content-type"), data, r.url, h.get("etag"), h.get("last-modified"), False, None, error)
+                return (url, error is None, r.status, h.get("content-type"), got, r.url, h.get("etag"), h.get("last-modified"), False, None, error)
         except urllib.error.HTTPError as e:
             limited = e.code == 429 or (e.code == 403 and e.headers.get("x-ratelimit-remaining") == "0")
             hint = e.headers.get("retry-after")
@@ -81,7 +98,7 @@ def fetch_one(url: str, timeout: float = TIMEOUT_S, max_bytes: int = MAX_BYTES,
             last = (url, False, e.code, e.headers.get("content-type"), b"", url, e.headers.get("etag"), e.headers.get("last-modified"), limited, wait, str(e))
             if e.code not in RETRY_STATUS:
                 return last
-            if attempt + 1 < ATTEMPTS:
+            if attempt + 1 < attempts:
                 time.sleep((wait or 500) / 1000)
         except (OSError, ValueError) as e:
             last = (url, False, 0, None, b"", url, None, None, False, None, str(e))
@@ -97,6 +114,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = [u for u in options.get("urls", "").split("\n") if u.strip()]
         self.timeout, self.max_bytes = float(options.get("timeout", TIMEOUT_S)), int(options.get("maxbytes", MAX_BYTES))
+        headers = {k.removeprefix("header."): v for k, v in options.items() if k.startswith("header.")}
+        self.request = {"method": options.get("method", "GET").upper(), "body": options.get("body"), "headers": headers, "retries": int(options.get("retries", ATTEMPTS - 1))}
 
     def partitions(self) -> list[InputPartition]:
         by_host: dict[str, list[str]] = {}
@@ -106,11 +125,15 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for u in partition.value:
-            yield fetch_one(u, self.timeout, self.max_bytes)
+            yield fetch_one(u, self.timeout, self.max_bytes, **self.request)
 
 
 class HttpResponses(DataSource):
-    """``spark.read.format("responses").option("urls", one per line).load()``"""
+    """``spark.read.format("responses").option("urls", one per line).load()``
+
+    Further options: ``timeout``, ``maxBytes``, ``method``, ``body`` (JSON),
+    ``retries`` and ``header.NAME``.
+    """
 
     @classmethod
     def name(cls) -> str:
