@@ -1,4 +1,4 @@
-"""Command line: ``python -m textmill rank|query|list ...``. Exit 0 done, 1 nothing to show, 2 wrong use."""
+"""Command line: ``python -m textmill rank|extract|cite|query|list ...``. Exit 0 done, 1 nothing to show, 2 wrong use."""
 
 from __future__ import annotations
 
@@ -17,6 +17,11 @@ def main(argv: list[str] | None = None) -> int:
     rank.add_argument("--query", required=True)
     rank.add_argument("--docs", required=True)
     rank.add_argument("--limit", type=int)
+    text = commands.add_parser("extract", help="text, title and extractor of the files below a path")
+    text.add_argument("path")
+    cite = commands.add_parser("cite", help="claims and citation tokens of the reports below a path")
+    cite.add_argument("path")
+    cite.add_argument("--token", help="regular expression of a citation token")
     one = commands.add_parser("query", help="run a registered query over a folder of tables")
     one.add_argument("name")
     one.add_argument("folder")
@@ -34,6 +39,16 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     if args.command == "query":
         out = QUERIES[args.name](spark, args.folder).limit(args.rows)
+    elif args.command == "extract":
+        from textmill.sources.store import local_documents
+
+        out = local_documents(spark, args.path).select("url", "title", "extractor", "note", "text")
+    elif args.command == "cite":
+        from textmill.functions import citations
+
+        reports = spark.read.text(args.path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("r"))
+        told = citations.collect_citations("r", args.token or citations.SOURCE_TOKEN)
+        out = reports.select("path", F.size(citations.claim_units_column("r")).alias("claims"), told.alias("t")).select("path", "claims", "t.grounding", "t.inert_only")
     else:
         from textmill.operators.ranking import rank_documents
 
@@ -44,10 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         for c in ("title", "headings", "text"):
             docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("string"))
         out = rank_documents(docs.where("url is not null and url <> ''"), args.query, args.limit)
-    rows = out.collect()
-    for r in rows:
+    shown = 0
+    for r in out.toLocalIterator():
         print(json.dumps(r.asDict(True), ensure_ascii=False, default=str))
-    return 0 if rows else 1
+        shown += 1
+    return 0 if shown else 1
 
 
 if __name__ == "__main__":
