@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import bpe_count, lpt_shards, packing, pfair, pq_dedup, quality, secrets, simhash_bk, stream_dedup, toxicity
+from textmill.llm import bpe_count, lpt_shards, packing, pfair, pq_dedup, prefix_doubling, quality, secrets, simhash_bk, stream_dedup, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,6 +65,10 @@ def op10_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op12_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pfair_mix,
         op9_bpe_token_counts,
         op10_open_window_packing,
+        op12_prefix_doubling_repeats,
     )
 }
 
