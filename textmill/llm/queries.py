@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm import bpe_count, lpt_shards, packing, pfair, pq_dedup, prefix_doubling, quality, secrets, simhash_bk, stream_dedup, toxicity
+from textmill.llm import bpe_count, lobpcg, lpt_shards, norm_buckets, packing, pfair, pq_dedup, prefix_doubling, quality, secrets, simhash_bk, stream_dedup, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,10 +66,21 @@ def op10_open_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = lobpcg.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_norm_bucket_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return norm_buckets.mine_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pfair_mix,
         op9_bpe_token_counts,
         op10_open_window_packing,
+        op11_lobpcg_whitening,
         op12_prefix_doubling_repeats,
+        op13_norm_bucket_negatives,
     )
 }
 
