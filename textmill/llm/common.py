@@ -73,6 +73,17 @@ def join_hot(rows: DataFrame, told: DataFrame, key: list[str], n: str) -> DataFr
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 
 
+def released(df: DataFrame, label: str) -> DataFrame:
+    """``written``, after which the shuffle files behind the table go at once instead of whenever the driver collects garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return written(df, label)
+    finally:
+        spark.conf.set(key, before)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` as a plain file scan, so that each row has a durable locator.
 

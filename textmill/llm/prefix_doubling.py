@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textmill.llm.common import dropped, narrow_batches, shuffle_partitions, written
+from textmill.llm.common import dropped, narrow_batches, released, shuffle_partitions, written
 from textmill.operators.numbering import ranked
 
 GRAM, WORD, PIECE, AT_ONCE = 50, 32, 8, 1 << 17
@@ -312,7 +312,7 @@ def reranked(pairs: DataFrame, label: str) -> DataFrame:
             yield out(rest, 1, np.array([head]), np.array([rest_new]), np.array([rest_new]), [0])
 
     schema = "part int, k1 long, k2 long, doc long, at int, rounds int, rank long, first boolean, single boolean"
-    rows = written(pairs.select(*keys, *carried).orderBy(*keys, "doc", "at").mapInArrow(number, schema), label)
+    rows = released(pairs.select(*keys, *carried).orderBy(*keys, "doc", "at").mapInArrow(number, schema), label)
     edges: dict[int, list] = {}
     for row in rows.where(F.col("k1").isNotNull()).select("part", "rank", "first", *keys).orderBy("rank", F.col("first").desc()).collect():
         edges.setdefault(row.part, []).append(row)
@@ -341,7 +341,7 @@ def _ranked_repeats(pieces: DataFrame, need: int) -> DataFrame:
         shared = ranks.where(~F.col("single"))
         further = shared.select("doc", (F.col("at") - offset).alias("at"), F.col("rank").alias("k2"))
         here = shared.where(F.col("rounds") >= done).select("doc", "at", "rounds", F.col("rank").alias("k1"))
-        last, pairs = pairs, written(here.join(further, ["doc", "at"]), "pairs")
+        last, pairs = pairs, released(here.join(further, ["doc", "at"]), "pairs")
         dropped(ranks)
         if done > 1:
             dropped(last)
@@ -356,10 +356,10 @@ def repeated_runs(texts: DataFrame, need: int = 100) -> DataFrame:
     """
     if need < 64:
         raise ValueError("strings of 64 bytes at least")
-    runs = written(_told(_find_runs(texts, need)), "runs")
+    runs = released(_told(_find_runs(texts, need)), "runs")
     open_runs = runs.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("open"))
     told = _told(_find_pieces(texts.join(open_runs, "doc"), need), "body")
-    pieces = written(told.repartition(shuffle_partitions(texts.sparkSession), "doc").sortWithinPartitions("doc", "at"), "pieces")
+    pieces = released(told.repartition(shuffle_partitions(texts.sparkSession), "doc").sortWithinPartitions("doc", "at"), "pieces")
     ranks = _ranked_repeats(pieces.where(F.col("kind") == OPEN), need)
     settled = runs.unionByName(pieces.drop("body")).where(F.col("kind") == REPEATED).select("doc", "at", "n")
     return settled.unionByName(ranks.withColumn("n", F.lit(1)))
