@@ -161,7 +161,7 @@ def test_copies_do_not_fill_the_pool(spark):
     best = "needle thread " * 50
     rows = [(f"a{i:03}", "", "", best) for i in range(60)] + [(f"b{i}", "", "", "needle " + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(9)]
     docs = spark.createDataFrame(rows, "url string, title string, headings string, text string")
-    got = [r.url for r in ranking.rank_documents(docs, "needle thread", pool=10).collect()]
+    got = [r.url for r in ranking.rank_documents(docs, "needle thread", limit=10).collect()]
     assert got[0] == "a000" and sorted(got[1:]) == [f"b{i}" for i in range(9)]
 
 
@@ -173,7 +173,7 @@ def test_near_copies_do_not_fill_the_pool(spark):
     near = [t for t in copies if ((simhash_of(t.split()) ^ simhash_of(copies[0].split())) & 2**64 - 1).bit_count() <= 3]
     rows = [(f"a{i:03}", "needle", "", t) for i, t in enumerate(near)] + [("b", "", "", "needle short"), ("c", "", "", "other")]
     docs = spark.createDataFrame(rows, "url string, title string, headings string, text string")
-    got = [r.url for r in ranking.rank_documents(docs, "needle", pool=3).collect()]
+    got = [r.url for r in ranking.rank_documents(docs, "needle", limit=3).collect()]
     assert len(near) > 20 and len([u for u in got if u[0] == "a"]) == 1 and {"b", "c"} <= set(got)
 
 

@@ -12,7 +12,6 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +22,7 @@ from textmill.functions.text import Matcher, query_terms, terms
 from textmill.functions.urls import canonicalize_url
 from textmill.functions.vectors import cosine
 from textmill.operators.cuts import dropped, written
+from textmill.operators.diversity import mmr_order, mmr_places
 from textmill.operators.numbering import ranked
 
 # Fixed values of the scorer: field weights, proximity window and its most.
@@ -265,42 +265,21 @@ def collapse_hashes(hashed: DataFrame, rank: str, hash_col: str, max_bits: int =
 # -- diversity ----------------------------------------------------------------------------------
 
 
-def mmr_order(scores: np.ndarray, tokens: Sequence[set[str]], names: Sequence[str], weight: float = 0.75) -> list[int]:
-    """Greedy order by relevance less similarity to what is already taken; the best item leads, ties go by name."""
-    n = len(scores)
-    if n <= 2:
-        return list(range(n))
-    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*tokens)))}
-    bits = np.zeros((n, max(1, len(vocabulary))), dtype=np.float32)
-    for i, ts in enumerate(tokens):
-        bits[i, [vocabulary[t] for t in ts]] = 1
-    both = bits @ bits.T
-    size = bits.sum(axis=1)
-    either = size[:, None] + size[None] - both
-    sim = np.divide(both, either, out=np.zeros_like(both, dtype=np.float64), where=both > 0)
-    np.fill_diagonal(sim, 0)
-    sim = sim / sim.max() if sim.max() > 0 else sim
-    rel = scores / max(scores.max(), 1e-9)
-    by_name = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"), kind="stable")
-    first = min(range(n), key=lambda i: (-scores[i], by_name[i]))
-    order, left, worst = [first], np.ones(n, dtype=bool), sim[first].copy()
-    left[first] = False
-    while left.any():
-        value = np.where(left, weight * rel - (1 - weight) * worst, -np.inf)
-        tied = np.flatnonzero(value == value.max())
-        pick = int(tied[np.argmin(by_name[tied])])
-        order.append(pick)
-        left[pick] = False
-        worst = np.maximum(worst, sim[pick])
-    return order
-
-
 def diversify(items: DataFrame, tokens: str = "tokens", score: str = "score", url: str = "url", pos: str = "pos", group: str | None = None, weight: float = 0.75) -> DataFrame:
-    """Reorder each group so that its top says different things: appends ``place`` from 1; every row comes back once.
+    """Reorder so that the top says different things: appends ``place`` from 1; every row comes back once.
 
-    A group is a candidate pool of one question, which fits a task by intent;
-    pools of two or fewer keep their order.
+    With ``group``, each group is the candidate pool of one question, which
+    fits a task by intent; pools of two or fewer keep their order by ``pos``.
+    Without, all rows are one pool of any size. Null tokens are an empty set.
     """
+    items = items.withColumn(tokens, F.coalesce(tokens, F.array().cast("array<string>")))
+    if group is None:
+        numbered = written(items.withColumn("_row", F.monotonically_increasing_id()), "items")
+        if numbered.count() <= 2:
+            return ranked(numbered, [F.col(pos), F.col("_row")], "place").withColumn("place", F.col("place").cast("int")).drop("_row")
+        words = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+        places = mmr_places(numbered.select(F.col("_row").alias("row"), F.col(url).alias("url"), F.col(score).alias("score"), words.alias("words")), weight=weight)
+        return numbered.join(places.select(F.col("row").alias("_row"), F.col("place").cast("int").alias("place")), "_row").drop("_row")
     schema = T.StructType([*items.schema.fields, T.StructField("place", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,25 +289,21 @@ def diversify(items: DataFrame, tokens: str = "tokens", score: str = "score", ur
         place[order] = np.arange(1, len(pdf) + 1)
         return pdf.assign(place=place)
 
-    if group:
-        return items.groupBy(group).applyInPandas(run, schema)
-    return items.withColumn("_pool", F.lit(0)).groupBy("_pool").applyInPandas(lambda pdf: run(pdf.drop(columns="_pool")), schema)
+    return items.groupBy(group).applyInPandas(run, schema)
 
 
 # -- the whole pipeline -------------------------------------------------------------------------
 
 
-def rank_documents(docs: DataFrame, question: str, limit: int | None = None, pool: int = 1000) -> DataFrame:
+def rank_documents(docs: DataFrame, question: str, limit: int | None = None) -> DataFrame:
     """The flagship: rank ``docs(url, title, headings, text)`` for a question.
 
-    BM25F, near copies collapsed, the top diversified: ``rank, url, title,
+    BM25F, near copies collapsed, the rest diversified: ``rank, url, title,
     score, matched``, score to 4 digits. Every document that is no near copy of
-    a better one is ranked, or the first ``limit`` of them. Diversifying is
-    sequential and compares all with all, so ``pool`` says how many of the best
-    take part; those after them follow by score. Near copies of a better
-    candidate go before that, so groups of copies of any size leave the pool
-    full; statistics cover all documents. A question without terms gives no
-    rows, and so does an empty table; null fields are empty.
+    a better one takes part; with ``limit`` only the first so many are told,
+    and only blocks that may hold them are compared. Statistics cover all
+    documents. A question without terms gives no rows, and so does an empty
+    table; null fields are empty.
     """
     fields = ["url", "title", "headings", "text"]
     narrow = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
@@ -338,81 +313,23 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None, poo
     index = build_bm25_index(tokens, question)
     if not index.query_terms or not index.n:
         return docs.sparkSession.createDataFrame([], out)
-    digest = F.when(F.col("n_chars") >= 500, F.sha2(F.array_join("own", " "), 256))
-    scored = tokens.select("url", "title", "n_chars", "own", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"), digest.alias("digest"))
+    scored = tokens.select("url", "title", "n_chars", "own", bm25_score(index, "tokens").alias("score"), bm25_matched(index, "tokens").alias("matched"))
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     dropped(tokens)
-    whole = limit is None or limit > pool
-    stays = None if whole else _best_distinct(scored, pool)
-    if whole:
-        placed = written(_all_distinct(scored), "ranked")
-        best = scored.join(placed.where(F.col("place") <= pool).select("row"), "row")
-    else:
-        best = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in stays], "row long")), "row")
-    words = best.select("url", "title", "score", "matched", F.array_distinct("own").alias("tokens"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "url"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        most = max(pdf["score"].max(), 1e-9) if len(pdf) else 1e-9
-        pdf["score"] = pdf["score"] / most
-        order = mmr_order(pdf["score"].to_numpy(float), [set(t) for t in pdf["tokens"]], pdf["url"].tolist())
-        pdf = pdf.iloc[order[:limit]].reset_index(drop=True)
-        return pd.DataFrame({"rank": np.arange(1, len(pdf) + 1), "url": pdf["url"], "title": pdf["title"], "score": pdf["score"].round(4), "matched": pdf["matched"]})
-
-    top = words.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(run, out)
-    if not whole:
-        return top
+    stays = _distinct(scored)
+    words = F.transform(F.array_distinct("own"), lambda t: F.xxhash64(t))
+    places = mmr_places(scored.join(stays, "row").select("row", "url", "score", words.alias("words")), limit)
     most = F.greatest(F.lit(1e-9), F.lit(scored.agg(F.max("score")).first()[0]))
-    later = scored.join(placed.where((F.col("place") > pool) & (F.col("place") <= limit if limit else F.lit(True))), "row")
-    return top.unionByName(later.select(F.col("place").cast("int").alias("rank"), "url", "title", F.round(F.col("score") / most, 4).alias("score"), "matched"))
+    told = scored.select("row", "url", "title", "score", "matched").join(places, "row")
+    return told.select(F.col("place").cast("int").alias("rank"), "url", "title", F.round(F.col("score") / most, 4).alias("score"), "matched")
 
 
-def _all_distinct(scored: DataFrame) -> DataFrame:
-    """``row, place`` of all candidates that are no near copies of a better one, best first."""
+def _distinct(scored: DataFrame) -> DataFrame:
+    """The ``row`` of all candidates that are no near copies of a better one."""
     keys = [F.col("score").desc(), F.col("url"), F.col("row")]
     numbered = ranked(scored.select("row", "score", "url"), keys, "rank").select("row", "rank")
     hashed = scored.select("row", F.when(F.col("n_chars") >= 500, simhash("own")).alias("hash")).join(numbered, "row")
-    kept = collapse_hashes(written(hashed, "hashes"), "rank", "hash").where("kept")
-    return ranked(kept.select("row", "rank"), [F.col("rank")], "place").select("row", "place")
-
-
-def _best_distinct(scored: DataFrame, pool: int, max_bits: int = 3) -> list[int]:
-    """The ``row`` of the best ``pool`` candidates that are no near copies of a better one.
-
-    Equal term streams, which have equal hashes, first collapse to their best
-    row by aggregation. Whether a candidate stays depends on better ones only,
-    so a best-first prefix is collapsed, and a longer one while too few stay.
-    """
-    key = F.struct((-F.col("score")).alias("minus"), "url", "row").alias("key")
-    lone = scored.where(F.col("digest").isNull()).select(key)
-    heads = written(lone.unionByName(scored.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(key).alias("key")).select("key")).select("key.*"), "heads")
-
-    def greedy(batches):
-        kept = np.zeros(pool, dtype=np.uint64)
-        hashed = stay = 0
-        for batch in batches:
-            rows = []
-            for row, h in zip(batch.column("row").to_pylist(), batch.column("hash").to_pylist()):
-                if stay == pool:
-                    break
-                if h is not None:
-                    mine = np.uint64(h & 0xFFFFFFFFFFFFFFFF)
-                    if (np.bitwise_count(kept[:hashed] ^ mine) <= max_bits).any():
-                        continue
-                    kept[hashed] = mine
-                    hashed += 1
-                stay += 1
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], names=["row"])
-
-    n, total = pool, heads.count()
-    while True:
-        prefix = heads.orderBy("minus", "url", "row").limit(n).join(scored.select("row", "n_chars", "own"), "row")
-        hashed = prefix.select("minus", "url", "row", F.when(F.col("n_chars") >= 500, simhash("own")).alias("hash"))
-        stays = [r.row for r in hashed.repartition(1).sortWithinPartitions("minus", "url", "row").select("row", "hash").mapInArrow(greedy, "row long").collect()]
-        if len(stays) == pool or n >= total:
-            return stays
-        n *= 4
+    return collapse_hashes(written(hashed, "hashes"), "rank", "hash").where("kept").select("row")
 
 
 def hybrid_search(docs: DataFrame, question: str, question_vector: Sequence[float] | None = None, limit: int = 10, k: int = 60, pos: str = "pos") -> DataFrame:

@@ -347,7 +347,25 @@ def relevance_floor(spark, d):
     return ranking.relevance_floor(ranked, ["worthless", "2024"], 80).select("rank", "kept", F.col("place").cast("bigint").alias("place"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE t AS MATERIALIZED (
+        SELECT conv_id, conv_id || ':' || lpad(pos::VARCHAR, 9, '0') AS url, pos, 1.0 / pos AS score, list_distinct({sql.terms('text')}) AS w
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations WHERE text IS NOT NULL)),
+    j AS MATERIALIZED (
+        SELECT conv_id, x.pos AS a, y.pos AS b, CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0 ELSE len(list_intersect(x.w, y.w))::DOUBLE / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) END AS s
+        FROM t x JOIN t y USING (conv_id) WHERE x.pos <> y.pos),
+    m AS (SELECT conv_id, max(s) AS most FROM j GROUP BY conv_id),
+    l AS (SELECT conv_id, a AS pos, list({{'b': b, 's': CASE WHEN most > 0 THEN s / most ELSE 0.0 END}}) AS likeness FROM j JOIN m USING (conv_id) GROUP BY conv_id, a),
+    c AS MATERIALIZED (SELECT conv_id, url, pos, score / max(score) OVER (PARTITION BY conv_id) AS rel, coalesce(likeness, []) AS likeness FROM t LEFT JOIN l USING (conv_id, pos)),
+    r AS (
+        SELECT conv_id, url, pos, 1 AS place, [pos] AS taken FROM c WHERE rel = 1
+        UNION ALL
+        SELECT conv_id, url, pos, place + 1, list_append(taken, pos) FROM (
+            SELECT r.conv_id, c.url, c.pos, r.place, r.taken,
+                   row_number() OVER (PARTITION BY r.conv_id ORDER BY 0.75 * c.rel - 0.25 * coalesce(list_max(list_transform(list_filter(c.likeness, lambda x: list_contains(r.taken, x.b)), lambda x: x.s)), 0.0) DESC, c.url) AS rn
+            FROM r JOIN c ON r.conv_id = c.conv_id WHERE NOT list_contains(r.taken, c.pos)) WHERE rn = 1)
+    SELECT conv_id, url, pos::INT AS pos, place FROM r
+""")
 def diversified(spark, d):
     """MMR within each conversation, by turn: a whole pool per natural key, every turn with a text comes back."""
     turns = table(spark, d, "conversations").where(F.col("text").isNotNull())
