@@ -321,7 +321,8 @@ def rank_documents(docs: DataFrame, question: str, limit: int | None = None) ->
     places = mmr_places(scored.join(stays, "row").select("row", "url", "score", words.alias("words")), limit)
     most = F.greatest(F.lit(1e-9), F.lit(scored.agg(F.max("score")).first()[0]))
     told = scored.select("row", "url", "title", "score", "matched").join(places, "row")
-    return told.select(F.col("place").cast("int").alias("rank"), "url", "title", F.round(F.col("score") / most, 4).alias("score"), "matched")
+    report = told.select(F.col("place").cast("int").alias("rank"), "url", "title", F.round(F.col("score") / most, 4).alias("score"), "matched")
+    return report if limit is None else report.orderBy("rank")
 
 
 def _distinct(scored: DataFrame) -> DataFrame:
