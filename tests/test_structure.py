@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import locale, structure
-from textmill.operators import ranking, state
+from textmill.operators import bitindex, ranking, state
 from textmill.sources import apis, bytes as raw
 
 
@@ -210,14 +210,28 @@ def test_near_duplicate_pairs_against_brute_force(spark, sf):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_wide_pairs_over_several_chunks(spark):
+@pytest.mark.parametrize("bits", [0, 3, 8, 12])
+def test_pairs_of_split_parts(spark, bits):
     import random
 
     rng = random.Random(4)
-    h = [sum(1 << b for b in rng.sample(range(63), 8)) for _ in range(300)]
-    items = spark.createDataFrame(list(enumerate(h)), "id long, h long")
-    got = {tuple(r) for r in ranking.wide_simhash_pairs(items, "id", "h", 12, chunk=64).collect()}
-    assert got == {(a, b, (h[a] ^ h[b]).bit_count()) for b in range(300) for a in range(b) if (h[a] ^ h[b]).bit_count() <= 12}
+    h = [sum(1 << b for b in rng.sample(range(64), 8)) for _ in range(300)]
+    h += [h[0] ^ (1 << b) for b in range(40)] + [h[1] ^ 3 ^ (7 << b) for b in range(5, 60)]  # drifting copies share most blocks
+    n = len(h)
+    signed = [x - (1 << 64) if x >> 63 else x for x in h]
+    items = spark.createDataFrame([*enumerate(signed), (None, 5), (999, None)], "id long, h long")
+    got = [tuple(r) for r in bitindex.hash_pairs(items, "id", "h", bits, held=64).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b, (h[a] ^ h[b]).bit_count()) for b in range(n) for a in range(b) if (h[a] ^ h[b]).bit_count() <= bits}
+
+
+def test_blocks_follow_the_number_of_hashes():
+    few, many = bitindex.best_blocks(1000, 12), bitindex.best_blocks(10**8, 12)
+    assert len(few) > len(many) and sum(w for _, w, _ in bitindex.blocks_of(12, 5)) == 64
+    for n in (10, 10**4, 10**6):
+        blocks = bitindex.best_blocks(n, 12)
+        assert sum(r + 1 for _, _, r in blocks) == 13  # pigeonhole: a pair that every block misses is 13 bits apart
+    assert sorted(bitindex.masks(4, 2)) == [v for v in range(16) if v.bit_count() <= 2]
 
 
 def test_every_turn_of_a_conversation_is_diversified(spark, sf):

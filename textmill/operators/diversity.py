@@ -99,6 +99,10 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _hashed(words: str, seed: int) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))
+
+
 def greatest_likeness(sets: DataFrame) -> float:
     """The largest Jaccard similarity between any two of ``sets(row, words ARRAY<BIGINT>)``, exactly.
 
@@ -110,7 +114,7 @@ def greatest_likeness(sets: DataFrame) -> float:
     """
     spark = sets.sparkSession
     sets = sets.where(F.size("words") > 0)
-    least = [F.array_min(F.transform("words", lambda w, s=s: F.xxhash64(w, F.lit(s)))) for s in SEEDS]
+    least = [F.array_min(_hashed("words", s)) for s in SEEDS]
     signed = sets.select("row", "words", F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), m.alias("key")) for i, m in enumerate(least)])).alias("s")).select("s.*", "words")
 
     def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textmill.functions.hashing import hamming, simhash
+from textmill.functions.hashing import simhash
 from textmill.functions.text import Matcher, query_terms, terms
 from textmill.functions.urls import canonicalize_url
 from textmill.functions.vectors import cosine
+from textmill.operators.bitindex import hash_pairs
 from textmill.operators.cuts import dropped, written
 from textmill.operators.diversity import mmr_order, mmr_places
 from textmill.operators.numbering import ranked
@@ -146,55 +147,6 @@ def content_coverage(matcher: Matcher, text: Column | str) -> Column:
 # -- near duplicates ----------------------------------------------------------------------------
 
 
-def simhash_pairs(items: DataFrame, id_col: str, hash_col: str, max_bits: int = 3) -> DataFrame:
-    """Pairs ``(a, b, bits)`` of rows whose hashes differ in at most ``max_bits`` bits, a < b.
-
-    ``max_bits + 1`` bit bands: by the pigeonhole principle such pairs agree in
-    one of them, so an equi-join on (band, value) and a popcount find them all.
-    Meant for hashes without large groups of equal ones; see ``dedupe_near_duplicates``.
-    """
-    edges = np.linspace(0, 64, max_bits + 2).astype(int)
-    bands = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        value = F.shiftrightunsigned(F.col(hash_col), int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1 if hi - lo < 63 else -1))
-        bands.append(F.struct(F.lit(i).alias("band"), value.alias("value")))
-    dealt = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(F.array(*bands)).alias("s")).select("id", "h", "s.band", "s.value")
-    left, right = dealt.toDF("a", "ha", "band", "value"), dealt.toDF("b", "hb", "band", "value")
-    near = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming("ha", "hb") <= max_bits))
-    return near.select("a", "b", hamming("ha", "hb").alias("bits")).distinct()
-
-
-def wide_simhash_pairs(items: DataFrame, id_col: str, hash_col: str, max_bits: int, chunk: int = 8192) -> DataFrame:
-    """``simhash_pairs`` for radii where bit bands are too narrow to select (12 bits: bands of 5).
-
-    Rows are dealt to chunks and every two chunks meet in a task, which counts
-    the differing bits of all their pairs: 64-bit words, with no loss at any radius.
-    """
-    rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    g = max(1, -(-rows.count() // chunk))
-    c = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j"))))
-    dealt = rows.withColumn("c", c).select("id", "h", "c", meets.alias("p")).select("id", "h", "c", "p.i", "p.j")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = (pdf["c"] == key[0]).to_numpy()
-        ids, h = pdf["id"].to_numpy(), pdf["h"].to_numpy(np.int64).view(np.uint64)
-        left = np.flatnonzero(inside)
-        right = left if key[0] == key[1] else np.flatnonzero(~inside)
-        found = []
-        for x in left:
-            bits = np.bitwise_count(h[right] ^ h[x])
-            near = np.flatnonzero(bits <= max_bits)
-            near = near[right[near] > x] if key[0] == key[1] else near
-            if len(near):
-                other = ids[right[near]]
-                found.append(pd.DataFrame({"a": np.minimum(ids[x], other), "b": np.maximum(ids[x], other), "bits": bits[near].astype(np.int32)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0], "bits": np.zeros(0, np.int32)})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, bits int")
-
-
 def greedy_keep(n: int, earlier: Sequence[tuple[int, int]]) -> np.ndarray:
     """Whether each of ``n`` items, best first, survives: it does if none of its earlier neighbours survives."""
     keep = np.ones(n, dtype=bool)
@@ -236,7 +188,7 @@ def collapse_hashes(hashed: DataFrame, rank: str, hash_col: str, max_bits: int =
     """``dedupe_near_duplicates`` of rows that have their hash, null for rows that never collapse. Appends ``kept``."""
     hashed = hashed.withColumn("_h", F.col(hash_col))
     heads = hashed.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min(rank).alias("head"))
-    pairs = written(simhash_pairs(heads, "head", "_h", max_bits).select("a", "b"), "near-pairs")
+    pairs = written(hash_pairs(heads, "head", "_h", max_bits).select("a", "b"), "near-pairs")
     state = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "near-state")
     for done in count(1):
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")

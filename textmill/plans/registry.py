@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
-from textmill.operators import numbering, ranking, state
+from textmill.operators import bitindex, numbering, ranking, state
 from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
@@ -258,7 +258,7 @@ def near_duplicate_pairs(spark, d):
     docs = written(table(spark, d, "documents").where(F.length("text") >= 500).select("doc_id", hashing.simhash(text.terms("text")).alias("h")), "hashes")
     heads = docs.groupBy("h").agg(F.min("doc_id").alias("head"))
     members = docs.join(heads, "h").where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("bits"))
-    return ranking.wide_simhash_pairs(heads, "head", "h", 12).unionByName(members)
+    return bitindex.hash_pairs(heads, "head", "h", 12).unionByName(members)
 
 
 @query("SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://([a-z0-9.-]+)', 1), lambda h: regexp_replace(h, '^www\\.', '')), lambda h: h <> regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')))), ' '), '') AS hosts FROM pages")
