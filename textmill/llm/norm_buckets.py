@@ -31,7 +31,7 @@ _LEAST = -(1 << 62)
 
 
 def _norm_step(norm: Column) -> Column:
-    return F.when(norm > 0, F.floor(F.log2(norm) * STEPS)).otherwise(-(1 << 14)).cast("int")
+    return F.when(norm > 0, F.floor(F.log2(norm) * STEPS).cast("int"))
 
 
 def scores_of(queries: np.ndarray, rows: np.ndarray, most: float) -> np.ndarray:
@@ -68,9 +68,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, same_label: bool) -> Dat
     buckets = sum(r["count"] for r in steps)
     if not buckets:
         return found
-    low, high = min(r.step for r in steps), max(r.step for r in steps)
+    steps = [r for r in steps if r.step is not None] or [None]  # buckets of zeros are met by those that need no more than 0
+    low, high = (min(r.step for r in steps), max(r.step for r in steps)) if steps[0] else (0, 0)
     upto = np.zeros(high - low + 2, dtype=np.int64)  # buckets that reach a step, by step
-    for r in steps:
+    for r in filter(None, steps):
         upto[: r.step - low + 1] += r["count"]
     chunked = ranked(queries.select("uid", "id", "label", "v", "norm", "lowers", "uppers"), [F.col("norm").desc(), F.col("uid")], "q_place", 0)
     chunked = written(chunked.withColumn("chunk", F.floor(F.col("q_place") / CHUNK).cast("int")).drop("q_place"), "queries")
