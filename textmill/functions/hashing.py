@@ -36,27 +36,41 @@ def fnv1a64(c: Column | str) -> Column:
     return F.when(n == 0, F.lit(f"{FNV_OFFSET:016x}")).when(n > 0, F.aggregate(units, start, step, text))
 
 
+def hash_spans(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """FNV-1a of many spans of one buffer of UTF-16 units at once, as unsigned integers."""
+    out = np.full(len(starts), FNV_OFFSET, dtype=np.uint64)
+    order = np.argsort(-lengths, kind="stable")  # longest first: the spans that go on are always a head of them
+    begin, left, h = starts[order], lengths[order], out[order]
+    live = np.searchsorted(-left, -np.arange(1, int(lengths.max(initial=0)) + 1), "right")
+    for k, n in enumerate(live.tolist()):
+        h[:n] = (h[:n] ^ units[begin[:n] + k]) * np.uint64(FNV_PRIME)
+    out[order] = h
+    return out
+
+
 def hash_units(texts: list[str]) -> np.ndarray:
     """FNV-1a of many strings at once, as unsigned integers."""
     coded = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts]
-    lengths = np.array([len(c) for c in coded])
-    out = np.full(len(texts), FNV_OFFSET, dtype=np.uint64)
-    flat = np.concatenate(coded) if coded else np.zeros(0, "<u2")
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(coded) else np.zeros(0, int)
-    for k in range(int(lengths.max(initial=0))):
-        live = np.flatnonzero(lengths > k)
-        out[live] = (out[live] ^ flat[starts[live] + k].astype(np.uint64)) * np.uint64(FNV_PRIME)
-    return out
+    lengths = np.array([len(c) for c in coded], dtype=np.int64)
+    units = np.concatenate(coded).astype(np.uint64) if coded else np.zeros(0, np.uint64)
+    return hash_spans(units, np.cumsum(lengths) - lengths, lengths)
 
 
 def simhash_of(tokens: list[str] | np.ndarray | None) -> int:
     """64 majority bits over the hashes of three-term shingles (of the terms themselves if fewer than three), signed."""
     tokens = list(tokens) if tokens is not None else []
-    shingles = [" ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] if len(tokens) >= 3 else tokens
-    if not shingles:
+    if not tokens:
         return 0
-    bits = np.unpackbits(hash_units(shingles).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+    units = np.frombuffer(" ".join(tokens).encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint64)
+    sizes = np.array([len(t) for t in tokens])
+    if sizes.sum() + len(tokens) - 1 != len(units):  # characters of two units
+        sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in tokens])
+    ends = np.cumsum(sizes + 1) - 1
+    width = 3 if len(tokens) >= 3 else 1
+    starts = (ends - sizes)[: len(tokens) - width + 1]
+    hashes = hash_spans(units, starts, ends[width - 1 :] - starts)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 @batched("bigint")

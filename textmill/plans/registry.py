@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
-from textmill.operators import bitindex, numbering, ranking, state
+from textmill.operators import bitindex, numbering, postings, ranking, state
 from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
@@ -62,6 +62,29 @@ def bm25_scores(spark, d):
     return tokens.select("doc_id", F.round(ranking.bm25_score(index, "tokens"), 6).alias("score"))
 
 
+@query(f"""
+    WITH d AS MATERIALIZED ({_WEIGHTED}),
+    st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+    o AS MATERIALIZED (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM d),
+    df AS (SELECT t, count(DISTINCT doc_id) AS df FROM o GROUP BY t),
+    q AS MATERIALIZED (SELECT item_id, len(ts) AS nq, unnest(ts) AS t FROM (SELECT item_id, list_distinct({sql.terms('text')}) AS ts FROM benchmark)),
+    h AS MATERIALIZED (SELECT item_id, nq, doc_id, dl, t, i FROM q JOIN o USING (t)),
+    f AS (SELECT item_id, doc_id, dl, t, count(*)::DOUBLE AS f FROM h GROUP BY ALL),
+    p AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) ORDER BY t) AS total FROM f JOIN df USING (t), st GROUP BY ALL),
+    c AS (SELECT item_id, doc_id, nq, sum(CASE WHEN t <> last_t AND i - last_i <= 6 THEN 1 ELSE 0 END) AS close
+          FROM (SELECT *, lag(t) OVER w AS last_t, lag(i) OVER w AS last_i FROM h WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY i)) GROUP BY ALL),
+    s AS (SELECT item_id, doc_id, round(total * CASE WHEN nq > 1 THEN 1 + least(0.1, 0.1 * close / greatest(1, nq - 1)) ELSE 1 END, 6) AS score FROM p JOIN c USING (item_id, doc_id))
+    SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS place FROM s) WHERE place <= 10
+""")
+def bm25_many_questions(spark, d):
+    """The ten best documents of every benchmark text, all of them asked at once."""
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    tokens = table(spark, d, "documents").select("doc_id", ranking.document_terms("text", None, title).alias("tokens"))
+    index = postings.build_postings(tokens, "doc_id", "tokens")
+    asked = table(spark, d, "benchmark").select("item_id", text.terms("text").alias("terms"))
+    return postings.search_postings(index, asked, "item_id", "terms").select(F.col("question").alias("item_id"), F.col("doc").alias("doc_id"), "score", "place")
+
+
 @query("SELECT doc_id, coalesce(array_to_string(list_filter([" + ", ".join(sql.lit(t) for t in text.query_terms(QUESTION)) + f"], lambda q: list_contains(t, q)), ' '), '') AS matched FROM (SELECT doc_id, {sql.terms('text')} AS t FROM documents)")
 def bm25_matched_terms(spark, d):
     tokens = table(spark, d, "documents").select("doc_id", text.terms("text").alias("tokens"))
