@@ -240,3 +240,42 @@ def test_every_turn_of_a_conversation_is_diversified(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null")
     got = QUERIES["diversified"](spark, sf)
     assert got.count() == got.select("conv_id", "place").distinct().count() == turns.count()
+
+
+def test_meta_values_without_quotes_and_empty_names():
+    assert structure.meta_tags("<meta name=author content=Bob>") == {"author": "Bob"}
+    assert structure.meta_tags('<meta property="" name="og" content="x"><meta name=og content=y><meta name=n content="">') == {"og": "x"}
+    assert structure.page_metadata("<meta name=author content=Bob><meta property=og:title content=T>")["authors"] == ["Bob"]
+
+
+def test_cells_rows_and_captions_over_marks():
+    page = """<table><caption>A <b>b</b></caption><tr><th>h</th><th>i</th></tr><tr></tr>
+      <tr><td rowspan=2>x<br>y &amp;lt; &#65;&#x42;</td><td colspan='0'>p</td></tr><tr><td>q<td>r</td></tr><tr><td>open</table>
+      <table><tr><th>only</th></tr></table><table><tr><td colspan="999">w</td></tr></table>"""
+    first, second = structure.extract_tables(page)
+    assert first == {"caption": "A b", "headers": ["h", "i"], "rows": [["x y &lt; AB", "p"], ["x y &lt; AB", "qr"]]}
+    assert second["headers"] == [] and len(second["rows"][0]) == 100
+
+
+def test_embedded_objects_over_marks():
+    page = """<script>"<script type='application/ld+json'>[9]"</script><script id=a type="application/ld+json"><!-- {"a": "</b>"} --></script>
+      <script type='application/ld+json'>{"@graph": [1, {"b": 2}]}</script><script type="application/ld+json">{bad</script><script type="application/ld+json"> </script>"""
+    assert structure.json_ld(page) == [{"a": "</b>"}, 1, {"b": 2}]
+
+
+def test_content_containers_by_name():
+    from textmill.functions.markup import main_html
+
+    body = "long enough text " * 60
+    for given in ("class='x main-content'", 'id="post"', "class=markdown-body", 'class="a entry"'):
+        assert main_html(f"<div>menu</div><div {given}><div>{body}</div></div>") == f"<div>{body}</div>"
+    for given in ("class=maintain", "id=contents", 'class="body markdown"', "title=content"):
+        page = f"<div {given}>{body}</div>"
+        assert main_html(page) == page
+    assert main_html(f"<section class=content>{body}</section><article>{body}</article>") == body
+
+
+def test_charset_of_headers_and_pages():
+    assert raw.charset_parameter("text/html; Charset = 'UTF-8'; x") == "utf-8" and raw.charset_parameter("text/html") is raw.charset_parameter(None) is None
+    assert raw.declared_in("<META http-equiv=x content='text/html; charset=koi8-r'>") == "koi8-r" and raw.declared_in('<meta name=a><meta charset="latin1">') == "latin1"
+    assert raw.decode_body("é".encode("cp1252"), 'text/html;charset="iso-8859-1"') == "é" and raw.declared_in(None) is None

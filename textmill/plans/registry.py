@@ -478,11 +478,21 @@ def json_ld_round_trip(spark, d):
     return p.select("p_partkey", F.try_variant_get(v, "$.offers", "int").alias("size"), F.try_variant_get(v, "$.headline", "string").alias("name"))
 
 
-@query("SELECT s_suppkey, s_name AS author, 'a & b' AS descr FROM supplier")
+@query("""
+    SELECT s_suppkey, s_name AS author, 'a & b' AS descr, 'K' || s_suppkey AS bare, CASE WHEN s_suppkey % 2 = 0 THEN 'all' ELSE s_name END AS past_empty, CASE WHEN s_suppkey % 3 = 0 THEN 'og' ELSE 'item' END AS first_kind
+    FROM supplier
+""")
 def meta_tags_round_trip(spark, d):
-    html = F.concat(F.lit("<META NAME='Author' content='"), F.col("s_name"), F.lit("'><meta name=author content=no><meta content=\"a &amp; b\" name=\"Description\">"))
+    """Quoted and bare values, names beside empty ones, the first of a name, and property before name before itemprop."""
+    k = F.col("s_suppkey")
+    html = F.concat(
+        F.lit("<META NAME='Author' content='"), F.col("s_name"), F.lit("'><meta name=author content=no><meta content=\"a &amp; b\" name=\"Description\"><meta name=bare content=K"), k.cast("string"),
+        F.when(k % 2 == 0, F.lit("><meta property=\"\" name='robots' content=all>")).otherwise(F.concat(F.lit("><meta name='robots' content=''><meta property='robots' content='"), F.col("s_name"), F.lit("'>"))),
+        F.when(k % 3 == 0, F.lit("<meta property='kind' name='other' itemprop='x' content='og'>")).otherwise(F.lit("<meta itemprop=kind content=item /><meta name=kind content=late>")),
+    )
     m = table(spark, d, "supplier").select("s_suppkey", structure.meta_tags.column(html).alias("m"))
-    return m.select("s_suppkey", F.try_element_at("m", F.lit("author")).alias("author"), F.try_element_at("m", F.lit("description")).alias("descr"))
+    said = lambda name: F.try_element_at("m", F.lit(name))
+    return m.select("s_suppkey", said("author").alias("author"), said("description").alias("descr"), said("bare").alias("bare"), said("robots").alias("past_empty"), said("kind").alias("first_kind"))
 
 
 def _feeds(spark, d) -> DataFrame:

@@ -7,11 +7,13 @@ import contextlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.batched import per_value
+from textmill.functions.elements import tags
 from textmill.functions.markup import assess_text, canonical_link_udf, html_title_udf, junk_reason, main_html, html_to_text, meta_description_udf, strings
 from textmill.functions.text import _col
 from textmill.functions.urls import looks_like_pdf
@@ -35,14 +37,32 @@ DOC_RUNGS = ("anydoc", "firecrawl")
 NO_CONVERTER = "no converter for this format"
 
 
+_LABEL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_:.+-")
+
+
+def charset_parameter(value: str | None) -> str | None:
+    """The value of the ``charset`` parameter of a header or attribute, in lower case."""
+    _, named, rest = (value or "").lower().partition("charset")
+    rest = rest.lstrip()
+    label = "".join(takewhile(_LABEL.__contains__, rest[1:].lstrip().lstrip("\"'"))) if named and rest.startswith("=") else ""
+    return label or None
+
+
+def declared_in(head: str | None) -> str | None:
+    """The label in a ``<meta>`` of the first 4096 characters: an attribute of its own, or a parameter of the content."""
+    said = (charset_parameter(f"charset={a['charset']}") if a.get("charset") else charset_parameter(a.get("content")) for a in tags((head or "")[:4096], "meta"))
+    return next(filter(None, said), None)
+
+
 def content_type_charset(c: Column | str) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(F.coalesce(_col(c), F.lit("")), r"(?i)charset\s*=\s*[\"']?([a-z0-9_:.+-]+)", 1)), F.lit(""))
+    """``charset_parameter`` of a column."""
+    after = F.ltrim(F.get(F.split(F.lower(_col(c)), "charset", 2), F.lit(1)))
+    given = F.regexp_replace(F.ltrim(F.substring(after, 2, 200)), "^[\"']+", "")
+    return F.when(after.startswith("="), F.nullif(F.regexp_extract(given, "^[a-z0-9_:.+-]+", 0), F.lit("")))
 
 
-def html_charset(c: Column | str) -> Column:
-    """The label in a ``<meta>`` of the first 4096 characters."""
-    head = F.substring(F.coalesce(_col(c), F.lit("")), 1, 4096)
-    return F.nullif(F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([a-z0-9_:.+-]+)", 1)), F.lit(""))
+#: ``declared_in`` of a column.
+html_charset = per_value("string", declared_in)
 
 
 def _western(data: bytes) -> str:
@@ -58,9 +78,7 @@ def decode_body(data: bytes, content_type: str | None = "") -> str:
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace")
-    label = re.search(r"charset\s*=\s*[\"']?([a-z0-9_:.+-]+)", content_type or "", re.I)
-    label = label or re.search(r"<meta[^>]+charset\s*=\s*[\"']?([a-z0-9_:.+-]+)", data[:4096].decode("latin-1"), re.I)
-    name = label[1].lower() if label else "utf-8"
+    name = charset_parameter(content_type) or declared_in(data[:4096].decode("latin-1")) or "utf-8"
     if name in WESTERN:
         return _western(data)
     try:
