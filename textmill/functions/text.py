@@ -185,6 +185,11 @@ def py_keywords(question: str) -> list[str]:
     return list(seen.values())
 
 
+def plain_text(text: str) -> str:
+    """A text in lower case and without accents, the form in which spellings are compared."""
+    return _py_lower_plain(text.lower())
+
+
 def py_subtokens(raw: str) -> list[str]:
     import regex
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
-from textmill.operators import bitindex, numbering, postings, ranking, state
+from textmill.operators import bitindex, matching, numbering, postings, ranking, state
 from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
@@ -98,6 +98,26 @@ def content_coverage(spark, d):
     return docs.select("doc_id", F.round(ranking.content_coverage(text.build_matcher(QUESTION), "text"), 6).alias("coverage"))
 
 
+@query(rf"""
+    WITH w AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT item_id, {sql.words('text')} AS w FROM benchmark)),
+    k AS (SELECT item_id, {sql.fold('w')} AS canonical, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY ALL),
+    b AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT * FROM k WHERE canonical <> '' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 8)),
+    u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', ' ', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', ' ', 'g'), '(\p{{L}})(\p{{N}})', ' ', 'g'), '(\p{{N}})(\p{{L}})', ' ', 'g') AS u FROM b),
+    p AS (SELECT *, list_filter(string_split_regex(u, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS p FROM u),
+    v AS MATERIALIZED (
+        SELECT item_id, n, canonical, {sql.plain('w')} AS v FROM b UNION SELECT item_id, n, canonical, {sql.plain('canonical')} FROM b
+        UNION SELECT item_id, n, canonical, left({sql.plain('w')}, length(w) - 1) FROM b WHERE length(w) > 4 AND suffix({sql.plain('w')}, 'ies')
+        UNION SELECT item_id, n, canonical, {sql.plain('unnest(list_filter(p, lambda x: length(x) >= 3 AND lower(x) NOT IN ' + sql.STOP_LIST + ')[1:4])')} FROM p WHERE len(p) > 1),
+    d AS MATERIALIZED (SELECT doc_id, {sql.plain('text')} AS t FROM documents),
+    s AS MATERIALIZED (SELECT s.v, doc_id FROM (SELECT DISTINCT v FROM v WHERE length(v) >= 2) s JOIN d ON contains(t, s.v))
+    SELECT item_id, doc_id, count(DISTINCT canonical)::INT AS hits, round(count(DISTINCT canonical) / any_value(n), 6) AS coverage FROM v JOIN s USING (v) GROUP BY item_id, doc_id
+""")
+def coverage_of_many(spark, d):
+    """How much of every benchmark text every document mentions, where it mentions any."""
+    told = matching.coverage_of_questions(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return told.select(F.col("question").alias("item_id"), F.col("doc").alias("doc_id"), "hits", F.round("coverage", 6).alias("coverage"))
+
+
 @query(f"""
     SELECT conv_id, turn, coalesce(array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i THEN x END), lambda x: x IS NOT NULL), ' '), '') AS kw
     FROM (SELECT conv_id, turn, {sql.words('text')} AS w FROM conversations)
