@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import citations, hashing, markup, structure, text, urls
-from textmill.operators import state
+from textmill.operators import asof, state
 from textmill.operators.cuts import work_path
 from textmill.plans.catalog import query, table
 from textmill.sources import apis, bytes as raw, responses, site, store
@@ -337,6 +337,33 @@ def resolved_packages(spark, d):
     return apis.resolve_packages(p.unionByName(unknown)).select("asked", "registry", "version")
 
 
+@query("""
+    WITH RECURSIVE n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 49 THEN p_partkey - 1 WHEN p_partkey % 50 = 48 THEN p_partkey + 1 WHEN p_partkey % 50 > 0 AND p_partkey % 50 < 40 THEN p_partkey - 1 END AS nxt FROM part),
+    r AS (
+        SELECT k, k AS here, 0 AS step FROM n
+        UNION ALL SELECT r.k, n.nxt, step + 1 FROM r JOIN n ON n.k = r.here WHERE n.nxt IS NOT NULL AND step < 60)
+    SELECT k AS p_partkey, 'o/r' || coalesce(max(here) FILTER (WHERE here NOT IN (SELECT k FROM n WHERE nxt IS NOT NULL)), k) AS canonical FROM r GROUP BY k
+""")
+def renamed_repositories(spark, d):
+    """Chains of renames of up to 39 steps, and circles of two, in which a name stays what it is."""
+    k = F.col("p_partkey")
+    to = F.when(k % 50 == 48, k + 1).when((k % 50 == 49) | ((k % 50 > 0) & (k % 50 < 40)), k - 1)
+    p = table(spark, d, "part").select(k, F.lit("o").alias("owner"), F.concat(F.lit("r"), k.cast("string")).alias("repo"), F.concat(F.lit("o/r"), to.cast("string")).alias("full_name"))
+    return apis.canonical_repos(p.drop("full_name"), p.where("full_name is not null")).select("p_partkey", "canonical")
+
+
+@query("""
+    WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+    SELECT event_id, coalesce(o_orderkey, 0) AS o_orderkey FROM (SELECT *, ts - INTERVAL 26 YEAR AS back FROM events) e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.back >= o.o_orderdate
+""")
+def orders_at_events(spark, d):
+    """The last order that each user had placed 26 years before an event happened, when the orders were placed."""
+    events = table(spark, d, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 26 YEAR")).alias("ts"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    joined = asof.asof_join(events, orders, "user_id", "ts", "o_custkey", "o_orderdate", tie="o_orderkey")
+    return joined.select("event_id", F.coalesce("last.o_orderkey", F.lit(0)).alias("o_orderkey"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new/c' || c_custkey ELSE 'o/c' || c_custkey END AS canonical FROM customer")
 def canonical_repositories(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.lit("o").alias("owner"), said("c", F.col("c_custkey")).alias("repo"))

@@ -14,6 +14,7 @@ from textmill.functions.markup import clean_inline_udf, decode_entities
 from textmill.functions.structure import structs
 from textmill.functions.text import _col, slugify
 from textmill.functions.urls import canonicalize_url
+from textmill.operators.cuts import dropped, written
 
 import re
 
@@ -107,11 +108,31 @@ def forge_kind(host: Column | str) -> Column:
     return F.when(h.rlike(r"(^|\.)github\.com$"), "github").when(h.contains("gitlab"), "gitlab").when(h.rlike(r"gitea|codeberg|forgejo"), "gitea")
 
 
+def last_names(renames: DataFrame) -> DataFrame:
+    """``name, last`` of ``renames(name, to)``: where a chain of renames ends, however long; null where it runs in a circle.
+
+    Pointer jumping: each round doubles the steps behind a pointer, so a chain
+    of n renames takes log2(n) joins. Of several renames of one name the least
+    counts; one to itself is none.
+    """
+    steps = renames.where("name is not null and to is not null and name <> to").groupBy("name").agg(F.min("to").alias("to"))
+    jumps = written(steps.withColumn("open", F.lit(True)), "renames")
+    names, done = jumps.count(), 1
+    while done <= names and not jumps.where("open").isEmpty():
+        further = jumps.select(F.col("name").alias("to"), F.col("to").alias("next"), F.col("open").alias("goes_on"))
+        joined = jumps.where("open").join(further, "to", "left")
+        moved = joined.select("name", F.coalesce("next", "to").alias("to"), F.coalesce("goes_on", F.lit(False)).alias("open"))
+        last, jumps = jumps, written(jumps.where(~F.col("open")).unionByName(moved), "renames")
+        dropped(last)
+        done *= 2
+    return jumps.select("name", F.when(~F.col("open"), F.col("to")).alias("last"))
+
+
 def canonical_repos(refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """``refs(owner, repo)`` with ``canonical`` looked up among ``renames(owner, repo, full_name)``, their own name by default."""
-    return refs.join(renames.select("owner", "repo", "full_name"), ["owner", "repo"], "left").withColumn(
-        "canonical", F.coalesce("full_name", F.concat_ws("/", "owner", "repo"))
-    ).drop("full_name")
+    """``refs(owner, repo)`` with ``canonical``, the end of their chain in ``renames(owner, repo, full_name)``; their own name where there is none."""
+    slug = F.concat_ws("/", "owner", "repo")
+    ends = last_names(renames.select(slug.alias("name"), F.col("full_name").alias("to")))
+    return refs.withColumn("_slug", slug).join(ends, F.col("_slug") == F.col("name"), "left").withColumn("canonical", F.coalesce("last", "_slug")).drop("_slug", "name", "last")
 
 
 # -- package registries -------------------------------------------------------------------------
