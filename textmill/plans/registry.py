@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import citations, hashing, locale, markup, structure, text, urls, vectors
-from textmill.operators import bitindex, matching, numbering, postings, ranking, state
+from textmill.operators import bitindex, matching, numbering, postings, ranking, state, vector_index
 from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
@@ -335,6 +335,17 @@ def search_vectors(spark, d):
     return scored.orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
+@query("""
+    WITH s AS (SELECT q.vec_id AS question, e.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id)::INT AS place FROM s) WHERE place <= 10
+""")
+def nearest_of_many(spark, d):
+    """The ten nearest vectors of every vector whose id is divisible by 50, from a stored index."""
+    e = table(spark, d, "embeddings")
+    index = vector_index.build_index(e, "vec_id", "embedding")
+    return vector_index.search_index(index, e.where("vec_id % 50 = 0"), "vec_id", "embedding").select("question", F.col("id").alias("vec_id"), "score", "place")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings")
 def unit_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.round(vectors.norm(vectors.normalize("embedding")), 6).alias("unit"))
