@@ -591,22 +591,29 @@ def capped_extracts(spark, d):
     return c.select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("sum"))
 
 
-@query("""
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN false ELSE true END AS ok,
-           CASE WHEN doc_id % 3 = 0 THEN 'replacement characters throughout (wrong character map)' END AS reason FROM documents WHERE length(trim(text)) > 0
+@query(f"""
+    SELECT doc_id, reason IS NULL AS ok, reason FROM (SELECT doc_id, CASE
+        WHEN doc_id % 6 = 0 OR (doc_id % 6 > 3 AND {sql.trimmed("coalesce(text, '')")} = '') THEN 'no text layer (scanned or image-only PDF?)'
+        WHEN doc_id % 6 = 1 THEN 'binary/control characters in the text (undecodable PDF stream)'
+        WHEN doc_id % 6 = 2 THEN 'replacement characters throughout (wrong character map)'
+        WHEN doc_id % 6 = 3 THEN 'unreadable text layer (garbled glyph encoding)' END AS reason FROM documents)
 """)
 def text_quality(spark, d):
-    """The gate over documents, a third of them with replacement characters throughout."""
-    broken = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.expr("repeat('�', length(text))"))).otherwise(F.col("text"))
-    docs = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
-    return docs.select("doc_id", markup.assess_text(broken).alias("v")).select("doc_id", "v.ok", "v.reason")
+    """The gate over documents: blanks instead of a sixth, control characters, replacement characters and garbled words in or instead of three others."""
+    said, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    twice = lambda c: F.concat(said, F.repeat(F.lit(c), F.length(said) + 1))
+    broken = F.when(kind == 0, F.lit(" \t\n ")).when(kind == 1, twice("\x01")).when(kind == 2, twice("�")).when(kind == 3, F.repeat(F.lit("#%$a"), F.lit(100))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", markup.assess_text(broken).alias("v")).select("doc_id", "v.ok", "v.reason")
 
 
-@query("SELECT doc_id, text AS body FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\xff]')")
+@query("SELECT doc_id, text AS body FROM documents")
 def charset_round_trip(spark, d):
-    """Documents of Latin-1 letters, encoded so, declared in a header, decoded."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\xff]"))
-    return docs.select("doc_id", raw.decoded(F.encode("text", "ISO-8859-1"), F.lit("text/html; charset=ISO-8859-1")).alias("body"))
+    """Documents of Latin-1 letters, encoded so and declared in a header; the others in UTF-16 with a mark, or in UTF-8 without a word."""
+    latin, header = ~F.col("text").rlike(r"[^\x00-\xff]"), "text/html; charset="
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    data = F.when(latin, F.encode("text", "ISO-8859-1")).when(F.col("doc_id") % 2 == 0, wide).otherwise(F.encode("text", "UTF-8"))
+    given = F.when(latin, F.lit(header + "ISO-8859-1")).when(F.col("doc_id") % 2 == 0, F.lit(header + "latin1")).otherwise(F.lit(""))
+    return table(spark, d, "documents").select("doc_id", raw.decoded(data, given).alias("body"))
 
 
 @query("SELECT s_suppkey, s_name AS body FROM supplier")
@@ -661,10 +668,10 @@ def claim_units(spark, d):
     return u.select("doc_id", "no", F.col("u.kind").alias("kind"), F.size(citations.unit_texts(F.col("u"))).alias("n_texts"), F.sha1(F.array_join(citations.unit_texts(F.col("u")), "\n")).alias("sum"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR || ',' || (1000 + l_linenumber) || '.5,42' AS figures FROM lineitem WHERE l_orderkey > 42 AND l_orderkey NOT BETWEEN 1000 AND 1010")
+@query("SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_orderkey > 9 THEN l_orderkey::VARCHAR END, (1000 + l_linenumber) || '.5', CASE WHEN l_orderkey <> 42 THEN '42' END) AS figures FROM lineitem")
 def report_numerals(spark, d):
-    """Figures of a sentence: a plain number, one with a group and a decimal comma, a percentage, a single digit."""
-    li = table(spark, d, "lineitem").where("l_orderkey > 42 AND l_orderkey NOT BETWEEN 1000 AND 1010")
+    """Figures of a sentence: a plain number (none of one digit), one with a group and a decimal comma, a percentage that may repeat the first, a single digit."""
+    li = table(spark, d, "lineitem")
     thousand = F.concat(F.lit("1'00"), F.col("l_linenumber").cast("string"), F.lit(",5"))
     said = F.concat(F.lit("In order "), F.col("l_orderkey").cast("string"), F.lit(" we saw "), thousand, F.lit(" units [S12], 42% of 7 `99` [33](u44)."))
     return li.select("l_orderkey", "l_linenumber", F.array_join(citations.numerals(F.replace(said, F.lit("(u44)"), F.lit(""))), ",").alias("figures"))
