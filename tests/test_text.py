@@ -115,3 +115,15 @@ def test_masks(spark):
     got = one(spark, citations.marked_quote_mask(lines, "MARK"), t="> a\n> MARK\nx\n> b")
     assert (got.mask, got.regions) == ([True, True, False, False], 1)
     assert one(spark, citations.or_masks(citations.code_mask(lines), citations.appendix_mask(lines)), t="## References\n```") == [True, True]
+
+
+def test_flags_of_help_texts(spark):
+    from textmill.functions import text
+
+    df = spark.createDataFrame([("use --run-root or --shards; --a.b x", "--mode `fast` \\| `slow` | x-1, --mode a|b"), (None, None)], "h string, l string")
+    got = df.select(
+        text.help_covers_flag("h", F.lit("run")).alias("head"), text.help_covers_flag("h", F.lit("shards")).alias("whole"), text.help_covers_flag("h", F.lit("a.b")).alias("escaped"), text.help_covers_flag("h", F.lit("axb")).alias("dot"),
+        text.missing_from_help("h", F.array(F.lit("shards"), F.lit("shard"))).alias("missing"), text.piped_enum("l", F.lit("mode")).alias("listed"), text.piped_enum("l", F.lit("other")).alias("none"),
+    ).collect()
+    assert tuple(got[0]) == (False, True, True, False, ["shard"], ["fast", "slow", "x-1"], None)
+    assert tuple(got[1]) == (False, False, False, False, ["shards", "shard"], None, None)

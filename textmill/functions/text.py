@@ -374,3 +374,26 @@ def regexp_escape(c: Column | str) -> Column:
 def documented_flags(c: Column | str) -> Column:
     """Distinct ``--flags`` that a help text names, in order."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(r"(?<![\w-])(--[a-z][a-z0-9-]*)"), F.lit(1)))
+
+
+def _mentions(help_text: Column, flag: Column) -> Column:
+    """What follows each ``--flag`` of a help text, in order, be it the end of a longer name or not."""
+    return F.slice(F.split(help_text, F.concat(F.lit("--"), regexp_escape(flag))), 2, 1 << 30)
+
+
+def help_covers_flag(help_text: Column | str, flag: Column | str) -> Column:
+    """Whether a help text names ``--flag`` as a whole, not as the head of a longer name."""
+    return F.exists(_mentions(F.coalesce(_col(help_text), F.lit("")), _col(flag)), lambda rest: ~rest.rlike("^[a-z0-9-]"))
+
+
+def missing_from_help(help_text: Column | str, flags: Column | str) -> Column:
+    """Those of an array of flags that a help text never names, in order."""
+    return F.filter(_col(flags), lambda f: ~help_covers_flag(help_text, f))
+
+
+def piped_enum(line: Column | str, flag: Column | str) -> Column:
+    """The values ``a | b | c`` that a line lists after ``--flag``, letters in between aside; null without such a list."""
+    plain = F.replace(F.replace(_col(line), F.lit("`"), F.lit("")), F.lit("\\|"), F.lit("|"))
+    lists = F.transform(_mentions(plain, _col(flag)), lambda rest: F.regexp_extract(rest, r"^[^a-z|]*([a-z][a-z0-9-]*(?:\s*\|\s*[a-z][a-z0-9-]*)+)", 1))
+    found = F.get(F.filter(lists, lambda x: x != ""), F.lit(0))
+    return F.transform(F.split(found, r"\|"), lambda v: F.trim(v))

@@ -217,22 +217,3 @@ def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | Non
     for more in refused[1:]:
         gone = gone.unionByName(more)
     return {"pages": visited.select("url", "depth", "place", "title", "text"), "pending": pending.select("url", "depth"), "disallowed": gone}
-
-
-def sitemap_closure(documents: DataFrame, start: list[str], most: int = 3) -> DataFrame:
-    """Page entries of at most ``most`` sitemap documents reached from ``start`` in first-in-first-out order.
-
-    ``documents(url, urls, sitemaps)``: the parsed bodies. The worklist is at
-    most ``most`` long, so it is walked by key look-ups.
-    """
-    queue, seen = list(start), []
-    while queue and len(seen) < most:
-        url = queue.pop(0)
-        if url in seen:
-            continue
-        seen.append(url)
-        row = documents.where(F.col("url") == url).select("sitemaps").first()
-        queue += list(row.sitemaps) if row and row.sitemaps else []
-    order = F.array_position(F.array(*[F.lit(u) for u in seen]), F.col("url"))
-    rows = documents.where(F.col("url").isin(*seen)).select(order.alias("doc_no"), F.posexplode("urls").alias("pos", "u"))
-    return rows.select("doc_no", "pos", F.col("u.loc").alias("loc"), F.col("u.lastmod").alias("lastmod"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import citations, hashing, markup, structure, text, urls
 from textmill.operators import asof, state
-from textmill.operators.cuts import work_path
+from textmill.operators.cuts import work_path, written
 from textmill.plans.catalog import query, table
 from textmill.sources import apis, bytes as raw, responses, site, store
 
@@ -424,3 +424,25 @@ def tolerant_json(spark, d):
     k = F.col("event_id")
     body = F.when(k % 4 == 0, F.lit('{"n":')).when(k % 4 == 1, F.lit(None)).otherwise(said('{"n":', k, "}"))
     return table(spark, d, "events").select("event_id", F.try_variant_get(store.parsed_json(body), "$.n", "bigint").cast("string").alias("n"))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 'shard,gone' ELSE 'shard,f' || (p_partkey // 10) || ',gone' END AS missing, CASE WHEN p_partkey % 3 = 0 THEN 'fast,slow-' || p_partkey || ',x' WHEN p_partkey % 3 = 1 THEN 'a,b' ELSE '' END AS listed FROM part
+""")
+def help_flags(spark, d):
+    """Flags that a help text leaves out, heads of longer names among them, and the values it lists for one."""
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, said("| `--mode-all` x | `--mode`: `fast`\\|`slow-", k, "`\\| x | Y|Z")).when(k % 3 == 1, "--mode = a|b, or c|d").otherwise("--mode one, a|b")
+    text_of = said("--shards N, --f", k, "; --f", k, "0\n", F.lit("--other"))
+    flags = F.array(F.lit("shard"), F.lit("shards"), said("f", k), said("f", F.floor(k / 10)), F.lit("gone"))
+    told = table(spark, d, "part").select(k, text.missing_from_help(text_of, flags).alias("missing"), text.piped_enum(line, F.lit("mode")).alias("listed"))
+    return told.select("p_partkey", F.array_join("missing", ",").alias("missing"), F.coalesce(F.array_join("listed", ","), F.lit("")).alias("listed"))
+
+
+@query("SELECT count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, (count(*) FILTER (WHERE doc_id % 3 = 0))::BIGINT AS cached FROM documents")
+def fetch_totals(spark, d):
+    """Counters that fill up on the side while the fetched rows are written."""
+    rows, seen = store.observed(table(spark, d, "documents").select("text", (F.col("doc_id") % 3 == 0).alias("cached")))
+    written(rows, "fetched")
+    told = seen.get
+    return spark.createDataFrame([(told["rows"], told["bytes"], told["cached"])], "rows long, bytes long, cached long")

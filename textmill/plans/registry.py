@@ -867,18 +867,42 @@ def search_records(spark, d):
     return rows.select("s_suppkey", "pos", "url", "title", "description")
 
 
-@query("SELECT s_suppkey, 'https://x.org/' || s_suppkey AS url, s_name AS title, 'says so' AS snippet FROM supplier")
+@query("""
+    SELECT s_suppkey, engine, 'https://x.org/' || s_suppkey AS url, s_name AS title, 'says so' AS snippet FROM supplier, (VALUES ('ddg'), ('ddglite'), ('mojeek')) e(engine)
+    UNION ALL SELECT s_suppkey, engine, 'https://y.org/', 'https://y.org/', '' FROM supplier, (VALUES ('ddglite'), ('mojeek')) e(engine)
+""")
 def result_pages(spark, d):
+    """Stored result pages of all three engines: redirects and plain links, advertisements and own links, results without title or snippet."""
     k = F.col("s_suppkey").cast("string")
-    html = F.concat(
-        F.lit('<a class="result__a" href="//duckduckgo.com/y.js?ad">ad</a><a rel=x class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2F'), k,
-        F.lit('&amp;rut=1"><b>'), F.col("s_name"), F.lit('</b></a><a class="result__snippet" href=x>says <b>so</b></a>'),
+    name = F.col("s_name")
+    pages = {
+        "ddg": (
+            F.lit('<a class="result__a" href="//duckduckgo.com/y.js?ad">ad</a><a rel=x class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2F'), k,
+            F.lit('&amp;rut=1"><b>'), name, F.lit('</b></a><a class="result__snippet" href=x>says <b>so</b></a>'),
+        ),
+        "ddglite": (
+            F.lit("<table><tr><td><a rel=nofollow href=\"https://x.org/"), k, F.lit("\" class='result-link'>"), name, F.lit('</a></td></tr><tr><td class="result-snippet">says <i>so</i></td></tr>'),
+            F.lit('<tr><td><a href="https://duckduckgo.com/more" class=\'result-link\'>more</a></td></tr><tr><td><a href="https://y.org/" class=\'result-link\'></a></td></tr></table>'),
+        ),
+        "mojeek": (
+            F.lit('<ul><li><h2><a class="title" href="https://x.org/'), k, F.lit('">'), name, F.lit('</a></h2><p class="s">says <em>so</em></p></li><li><a class="title" href="https://www.mojeek.com/about">own</a></li>'),
+            F.lit('<li><a class="big title" href="https://y.org/"> </a><p class="other">no</p></li><li><a class="ob" href="https://z.org/">z</a></li></ul>'),
+        ),
+    }
+    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), F.concat(*parts).alias("page")) for e, parts in pages.items()])).alias("p"))
+    hits = rows.select("s_suppkey", "p.engine", F.explode(apis.result_hits.column("p.page", "p.engine")).alias("h"))
+    return hits.select("s_suppkey", "engine", "h.url", "h.title", "h.snippet")
+
+
+@query("SELECT s_suppkey, pos, 'https://x.org/' || s_suppkey || '/' || pos AS url, CASE pos WHEN 0 THEN s_name ELSE 'https://x.org/' || s_suppkey || '/1' END AS title, CASE pos WHEN 0 THEN 'a & b' ELSE '' END AS description FROM supplier, (VALUES (0), (1)) p(pos)")
+def metasearch_answers(spark, d):
+    """Answers of a metasearch service: hits with and without title and content, one without address."""
+    k = F.col("s_suppkey").cast("string")
+    body = F.concat(
+        F.lit('{"query":"q","number_of_results":2,"results":[{"url":"https://x.org/'), k, F.lit('/0","title":"'), F.col("s_name"), F.lit('","content":"a &amp; <b>b</b>","engine":"e","score":1.5},{"url":"https://x.org/'), k,
+        F.lit('/1","title":""},{"title":"nowhere","content":"x"}]}'),
     )
-    return table(spark, d, "supplier").select("s_suppkey", F.explode(structure_hits(html)).alias("h")).select("s_suppkey", "h.url", "h.title", "h.snippet")
-
-
-def structure_hits(html: Column) -> Column:
-    return apis.result_hits.column(html, F.lit("ddg"))
+    return apis.search_records(table(spark, d, "supplier").select("s_suppkey", body.alias("body"))).select("s_suppkey", "pos", "url", "title", "description")
 
 
 @query("SELECT s_suppkey, s_suppkey % 2 = 0 AS same FROM supplier")
