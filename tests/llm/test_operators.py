@@ -427,8 +427,8 @@ def test_counts_of_awkward_rows(awkward, nothing):
 # -- registration -------------------------------------------------------------------------------
 
 
-def test_ten_queries_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_thirteen_queries_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_exact_dedup_equals_its_sql(spark, sf):
