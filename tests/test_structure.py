@@ -128,6 +128,49 @@ def test_crawl_budget_and_rules(spark):
     assert [r.url for r in ruled["disallowed"].collect()] == [at(2)]
 
 
+def plain_walk(graph, texts, seed, refused, listed, most, deep):
+    """First in, first out over ``graph`` (address to addresses); pages, pending and refused in order."""
+    queue, seen = [(seed, 0)], {seed}
+    for x in listed if deep else []:
+        if x not in seen:
+            seen.add(x)
+            queue.append((x, 1))
+    pages, gone = [], []
+    while queue and len(pages) < most:
+        at, depth = queue.pop(0)
+        if at in refused:
+            gone.append(at)
+        elif texts.get(at):
+            pages.append(at)
+            for x in graph.get(at, []) if depth < deep else []:
+                if x not in seen:
+                    seen.add(x)
+                    queue.append((x, depth + 1))
+    return pages, sorted(x for x, _ in queue), sorted(gone)
+
+
+@pytest.mark.parametrize("most, deep", [(1, 3), (5, 2), (9, 1), (50, 4), (3, 0)])
+def test_walks_from_many_seeds_equal_the_plain_queue(spark, most, deep):
+    import random
+
+    rng = random.Random(most)
+    at = "https://x.org/{}".format
+    graph = {at(i): [at(rng.randrange(40)) for _ in range(rng.randrange(5))] for i in range(30)}
+    texts = {at(i): "t" if i % 6 else "" for i in range(35)}
+    pages = spark.createDataFrame([(u, "", t) for u, t in texts.items()], "url string, title string, text string")
+    links = spark.createDataFrame([(u, k, v) for u, vs in graph.items() for k, v in enumerate(vs)], "url string, pos int, link string")
+    seeds = [at(1), at(2), at(7), "https://nowhere.org/"]
+    rules = spark.createDataFrame([(at(2), "User-agent: *\nDisallow: /3")], "seed string, b string").select("seed", structure.parse_robots_udf("b", F.lit("mill")).alias("robots"))
+    listed = spark.createDataFrame([(at(7), k, u) for k, u in enumerate([at(9), at(7), "https://else.org/", at(11)])], "seed string, pos int, loc string")
+    found = state.crawl_sites(pages, links, spark.createDataFrame([(s,) for s in [*seeds, at(1)]], "seed string"), rules, listed, max_pages=most, max_depth=deep)
+    rows = {k: v.collect() for k, v in found.items()}
+    for s in seeds:
+        refused = {at(i) for i in range(40) if str(i).startswith("3")} if s == at(2) else set()
+        want = plain_walk(graph, texts, s, refused, [at(9), at(7), at(11)] if s == at(7) else [], most, deep)
+        got = [r.url for r in sorted((r for r in rows["pages"] if r.seed == s), key=lambda r: (r.depth, r.place))]
+        assert (got, *(sorted(r.url for r in rows[k] if r.seed == s) for k in ("pending", "disallowed"))) == want
+
+
 def test_commits_and_tags(spark):
     df = spark.createDataFrame([("abcdef1234", "abcdef1"), ("abcdef1234", "abcdef"), ("v1.10.0", "v1.9.9")], "a string, b string")
     assert [r[0] for r in df.select(apis.same_commit("a", "b")).collect()][:2] == [True, False]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,59 +163,78 @@ def origin_of(c: Column | str) -> Column:
     return F.concat(scheme_of(c), F.lit("://"), host_of(c), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(F.lit("")))
 
 
-def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | None = None, sitemap: DataFrame | None = None, max_pages: int = 20, max_depth: int = 2, cross_origin: bool = False) -> dict[str, DataFrame]:
-    """Breadth-first walk over stored pages, one join per level.
-
-    ``pages(url, title, text)``, ``links(url, pos, link)``, one row of
-    ``robots(robots STRUCT)``, ``sitemap(pos, loc)``. Returns ``pages``
-    (``url, depth, place, title, text``), ``pending`` and ``disallowed``.
-    Addresses are visited once per canonical form, in first-in-first-out order:
-    level, place of the parent, place of the link. The page budget counts
-    readable pages only. Levels are cut in the shared folder; each holds one frontier.
+def crawl_sites(
+    pages: DataFrame,
+    links: DataFrame,
+    seeds: DataFrame,
+    robots: DataFrame | None = None,
+    sitemaps: DataFrame | None = None,
+    max_pages: int = 20,
+    max_depth: int = 2,
+    cross_origin: bool = False,
+) -> dict[str, DataFrame]:
+    """Breadth-first walks over stored pages from many ``seeds(seed)`` at once, a few joins per level for all of them.
+
+    ``pages(url, title, text)``, ``links(url, pos, link)``,
+    ``robots(seed, robots STRUCT)``, ``sitemaps(seed, pos, loc)``. Returns
+    ``pages`` (``seed, url, depth, place, title, text``), ``pending`` and
+    ``disallowed`` (``seed, url, depth``).
+
+    Each walk is first in, first out: level, place of the parent, place of the
+    link; the entries of a sitemap come before the links of the seed. An
+    address is met once a walk per canonical form. ``max_pages`` counts
+    readable pages; what a walk has not come to when they are read is pending.
+    Levels are cut in the shared folder. A walk's part of a level is bounded by
+    the links of ``max_pages`` pages and its sitemap, so windows go by walk.
     """
-    spark = pages.sparkSession
-    known = pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"])
+    most = max(1, max_pages)
+    seeds = seeds.where(F.col("seed").isNotNull()).select("seed").distinct()
+    known = pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"]).select("_key", "title", "text")
     out = links.select(canonicalize_url("url").alias("_from"), "pos", "link", canonicalize_url("link").alias("_to"))
-    if not cross_origin:
-        out = out.where(origin_of("link") == origin_of(F.lit(seed)))
-    start = spark.createDataFrame([(seed, 0, 0, 0)], "url string, depth int, p1 long, p2 long").withColumn("_key", canonicalize_url("url"))
-    ahead = None
-    if sitemap is not None and max_depth > 0:
-        ahead = sitemap.select(F.col("loc").alias("url"), F.lit(1).alias("depth"), F.lit(-1).cast("long").alias("p1"), F.col("pos").cast("long").alias("p2")).withColumn("_key", canonicalize_url("url"))
-        if not cross_origin:
-            ahead = ahead.where(origin_of("url") == origin_of(F.lit(seed)))
-    seen = start.select("_key")
-    frontier, levels, refused, left = start, [], [], max_pages
-    pending = start.limit(0)
-    for depth in range(max_depth + 1):
-        place = F.row_number().over(Window.orderBy("p1", "p2"))  # one frontier, bounded by the links of max_pages pages
-        ruled = frontier.withColumn("_ok", F.lit(True))
-        if robots is not None:
-            ruled = frontier.join(F.broadcast(robots.limit(1)), F.lit(True)).withColumn("_ok", is_allowed("robots", "url")).drop("robots")
-        refused.append(ruled.where(~F.col("_ok")).select("url", "depth"))
-        read = ruled.where("_ok").join(known.select("_key", "title", "text"), "_key", "left").withColumn("place", place)
-        read = read.withColumn("_readable", F.coalesce(F.length("text") > 0, F.lit(False)))
-        read = written(read.withColumn("_nth", F.sum(F.col("_readable").cast("int")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))), "crawl-level")
-        taken = read.where(F.col("_readable") & (F.col("_nth") <= left))
-        over = read.where((F.col("_nth") > left) | ((F.col("_nth") == left) & ~F.col("_readable")))
-        levels.append(taken)
-        n = taken.count()
-        full = n >= left
-        left -= n
-        following = taken.join(out, F.col("_key") == F.col("_from")).select(F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), F.col("_to").alias("_key"))
-        if ahead is not None and depth == 0:
-            following = following.unionByName(ahead.select(following.columns))
-        first = Window.partitionBy("_key").orderBy("p1", "p2")
-        following = written(following.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn").join(seen, "_key", "left_anti"), "crawl-next")
-        pending = over.select(start.columns).unionByName(following.select(start.columns)) if full else pending
-        if full or depth == max_depth or following.isEmpty():
+    at_home = lambda url: F.lit(True) if cross_origin else F.coalesce(origin_of(url) == origin_of("seed"), F.lit(False))
+    columns = ["seed", "url", "depth", "p1", "p2", "_key"]
+    item = lambda rows, url, depth, p1, p2: rows.select("seed", F.col(url).alias("url"), F.lit(depth).alias("depth"), p1.cast("long").alias("p1"), p2.cast("long").alias("p2"), canonicalize_url(url).alias("_key"))
+    frontier = written(item(seeds, "seed", 0, F.lit(0), F.lit(0)), "crawl-next")
+    seen, budget = frontier.select("seed", "_key"), seeds.withColumn("left", F.lit(most))
+    by_seed = Window.partitionBy("seed")
+    found: dict[str, list[DataFrame]] = {"pages": [], "pending": [], "disallowed": []}
+    for depth in range(max(0, max_depth) + 1):
+        read = frontier.join(known, "_key", "left").withColumn("place", F.row_number().over(by_seed.orderBy("p1", "p2")))
+        if robots is None:
+            read = read.withColumn("_ok", F.lit(True))
+        else:
+            ruled = read.join(robots.select("seed", "robots").dropDuplicates(["seed"]), "seed", "left")
+            read = ruled.withColumn("_ok", F.col("robots").isNull() | is_allowed("robots", "url")).drop("robots")
+        read = read.withColumn("_page", F.col("_ok") & F.coalesce(F.length("text") > 0, F.lit(False)))
+        before = F.sum(F.col("_page").cast("int")).over(by_seed.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        read = read.join(budget, "seed").withColumn("_reached", F.coalesce(before, F.lit(0)) < F.col("left")).drop("left")
+        read = written(read, "crawl-level")
+        taken = read.where(F.col("_reached") & F.col("_page"))
+        found["pages"].append(taken.select("seed", "url", "depth", "place", "title", "text"))
+        found["disallowed"].append(read.where(F.col("_reached") & ~F.col("_ok")).select("seed", "url", "depth"))
+        found["pending"].append(read.where(~F.col("_reached")).select("seed", "url", "depth"))
+        if depth == max(0, max_depth):
+            break
+        spent = taken.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
+        budget = written(budget.join(spent, "seed", "left").select("seed", (F.col("left") - F.coalesce("_n", F.lit(0))).cast("int").alias("left")), "crawl-budget")
+        following = taken.join(out, F.col("_key") == F.col("_from")).where(at_home("link")).select("seed", F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), F.col("_to").alias("_key"))
+        if sitemaps is not None and depth == 0:
+            listed = sitemaps.join(seeds, "seed").where(at_home("loc"))
+            following = following.unionByName(item(listed, "loc", 1, F.lit(-1), F.col("pos")))
+        first = Window.partitionBy("seed", "_key").orderBy("p1", "p2")
+        once = following.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*columns)
+        fresh = written(once.join(seen, ["seed", "_key"], "left_anti").join(budget, "seed"), "crawl-next")
+        found["pending"].append(fresh.where("left <= 0").select("seed", "url", "depth"))
+        frontier = fresh.where("left > 0").select(*columns)
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(following.select("_key"))
-        frontier = following
-    visited = levels[0]
-    for more in levels[1:]:
-        visited = visited.unionByName(more)
-    gone = refused[0]
-    for more in refused[1:]:
-        gone = gone.unionByName(more)
-    return {"pages": visited.select("url", "depth", "place", "title", "text"), "pending": pending.select("url", "depth"), "disallowed": gone}
+        seen = seen.unionByName(fresh.select("seed", "_key"))
+    return {kind: reduce(DataFrame.unionByName, parts) for kind, parts in found.items()}
+
+
+def crawl(pages: DataFrame, links: DataFrame, seed: str, robots: DataFrame | None = None, sitemap: DataFrame | None = None, max_pages: int = 20, max_depth: int = 2, cross_origin: bool = False) -> dict[str, DataFrame]:
+    """``crawl_sites`` from one seed, with one row of ``robots(robots STRUCT)`` and ``sitemap(pos, loc)``; its tables without ``seed``."""
+    mine = lambda rows: None if rows is None else rows.withColumn("seed", F.lit(seed))
+    seeds = pages.sparkSession.createDataFrame([(seed,)], "seed string")
+    found = crawl_sites(pages, links, seeds, mine(robots), mine(sitemap), max_pages, max_depth, cross_origin)
+    return {kind: rows.drop("seed") for kind, rows in found.items()}

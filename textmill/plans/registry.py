@@ -812,6 +812,42 @@ def site_crawl(spark, d):
     return state.crawl(pages, links, "https://x.org/p/1", max_pages=20, max_depth=4)["pages"]
 
 
+@query("""
+    WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier),
+    q AS (
+        SELECT k, 1 AS p, 0 AS depth, [0] AS path FROM s
+        UNION ALL SELECT k, 6, 1, [0, -1] FROM s WHERE k % 2 = 0
+        UNION ALL
+        SELECT k, to_, depth + 1, list_append(path, pos) FROM (SELECT *, unnest([2 * p, 2 * p + 1]) AS to_, unnest([0, 1]) AS pos FROM q WHERE depth < 3 AND p % 7 <> 0 AND NOT (k % 3 = 0 AND (p = 5 OR p BETWEEN 50 AND 59)))
+        WHERE NOT (k % 2 = 0 AND to_ = 6)),
+    o AS (SELECT *, p % 7 <> 0 AND NOT (k % 3 = 0 AND (p = 5 OR p BETWEEN 50 AND 59)) AS page, k % 3 = 0 AND (p = 5 OR p BETWEEN 50 AND 59) AS refused FROM q),
+    n AS (SELECT *, coalesce(sum(page::INT) OVER (PARTITION BY k ORDER BY depth, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pages_before FROM o),
+    t AS (SELECT *, pages_before < 9 AS reached, page AND pages_before < 9 AS taken FROM n)
+    SELECT k AS s_suppkey, 'https://s' || k || '.org/p/' || p AS url, CASE WHEN taken THEN 'page' WHEN reached THEN 'disallowed' ELSE 'pending' END AS kind, depth,
+           CASE WHEN taken THEN pages_before + 1 ELSE 0 END::INT AS visit
+    FROM t WHERE (taken OR refused OR NOT reached) AND (depth = 0 OR p = 6 AND k % 2 = 0 OR EXISTS (SELECT 1 FROM t AS up WHERE up.k = t.k AND up.taken AND up.p = t.p // 2 AND up.depth = t.depth - 1))
+""")
+def sites_crawl(spark, d):
+    """A walk over the site of every supplier at once: rules for a third, a sitemap for half, unreadable pages, links off site, nine pages each."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    site = F.concat(F.lit("https://s"), F.col("k").cast("string"), F.lit(".org"))
+    at = lambda p: F.concat(site, F.lit("/p/"), p.cast("string"))
+    nodes = s.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(63))))
+    pages = nodes.select(at(F.col("p")).alias("url"), F.lit("t").alias("title"), F.when(F.col("p") % 7 != 0, "text").alias("text"))
+    elsewhere = F.struct(F.lit(2).alias("pos"), F.lit("https://other.org/").alias("link"))
+    targets = F.array(*[F.struct(F.lit(i).alias("pos"), at(F.col("p") * 2 + i).alias("link")) for i in (0, 1)], elsewhere)
+    links = nodes.select(at(F.col("p")).alias("url"), F.inline(targets))
+    seeds = s.select("k", at(F.lit(1)).alias("seed"))
+    robots = seeds.where("k % 3 = 0").select("seed", structure.parse_robots_udf(F.lit("User-agent: *\nDisallow: /p/5"), F.lit("x")).alias("robots"))
+    sitemaps = seeds.where("k % 2 = 0").select("seed", F.lit(0).alias("pos"), at(F.lit(6)).alias("loc"))
+    found = state.crawl_sites(pages, links, seeds.select("seed"), robots, sitemaps, max_pages=9, max_depth=3)
+    visit = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "place"))
+    rows = found["pages"].select("seed", "url", F.lit("page").alias("kind"), "depth", visit.alias("visit"))
+    for kind in ("pending", "disallowed"):
+        rows = rows.unionByName(found[kind].select("seed", "url", F.lit(kind).alias("kind"), "depth", F.lit(0).alias("visit")))
+    return rows.join(seeds, "seed").select(F.col("k").alias("s_suppkey"), "url", "kind", "depth", "visit")
+
+
 # -- services -----------------------------------------------------------------------------------
 
 
