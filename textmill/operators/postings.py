@@ -10,18 +10,20 @@ postings by term, never documents as such.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textmill.operators.cuts import written
-from textmill.operators.numbering import ranked
+from textmill.operators.cuts import dropped, released, written
 from textmill.operators.ranking import NEAR, NEAR_BONUS
 
-#: Documents of a block.
-BLOCK = 64
+#: Documents of a block, and lengths of documents that are told apart.
+BLOCK, LENGTHS = 64, 32
 
 
 @dataclass(frozen=True)
@@ -41,14 +43,37 @@ def build_postings(docs: DataFrame, id_col: str, tokens_col: str, k1: float = 1.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(tokens_col, F.array().cast("array<string>")).alias("tokens"))
     rows = written(rows.withColumn("dl", F.size("tokens")), "indexed")
-    n, avgdl = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    placed = ranked(rows.select("doc", "dl"), [F.col("dl"), F.col("doc")], "place", 0).select("doc", F.floor(F.col("place") / block).cast("int").alias("block"))
-    spread = rows.select("doc", "dl", F.posexplode("tokens").alias("place", "term"))
-    grouped = spread.groupBy("doc", "dl", "term").agg(F.sort_array(F.collect_list("place")).alias("places")).join(placed, "doc")
-    f = F.size("places").cast("double")
-    norm = F.lit(1 - b) + F.lit(b) * (F.col("dl") / F.lit(avgdl) if avgdl else F.lit(1.0))
-    part = f * F.lit(k1 + 1) / (f + F.lit(k1) * norm)
-    posts = written(grouped.select("term", "block", "doc", part.alias("part"), "places").orderBy("term", "block", "doc"), "postings")
+    cuts = F.percentile_approx("dl", [i / LENGTHS for i in range(1, LENGTHS)], 1000)
+    n, avgdl, bounds = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0)), cuts).first()
+    parts = max(1, -(-n // (block * LENGTHS)))
+    longer = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds or [0]]), lambda x: x < F.col("dl")))
+    placed = rows.withColumn("block", (longer * parts + F.pmod(F.xxhash64("doc"), F.lit(parts))).cast("int"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    schema = f"term string, block int, doc {kind}, part double, places array<int>"
+
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The postings of each document, side by side: no document meets another."""
+        for batch in it:
+            tokens = batch.column("tokens")
+            lengths = np.diff(tokens.offsets.to_numpy())
+            terms = tokens.flatten().dictionary_encode()
+            code, row = np.asarray(terms.indices), np.repeat(np.arange(len(lengths)), lengths)
+            if not len(code):
+                continue
+            place = (np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            key = row * len(terms.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            ends = np.append(heads, len(order)).astype(np.int32)
+            f, mine = np.diff(ends).astype(float), row[order[heads]]
+            norm = (1 - b) + b * (lengths[mine] / avgdl)
+            columns = [terms.dictionary.take(pa.array(code[order[heads]])), batch.column("block").take(pa.array(mine)), batch.column("doc").take(pa.array(mine)), pa.array(f * (k1 + 1) / (f + k1 * norm)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "doc", "part", "places"])
+
+    # a frequent term lies in as many tasks as it has blocks
+    posts = placed.select("doc", "tokens", "block").mapInArrow(gather, schema).repartition("term", "block").sortWithinPartitions("term", "block", "doc")
+    posts = released(posts, "postings")
+    dropped(rows)
     maxima = written(posts.groupBy("term", "block").agg(F.max("part").alias("most")), "maxima")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.lit(1.0) if n < 3 else F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -57,7 +82,8 @@ def build_postings(docs: DataFrame, id_col: str, tokens_col: str, k1: float = 1.
 
 def _scores(index: Postings, opened: DataFrame, asked: DataFrame) -> DataFrame:
     """``question, doc, score`` of all documents in ``opened(question, block)`` that share a term with the question."""
-    hits = opened.join(asked, "question").join(index.posts, ["term", "block"])
+    posts = index.posts.join(asked.select("term").distinct(), "term", "left_semi")
+    hits = opened.join(asked, "question").join(posts, ["term", "block"])
     per_doc = hits.groupBy("question", "doc", "n_terms").agg(
         F.sort_array(F.collect_list(F.struct("term", (F.col("idf") * F.col("part")).alias("v")))).alias("parts"),
         F.sort_array(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("i"), F.col("term").alias("t")))))).alias("hits"),
