@@ -16,6 +16,7 @@ from textmill.operators.cuts import written
 from textmill.plans import sql
 from textmill.plans.catalog import ORACLE_SQL, QUERIES, QUESTION, query, table
 from textmill.sources import apis, bytes as raw, responses
+from textmill.streaming import cache as stream_cache
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -777,6 +778,59 @@ def cache_read_through(spark, d):
     return state.read_through(got.select("url"), held, got, _NOW, _TTL).select("url", "text", "source")
 
 
+_SHORT, _KEPT = 6 * 3600000, 30 * 3600000
+
+
+@query(f"""
+    WITH RECURSIVE v AS (
+        SELECT user_id AS u, event_id AS seq, epoch_us(ts) // 1000 AS now, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS ns,
+               CASE event_id % 11 WHEN 0 THEN 'refresh' WHEN 1 THEN 'offline' WHEN 2 THEN 'off' ELSE 'normal' END AS mode,
+               CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 304 ELSE 200 END AS st,
+               CASE WHEN event_type IN ('error', 'view') OR event_id % 13 = 0 THEN '' ELSE 'v' || event_id END AS t,
+               CASE WHEN event_id % 2 = 0 THEN 'e' END AS e, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n
+        FROM events),
+    walk AS (
+        SELECT u, 0::BIGINT AS n, NULL::BIGINT AS seq, ''::VARCHAR AS text, ''::VARCHAR AS source, NULL::BIGINT AS cached_at, false AS store,
+               [NULL::STRUCT(t VARCHAR, e VARCHAR, since BIGINT), NULL] AS held FROM (SELECT DISTINCT u FROM v)
+        UNION ALL
+        SELECT u, n, seq,
+               CASE kind WHEN 'fresh' THEN own.t WHEN 'same' THEN own.t WHEN 'offline' THEN newest.t WHEN 'new' THEN t WHEN 'pass' THEN t WHEN 'stale' THEN coalesce(own, newest).t ELSE '' END,
+               CASE kind WHEN 'fresh' THEN 'cache' WHEN 'same' THEN 'cache' WHEN 'offline' THEN 'cache' WHEN 'new' THEN 'response' WHEN 'pass' THEN 'response' WHEN 'stale' THEN 'stale' ELSE 'none' END,
+               CASE kind WHEN 'fresh' THEN own.since WHEN 'offline' THEN newest.since WHEN 'stale' THEN coalesce(own, newest).since WHEN 'none' THEN NULL ELSE now END,
+               kind IN ('same', 'new'),
+               CASE WHEN kind NOT IN ('same', 'new') THEN held WHEN ns = 1 THEN [now_held, held[2]] ELSE [held[1], now_held] END
+        FROM (SELECT *, CASE kind WHEN 'same' THEN {{'t': own.t, 'e': own.e, 'since': now}} WHEN 'new' THEN {{'t': t, 'e': e, 'since': now}} END AS now_held
+        FROM (SELECT *, CASE WHEN mode = 'off' THEN CASE WHEN t <> '' THEN 'pass' ELSE 'none' END
+                             WHEN mode = 'offline' THEN CASE WHEN newest IS NOT NULL THEN 'offline' ELSE 'none' END
+                             WHEN own IS NOT NULL AND now - own.since < {_SHORT} THEN 'fresh' WHEN own.e IS NOT NULL AND st = 304 THEN 'same'
+                             WHEN t <> '' THEN 'new' WHEN newest IS NOT NULL THEN 'stale' ELSE 'none' END AS kind
+        FROM (SELECT *, CASE WHEN mode = 'normal' THEN CASE ns WHEN 1 THEN a ELSE b END END AS own, CASE WHEN a IS NULL OR b.since >= a.since THEN coalesce(b, a) ELSE a END AS newest
+        FROM (SELECT v.*, held, CASE WHEN now - held[1].since < {_KEPT} THEN held[1] END AS a, CASE WHEN now - held[2].since < {_KEPT} THEN held[2] END AS b
+              FROM walk JOIN v ON v.u IS NOT DISTINCT FROM walk.u AND v.n = walk.n + 1)))))
+    SELECT 'https://x.org/' || u AS url, seq, text, source, coalesce(cached_at, -1) AS stamp, store FROM walk WHERE n > 0
+""")
+def cache_over_time(spark, d):
+    """Every event is a visit to the page of its user, in all modes; the stream comes in three parts of equal time."""
+    e = table(spark, d, "events").withColumn("now_ms", _ms())
+    k = F.col("event_id")
+    blank = F.col("event_type").isin("error", "view") | (k % 13 == 0)
+    visits = e.select(
+        F.concat(F.lit("https://x.org/"), F.col("user_id").cast("string")).alias("url"),
+        k.alias("seq"),
+        "now_ms",
+        F.when(k % 5 == 0, "pdf").otherwise("native").alias("namespace"),
+        F.when(k % 11 == 0, "refresh").when(k % 11 == 1, "offline").when(k % 11 == 2, "off").otherwise("normal").alias("mode"),
+        F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "view", 304).otherwise(200).alias("status"),
+        F.when(blank, "").otherwise(F.concat(F.lit("v"), k.cast("string"))).alias("text"),
+        F.when(k % 2 == 0, "e").alias("etag"),
+    )
+    lo, hi = e.agg(F.min("now_ms"), F.max("now_ms")).first()
+    third = F.lit(0) if lo is None else F.least(F.lit(2), F.floor((F.col("now_ms") - lo) * 3 / (hi - lo + 1)))
+    parts = [visits.where(third == i) for i in range(3)]
+    served = stream_cache.drained(parts, lambda s: stream_cache.stream_read_through(s, _SHORT, _KEPT), "cache")
+    return served.select("url", "seq", "text", "source", F.coalesce("cached_at", F.lit(-1)).alias("stamp"), "store")
+
+
 @query(f"""
     SELECT page_id, regexp_replace(regexp_extract(canon, '^[a-z]+://([^/?#]+)', 1), '[^A-Za-z0-9.-]', '_', 'g') || '-' || ltrim({sql.fnv("canon || chr(0) || 'en' || chr(0) || 'native'")}, '0') AS key
     FROM (SELECT page_id, {_CANON} AS canon FROM pages)
