@@ -115,6 +115,32 @@ def test_a_long_text_takes_time_in_proportion():
 # -- 4 and 6 ------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(("words", "recall", "auc"), [(400, 0.95, 0.99), (1000, 0.65, 0.84)])
+def test_rare_toxic_wording_is_learned(spark, words, recall, auc):
+    rng = np.random.default_rng(5)
+    made = lambda k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 10))) for _ in range(k)]
+    plain, bad, rows = made(3000), made(words), []
+    for i in range(4000):
+        said = list(rng.choice(plain, 60))
+        if i % 3 == 0:
+            for at, word in zip(rng.choice(60, 4, replace=False), rng.choice(bad, 4)):
+                said[at] = word
+        rows.append((i, " ".join(said), int(i % 3 == 0)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(data.select("doc_id", "text"), data.select("doc_id", "toxic")).where("held_out").join(data, "doc_id").toPandas()
+    y, place = got["toxic"].to_numpy() == 1, got["score"].rank().to_numpy()
+    assert (place[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) >= auc
+    assert (got["predicted"].to_numpy()[y] == 1).mean() >= recall
+
+
+def test_near_copies_teach_a_few_times_only(spark):
+    base = [f"w{k}" for k in range(200)]
+    copies = [(" ".join([*base[:k], "changed", *base[k + 1 :]]), 1) for k in range(150)]
+    rows = [*copies, ("", 0), (None, 0), ("a b", 0), ("A  B", 1), ("a b", 1)]
+    kept = toxicity.one_of_near_copies(spark.createDataFrame(rows, "text string, y int")).collect()
+    assert len([r for r in kept if r.text and len(r.text) > 9]) < 25 and sorted((r.text or "", r.y) for r in kept if len(r.text or "") < 9) == [("", 0), ("A  B", 1), ("a b", 0)]
+
+
 @pytest.mark.parametrize(("score", "label", "least"), [(quality.score_quality, "quality", 0.97), (toxicity.score_toxicity, "toxic", 0.75)])
 def test_held_out_recall_on_the_labels(spark, score, label, least):
     sf = "/root/testdata/sf0.1"

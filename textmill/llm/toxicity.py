@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_digest
 
 from textmill.llm.common import dropped, fresh_name, narrow_batches, written
 from textmill.llm.labelled import held_out, training_rows
@@ -32,8 +33,9 @@ WINDOW = 32
 LEVEL = 9
 STEPS = 12
 REMEMBERED_WINDOWS = 250_000
-#: A segment must set apart more than chance does, and a part of the toxic texts rather than one and its near copies.
-LEAST_GAIN, LEAST_PART = 12.0, 1 / 16
+#: Bounds on what a segment must set apart, as (log likelihood ratio, ratio per toxic text): wording usual in toxic
+#: texts, surely typical, probably typical. The calibration rows choose between them.
+BOUNDS = ((12.0, 1 / 16), (12.0, 0.0), (7.0, 0.0))
 _WIDTH = STEPS * 2 + (2 * STEPS - 1) * 2 + 1
 
 
@@ -145,12 +147,32 @@ def _novel(ranked: Iterable[bytes]) -> list[bytes]:
     return kept
 
 
+def one_of_near_copies(sample: DataFrame) -> DataFrame:
+    """``text, y``: of the texts of a label whose five-word shingles have the same two minima, the least one.
+
+    Near copies mostly share both, so a word that they alone use counts a few times rather than once a copy.
+    """
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            least = []
+            for t in batch.column("text"):
+                words = (t.as_py() or "").lower().split()
+                spans = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+                least.append(b"".join(min(xxh64_digest(s, seed) for s in spans) for seed in (1, 2)))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("y"), pa.array(least, pa.binary())], names=["text", "y", "least"])
+
+    told = sample.select("text", "y").mapInArrow(keyed, "text string, y int, least binary")
+    return told.groupBy("y", "least").agg(F.min("text").alias("text")).select("text", "y")
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 16_000, dictionary_bytes: int = 8192) -> Toxicity:
     """Train on at most ``sample_rows`` labelled rows outside the held-out fold: two thirds the dictionaries, the rest the calibration.
 
     The toxic dictionary holds the segments whose log likelihood ratio passes
-    ``LEAST_GAIN`` and ``LEAST_PART`` of the toxic texts, the ordinary one the most usual segments, each at most
-    ``dictionary_bytes`` long.
+    a bound, counted once per group of near copies, the ordinary one the most usual segments, each at most
+    ``dictionary_bytes`` long. Of the dictionaries of all ``BOUNDS`` that stays which, calibrated on one half of
+    the calibration rows, tells the other half best, either way round.
     """
     sample = written(training_rows(docs, labels, label, sample_rows, parts=3), "labelled")
 
@@ -166,30 +188,44 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
                 names=["segment", "toxic", "ordinary"],
             )
 
-    taught = sample.where(F.col("part") > 0).select("text", "y").mapInArrow(segments, "segment binary, toxic long, ordinary long")
+    taught = one_of_near_copies(sample.where(F.col("part") > 0)).mapInArrow(segments, "segment binary, toxic long, ordinary long")
     counts = written(taught.groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "segments")
     size = counts.where(F.length("segment") == 0).first()
     n1, n0 = (size.toxic, size.ordinary) if size else (0, 0)
     share, usual_share = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("ordinary") + 0.5) / (n0 + 1)
     gain = F.col("toxic") * F.ln(share / usual_share) - n1 * (share - usual_share)  # log likelihood ratio of two Poisson rates
     words = counts.where(F.length("segment") > 0)
-    best = words.where((share > usual_share) & (gain > max(LEAST_GAIN, LEAST_PART * n1))).orderBy(gain.desc(), "segment").limit(dictionary_bytes)
+    best = words.where((share > usual_share) & (gain > min(max(least, part * n1) for least, part in BOUNDS))).select("segment", gain.alias("gain")).orderBy(gain.desc(), "segment").limit(dictionary_bytes)
     usual = words.where(F.col("ordinary") > 0).orderBy(F.col("ordinary").desc(), "segment").limit(dictionary_bytes)
-    toxic = _content(_novel(bytes(r.segment) for r in best.collect()), dictionary_bytes)
+    ranked = [(bytes(r.segment), r.gain) for r in best.collect()]
+    tried = [_content(_novel(seg for seg, g in ranked if g > max(least, part * n1)), dictionary_bytes) for least, part in BOUNDS]
+    tried = list(dict.fromkeys(tried))
     ordinary = _content([bytes(r.segment) for r in usual.collect()], dictionary_bytes)
     dropped(counts)
 
     def evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        savings = Savings(toxic, ordinary)
+        savings = [Savings(toxic, ordinary) for toxic in tried]
         for batch in it:
-            x = [savings.features(t.as_py()).astype(np.float32).tobytes() for t in batch.column("text")]
+            x = [np.concatenate([s.features(t.as_py()) for s in savings]).astype(np.float32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.binary())], names=["y", "x"])
 
     rows = sample.where(F.col("part") == 0).select("text", "y").mapInArrow(evidence, "y int, x binary").collect()
     dropped(sample)
     rows.sort(key=lambda r: (bytes(r.x), r.y))
-    x = np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows], dtype=np.float64).reshape(len(rows), _WIDTH)
-    return Toxicity(toxic, ordinary, *fit_logistic(x, np.array([r.y for r in rows], dtype=float)))
+    x = np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows], dtype=np.float64).reshape(len(rows), len(tried), _WIDTH)
+    y = np.array([r.y for r in rows], dtype=float)
+
+    def unexplained(k: int) -> float:
+        """The loss of dictionary ``k`` on each half of the rows, fitted on the other."""
+        loss = 0.0
+        for half in (0, 1):
+            model = Toxicity(tried[k], ordinary, *fit_logistic(x[half::2, k], y[half::2]))
+            p = np.clip(model.scores(x[1 - half :: 2, k]), 1e-6, 1 - 1e-6)
+            loss -= np.log(np.where(y[1 - half :: 2] == 1, p, 1 - p)).sum()
+        return loss
+
+    k = min(range(len(tried)), key=unexplained) if len(tried) > 1 else 0
+    return Toxicity(tried[k], ordinary, *fit_logistic(x[:, k], y))
 
 
 def with_score(docs: DataFrame, model: Toxicity, text_col: str = "text", out: str = "score") -> DataFrame:
