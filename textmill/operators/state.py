@@ -107,10 +107,12 @@ def read_through(requests: DataFrame, cache: DataFrame, responses: DataFrame, no
     A fresh entry is served; a stale one with a validator is confirmed by 304
     and re-stamped; otherwise a readable response wins and is stored; failing
     that the stale copy is served with a note. Offline serves the newest entry
-    of any namespace. Columns: ``url, text, source, note, cached_at, store``
-    (whether the entry is to be written back).
+    of any namespace. Of entries of equal age that with the least ``seq``, a
+    column that ``cache`` may have, counts as the newest. Columns: ``url, text,
+    source, note, cached_at, store`` (whether the entry is to be written back).
     """
-    newest = cache.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("url").agg(F.max_by(F.struct(F.col("text").alias("t"), F.col("etag").alias("e"), F.col("cached_at").alias("at")), "cached_at").alias("hit"))
+    newer = F.struct("cached_at", -F.col("seq")) if "seq" in cache.columns else F.col("cached_at")
+    newest = cache.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("url").agg(F.max_by(F.struct(F.col("text").alias("t"), F.col("etag").alias("e"), F.col("cached_at").alias("at")), newer).alias("hit"))
     got = responses.groupBy("url").agg(F.first(F.struct(F.col("status").alias("status"), F.col("text").alias("t"))).alias("got"))
     joined = requests.select("url").join(newest, "url", "left").join(got, "url", "left")
     hit, answer = F.col("hit"), F.col("got")
