@@ -165,6 +165,14 @@ def origin_of(c: Column | str) -> Column:
     return F.concat(scheme_of(c), F.lit("://"), host_of(c), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(F.lit("")))
 
 
+#: Rows of a crawl's table that are told to every task; more of them are shuffled, for files of addresses are a fraction of their rows.
+TOLD_ROWS = 50_000
+
+
+def _told(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= TOLD_ROWS else rows.hint("merge")
+
+
 def crawl_sites(
     pages: DataFrame,
     links: DataFrame,
@@ -186,30 +194,35 @@ def crawl_sites(
     link; the entries of a sitemap come before the links of the seed. An
     address is met once a walk per canonical form. ``max_pages`` counts
     readable pages; what a walk has not come to when they are read is pending.
-    Levels are cut in the shared folder. A walk's part of a level is bounded by
+    Levels are cut in the shared folder, and so are pages and links with their
+    canonical forms, made once. What reaches the driver to be told to all tasks
+    is ``TOLD_ROWS`` rows at most of any table. A walk's part of a level is bounded by
     the links of ``max_pages`` pages and its sitemap, so windows go by walk.
     """
     most = max(1, max_pages)
-    seeds = seeds.where(F.col("seed").isNotNull()).select("seed").distinct()
-    known = pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"]).select("_key", "title", "text")
-    out = links.select(canonicalize_url("url").alias("_from"), "pos", "link", canonicalize_url("link").alias("_to"))
+    seeds = written(seeds.where(F.col("seed").isNotNull()).select("seed").distinct(), "crawl-seeds")
+    walks = n_next = n_seen = seeds.count()
+    known = written(pages.withColumn("_key", canonicalize_url("url")).dropDuplicates(["_key"]).select("_key", "title", "text"), "crawl-pages")
+    out = written(links.select(canonicalize_url("url").alias("_from"), "pos", "link"), "crawl-links")
     at_home = lambda url: F.lit(True) if cross_origin else F.coalesce(origin_of(url) == origin_of("seed"), F.lit(False))
     columns = ["seed", "url", "depth", "p1", "p2", "_key"]
     item = lambda rows, url, depth, p1, p2: rows.select("seed", F.col(url).alias("url"), F.lit(depth).alias("depth"), p1.cast("long").alias("p1"), p2.cast("long").alias("p2"), canonicalize_url(url).alias("_key"))
     frontier = written(item(seeds, "seed", 0, F.lit(0), F.lit(0)), "crawl-next")
     seen, budget = frontier.select("seed", "_key"), seeds.withColumn("left", F.lit(most))
+    rules = None if robots is None else written(robots.select("seed", "robots").dropDuplicates(["seed"]), "crawl-rules")
     by_seed = Window.partitionBy("seed")
     found: dict[str, list[DataFrame]] = {"pages": [], "pending": [], "disallowed": []}
     for depth in range(max(0, max_depth) + 1):
-        read = frontier.join(known, "_key", "left").withColumn("place", F.row_number().over(by_seed.orderBy("p1", "p2")))
-        if robots is None:
+        hit = known.join(F.broadcast(frontier.select("_key")), "_key", "left_semi") if n_next <= TOLD_ROWS else known
+        read = frontier.join(_told(hit, n_next), "_key", "left").withColumn("place", F.row_number().over(by_seed.orderBy("p1", "p2")))
+        if rules is None:
             read = read.withColumn("_ok", F.lit(True))
         else:
-            ruled = read.join(robots.select("seed", "robots").dropDuplicates(["seed"]), "seed", "left")
+            ruled = read.join(_told(rules, walks), "seed", "left")
             read = ruled.withColumn("_ok", F.col("robots").isNull() | is_allowed("robots", "url")).drop("robots")
         read = read.withColumn("_page", F.col("_ok") & F.coalesce(F.length("text") > 0, F.lit(False)))
         before = F.sum(F.col("_page").cast("int")).over(by_seed.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-        read = read.join(budget, "seed").withColumn("_reached", F.coalesce(before, F.lit(0)) < F.col("left")).drop("left")
+        read = read.join(_told(budget, walks), "seed").withColumn("_reached", F.coalesce(before, F.lit(0)) < F.col("left")).drop("left")
         read = written(read, "crawl-level")
         taken = read.where(F.col("_reached") & F.col("_page"))
         found["pages"].append(taken.select("seed", "url", "depth", "place", "title", "text"))
@@ -218,18 +231,21 @@ def crawl_sites(
         if depth == max(0, max_depth):
             break
         spent = taken.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
-        budget = written(budget.join(spent, "seed", "left").select("seed", (F.col("left") - F.coalesce("_n", F.lit(0))).cast("int").alias("left")), "crawl-budget")
-        following = taken.join(out, F.col("_key") == F.col("_from")).where(at_home("link")).select("seed", F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), F.col("_to").alias("_key"))
+        budget = written(budget.join(_told(spent, walks), "seed", "left").select("seed", (F.col("left") - F.coalesce("_n", F.lit(0))).cast("int").alias("left")), "crawl-budget")
+        asks = _told(taken.select("seed", "_key", "place"), n_next)
+        following = out.join(asks, F.col("_key") == F.col("_from")).where(at_home("link")).select("seed", F.col("link").alias("url"), F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("p1"), F.col("pos").cast("long").alias("p2"), canonicalize_url("link").alias("_key"))
         if sitemaps is not None and depth == 0:
-            listed = sitemaps.join(seeds, "seed").where(at_home("loc"))
+            listed = sitemaps.join(_told(seeds, walks), "seed").where(at_home("loc"))
             following = following.unionByName(item(listed, "loc", 1, F.lit(-1), F.col("pos")))
         first = Window.partitionBy("seed", "_key").orderBy("p1", "p2")
         once = following.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*columns)
-        fresh = written(once.join(seen, ["seed", "_key"], "left_anti").join(budget, "seed"), "crawl-next")
+        fresh = written(once.join(_told(seen, n_seen), ["seed", "_key"], "left_anti").join(_told(budget, walks), "seed"), "crawl-next")
         found["pending"].append(fresh.where("left <= 0").select("seed", "url", "depth"))
         frontier = fresh.where("left > 0").select(*columns)
-        if frontier.isEmpty():
+        n_next = frontier.count()
+        if not n_next:
             break
+        n_seen += fresh.count()
         seen = seen.unionByName(fresh.select("seed", "_key"))
     return {kind: reduce(DataFrame.unionByName, parts) for kind, parts in found.items()}
 
