@@ -7,13 +7,13 @@ against a base follow the web's URL rules and run as Arrow-batched UDFs.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from urllib.parse import parse_qsl, quote, urljoin, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions.batched import batched
+from textmill.functions.batched import per_value
 from textmill.functions.lexicon import API_HOSTS, ID_PARAMS
 from textmill.functions.text import _col
 
@@ -22,6 +22,8 @@ TRACKING = re.compile(r"^(utm_|fbclid$|gclid$|mc_|ref$|ref_src$|ref_url$|spm$|_h
 _DEFAULT_PORT = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 _WEB = ("http", "https", "ftp", "ws", "wss", "file")
 _SAFE = "~*!'()"
+#: Addresses whose canonical form a worker remembers.
+REMEMBERED_URLS = 20_000
 
 
 def parsed_url(raw: str):
@@ -37,6 +39,7 @@ def parsed_url(raw: str):
     return parts
 
 
+@lru_cache(REMEMBERED_URLS)
 def canonical_url(raw: str | None) -> str | None:
     """One spelling per resource: scheme and host lower-cased, no ``www.``, fragment, default port, tracking parameter or closing slash, other parameters sorted by name."""
     if raw is None:
@@ -90,12 +93,12 @@ def resolved_url(href: str, base: str) -> str | None:
         return None
 
 
-@batched("string")
-def canonicalize_url(urls: pd.Series) -> pd.Series:
-    """Arrow-batched ``canonical_url``; each distinct address is parsed once per batch."""
-    codes, distinct = pd.factorize(urls)
-    made = pd.Series([canonical_url(u) for u in distinct], dtype=object)
-    return pd.Series([made[c] if c >= 0 else None for c in codes], dtype=object)
+_canonical_udf = per_value("string", canonical_url)
+
+
+def canonicalize_url(c: Column | str) -> Column:
+    """Arrow-batched ``canonical_url``; a worker parses an address once while it remembers it."""
+    return _canonical_udf(c)
 
 
 def _part(c: Column | str, part: str) -> Column:
