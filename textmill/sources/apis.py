@@ -113,14 +113,16 @@ def last_names(renames: DataFrame) -> DataFrame:
 
     Pointer jumping: each round doubles the steps behind a pointer, so a chain
     of n renames takes log2(n) joins. Of several renames of one name the least
-    counts; one to itself is none.
+    counts; one to itself is none. Both sides of a join are shuffled: files of
+    names are a fraction of their rows, so by their size Spark would tell them
+    to all tasks through the driver.
     """
     steps = renames.where("name is not null and to is not null and name <> to").groupBy("name").agg(F.min("to").alias("to"))
     jumps = written(steps.withColumn("open", F.lit(True)), "renames")
     names, done = jumps.count(), 1
     while done <= names and not jumps.where("open").isEmpty():
         further = jumps.select(F.col("name").alias("to"), F.col("to").alias("next"), F.col("open").alias("goes_on"))
-        joined = jumps.where("open").join(further, "to", "left")
+        joined = jumps.where("open").join(further.hint("merge"), "to", "left")
         moved = joined.select("name", F.coalesce("next", "to").alias("to"), F.coalesce("goes_on", F.lit(False)).alias("open"))
         last, jumps = jumps, written(jumps.where(~F.col("open")).unionByName(moved), "renames")
         dropped(last)
@@ -132,7 +134,7 @@ def canonical_repos(refs: DataFrame, renames: DataFrame) -> DataFrame:
     """``refs(owner, repo)`` with ``canonical``, the end of their chain in ``renames(owner, repo, full_name)``; their own name where there is none."""
     slug = F.concat_ws("/", "owner", "repo")
     ends = last_names(renames.select(slug.alias("name"), F.col("full_name").alias("to")))
-    return refs.withColumn("_slug", slug).join(ends, F.col("_slug") == F.col("name"), "left").withColumn("canonical", F.coalesce("last", "_slug")).drop("_slug", "name", "last")
+    return refs.withColumn("_slug", slug).join(ends.hint("merge"), F.col("_slug") == F.col("name"), "left").withColumn("canonical", F.coalesce("last", "_slug")).drop("_slug", "name", "last")
 
 
 # -- package registries -------------------------------------------------------------------------
