@@ -85,3 +85,14 @@ def test_odd_tables(spark):
     assert norm_buckets.mine_negatives(df.limit(0), F.lit(True)).collect() == []
     assert norm_buckets.mine_negatives(df.where("vec_id = 3"), F.lit(True)).collect() == []
     assert norm_buckets.mine_negatives(df, F.lit(False)).collect() == []
+
+
+def test_anchors_are_placed_once_for_both_searches(spark, sf, monkeypatch):
+    """Each sort, count and told table more is driver memory: rows and anchors are sorted once each, a first wave meets no earlier finds."""
+    placed, met = [], []
+    ranked, wave = norm_buckets.ranked, norm_buckets._wave
+    monkeypatch.setattr(norm_buckets, "ranked", lambda df, *rest: placed.append(df) or ranked(df, *rest))
+    monkeypatch.setattr(norm_buckets, "_wave", lambda *args: met.append((args[2], args[5])) or wave(*args))
+    assert op13_norm_bucket_negatives(spark, sf).count() > 0
+    assert len(placed) == 2
+    assert all((found is None) == (begin == 0) for found, begin in met)

@@ -53,36 +53,36 @@ def best_of(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[place < k], col[place < k]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, same_label: bool) -> DataFrame:
-    """The ``k`` best rows of every window: ``query, window, rank, id, uid, score``, ties by smaller id.
-
-    ``rows(uid, id, label, v, norm, place)`` lie in buckets of falling norm.
-    ``queries(uid, id, label, v, norm, lowers, uppers)`` ask for rows of their
-    own label, other than themselves, or of another; each window bounds the
-    score, both ends included.
-    """
-    spark = rows.sparkSession
-    dealt = rows.withColumn("bucket", F.floor(F.col("place") / BUCKET).cast("int"))
+def opened_upto(dealt: DataFrame) -> tuple[int, int, np.ndarray]:
+    """How many buckets ``dealt(norm, bucket)`` has, their least norm step, and how many reach each step from there on."""
     steps = dealt.groupBy("bucket").agg(F.max("norm").alias("most")).groupBy(_norm_step(F.col("most")).alias("step")).count().collect()
-    found = spark.createDataFrame([], "query long, window int, rank int, id long, uid long, score long")
     buckets = sum(r["count"] for r in steps)
-    if not buckets:
-        return found
-    steps = [r for r in steps if r.step is not None] or [None]  # buckets of zeros are met by those that need no more than 0
-    low, high = (min(r.step for r in steps), max(r.step for r in steps)) if steps[0] else (0, 0)
-    upto = np.zeros(high - low + 2, dtype=np.int64)  # buckets that reach a step, by step
-    for r in filter(None, steps):
+    steps = [r for r in steps if r.step is not None]  # buckets of zeros are met by those that need no more than 0
+    low, high = (min(r.step for r in steps), max(r.step for r in steps)) if steps else (0, 0)
+    upto = np.zeros(high - low + 2, dtype=np.int64)
+    for r in steps:
         upto[: r.step - low + 1] += r["count"]
-    chunked = ranked(queries.select("uid", "id", "label", "v", "norm", "lowers", "uppers"), [F.col("norm").desc(), F.col("uid")], "q_place", 0)
-    chunked = written(chunked.withColumn("chunk", F.floor(F.col("q_place") / CHUNK).cast("int")).drop("q_place"), "queries")
-    begin = 0
+    return buckets, low, upto
+
+
+def search(dealt: DataFrame, queries: DataFrame, k: int, same_label: bool, reached: tuple[int, int, np.ndarray]) -> DataFrame:
+    """The ``k`` best rows of every window: ``query, window, rank, id, uid, score``, ties by smaller id.
+
+    ``dealt(uid, id, label, v, norm, bucket)`` lie in buckets of falling norm, which
+    ``reached`` tells of (``opened_upto``; one bucket at least).
+    ``queries(uid, id, label, v, norm, chunk, lowers, uppers)``, in chunks of falling
+    norm, ask for rows of their own label, other than themselves, or of another; each
+    window bounds the score, both ends included. Both should be tables, as each wave reads them.
+    """
+    buckets, low, upto = reached
+    found, begin = None, 0
     for share in WAVES:
         end = max(1, round(buckets * share))
         if end <= begin:
             continue
-        last = found
-        found = written(_best(last.unionByName(_wave(dealt, chunked, last, k, same_label, begin, end, buckets, low, upto)), k), "found")
-        if begin:
+        last, wave = found, _wave(dealt, queries, found, k, same_label, begin, end, buckets, low, upto)
+        found = written(_best(wave if last is None else last.unionByName(wave), k), "found")
+        if last is not None:
             dropped(last)
         begin = end
     return found
@@ -93,11 +93,13 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _wave(dealt: DataFrame, chunked: DataFrame, found: DataFrame, k: int, same_label: bool, begin: int, end: int, buckets: int, low: int, upto: np.ndarray) -> DataFrame:
+def _wave(dealt: DataFrame, queries: DataFrame, found: DataFrame | None, k: int, same_label: bool, begin: int, end: int, buckets: int, low: int, upto: np.ndarray) -> DataFrame:
     spark = dealt.sparkSession
-    kth = found.where(F.col("rank") == k).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
-    limit = lambda l, i: F.greatest(l, F.coalesce(F.col("kth")[i], F.lit(_LEAST)))
-    asked = chunked.join(kth, F.col("uid") == F.col("query"), "left").withColumn("limits", F.transform("lowers", limit)).drop("query", "kth", "lowers")
+    asked = queries.withColumnRenamed("lowers", "limits")
+    if found is not None:
+        kth = found.where(F.col("rank") == k).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
+        limit = lambda l, i: F.greatest(l, F.coalesce(F.col("kth")[i], F.lit(_LEAST)))
+        asked = asked.join(kth, F.col("uid") == F.col("query"), "left").withColumn("limits", F.transform("limits", limit)).drop("query", "kth")
     need = F.array_min("limits").cast("double")
     # a thousandth of a step of slack keeps rounding harmless
     step = F.floor(F.log2(need / F.col("norm")) * STEPS - 0.001).cast("int") - low
@@ -202,18 +204,23 @@ def mine_negatives(
         return spark.createDataFrame([], out)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     kept = whole.where(F.col("dims") == usual.dims).select("id", "label", "anchor", "v", norm.alias("norm"))
-    placed = written(ranked(kept.withColumn("uid", F.monotonically_increasing_id()), [F.col("norm").desc(), F.col("uid")], "place", 0), "buckets")
-    every = placed.where("anchor").select("uid", "id", "label", "v", "norm")
+    best_first = [F.col("norm").desc(), F.col("uid")]
+    placed = ranked(kept.withColumn("uid", F.monotonically_increasing_id()), best_first, "place", 0)
+    dealt = written(placed.withColumn("bucket", F.floor(F.col("place") / BUCKET).cast("int")).drop("place"), "buckets")
+    reached = opened_upto(dealt)
+    anchored = ranked(dealt.where("anchor").select("uid", "id", "label", "v", "norm"), best_first, "place", 0)
+    anchored = written(anchored.withColumn("chunk", F.floor(F.col("place") / CHUNK).cast("int")).drop("place"), "queries")
     nothing = F.array(F.lit(_LEAST))
-    near = search(placed, every.withColumn("lowers", nothing).withColumn("uppers", F.array(F.lit(-_LEAST))), positives, same_label=True)
+    near = search(dealt, anchored.withColumn("lowers", nothing).withColumn("uppers", F.array(F.lit(-_LEAST))), positives, True, reached)
     wide = F.col("score").cast("decimal(20,0)")
     lower = F.ceil(wide * least_percent / 100).cast("long")
     upper = F.floor(wide * most_percent / 100).cast("long")
     windows = near.select(F.col("query").alias("uid"), "rank", F.col("id").alias("positive_id"), "score", lower.alias("lower"), upper.alias("upper")).where("lower <= upper")
     by_rank = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda s: s[c])
     ranges = windows.groupBy("uid").agg(by_rank("lower").alias("lowers"), by_rank("upper").alias("uppers"), by_rank("positive_id").alias("ids"), by_rank("score").alias("scores"))
-    ranges = written(ranges, "windows")
-    far = search(placed, every.join(ranges.select("uid", "lowers", "uppers"), "uid"), negatives, same_label=False)
-    told = far.withColumnsRenamed({"id": "negative_id", "score": "negative_score"}).drop("uid").join(ranges.withColumnRenamed("uid", "query"), "query").join(every.select(F.col("uid").alias("query"), F.col("id").alias("anchor_id")), "query")
+    ranges = written(anchored.join(ranges, "uid"), "windows")
+    far = search(dealt, ranges.drop("ids", "scores"), negatives, False, reached)
+    asked = ranges.select(F.col("uid").alias("query"), F.col("id").alias("anchor_id"), "ids", "scores")
+    told = far.withColumnsRenamed({"id": "negative_id", "score": "negative_score"}).drop("uid").join(asked, "query")
     at = F.col("window") + 1
     return told.select("anchor_id", F.element_at("ids", at).alias("positive_id"), "rank", "negative_id", F.element_at("scores", at).alias("positive_score"), "negative_score")
