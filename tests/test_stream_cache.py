@@ -83,3 +83,15 @@ def test_state_shrinks_after_expiry(spark, tmp_path):
 
 def test_an_empty_stream(spark):
     assert cache.drained([spark.createDataFrame([], cache.VISIT)], lambda s: cache.stream_read_through(s, TTL, KEEP)).count() == 0
+
+
+def test_a_page_is_one_value_and_one_timer(spark, tmp_path):
+    """Each call to the state and each row out of a worker has its price: one value and one timer a page, one row a page and batch."""
+    visits = [(f"u{k}", 2 * k + i, (k + 1 + i) * HOUR, space, "normal", 200, "x", None) for k in range(20) for i, space in enumerate(("native", "pdf"))]
+    spark.createDataFrame(visits, cache.VISIT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with cache.on_disk_state(spark):
+        said = cache.stream_read_through(spark.readStream.schema(cache.VISIT).parquet(str(tmp_path / "in")), TTL, KEEP)
+        run = said.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert run.lastProgress.stateOperators[0].numRowsTotal == 20
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40

@@ -1,13 +1,13 @@
-"""The page cache as a stream: visits in the order of time, entries as keyed state with a timer each."""
+"""The page cache as a stream: visits in the order of time, a page's entries as keyed state with a timer."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +17,9 @@ from textmill.operators.cuts import work_path
 MODES = ("normal", "refresh", "offline", "off")
 VISIT = "url string, seq long, now_ms long, namespace string, mode string, status int, text string, etag string"
 SERVED = "url string, seq long, text string, source string, note string, cached_at long, store boolean"
+#: What the stateful step gives: a page's visits of a batch in one row, since every row of a worker has its price.
+_TOLD = f"url string, served array<struct<{', '.join(field.replace(' ', ': ') for field in SERVED.split(', ')[1:])}>>"
+_told = Row("url", "served")
 
 
 class Entry(NamedTuple):
@@ -35,8 +38,8 @@ class Answer(NamedTuple):
 
 def serve(entries: dict[str, Entry], visit: dict, ttl_ms: int, keep_ms: int) -> Answer:
     """Answer a visit from ``entries`` (one per namespace, changed in place) or from what its origin says."""
-    now, space, mode = visit["now_ms"], visit["namespace"] or "native", visit["mode"] or "normal"
-    status, text = int(visit["status"] or 0), visit["text"] or ""
+    now, space, mode = visit["now_ms"], visit.get("namespace") or "native", visit.get("mode") or "normal"
+    status, text = visit.get("status") or 0, visit.get("text") or ""
     readable = bool(text.strip(" "))
     alive = {n: e for n, e in entries.items() if now - e.cached_at < keep_ms}
     newest = max(alive.items(), key=lambda held: (held[1].cached_at, held[0]))[1] if alive else None
@@ -44,7 +47,7 @@ def serve(entries: dict[str, Entry], visit: dict, ttl_ms: int, keep_ms: int) ->
     if mode == "off":
         return from_origin
     if mode == "offline":
-        return Answer(newest.text, "cache", None, newest.cached_at) if newest else Answer("", "none", f"Offline: {visit['url']} is not in the cache")
+        return Answer(newest.text, "cache", None, newest.cached_at) if newest else Answer("", "none", f"Offline: {visit.get('url')} is not in the cache")
     hit = alive.get(space) if mode != "refresh" else None
     if hit and now - hit.cached_at < ttl_ms:
         return Answer(hit.text, "cache", None, hit.cached_at)
@@ -52,38 +55,52 @@ def serve(entries: dict[str, Entry], visit: dict, ttl_ms: int, keep_ms: int) ->
         entries[space] = hit._replace(cached_at=now)
         return Answer(hit.text, "cache", None, now, True)
     if readable:
-        entries[space] = Entry(text, visit["etag"] or None, now)
+        entries[space] = Entry(text, visit.get("etag") or None, now)
         return from_origin._replace(store=True)
     held = hit or newest
-    return Answer(held.text, "stale", f"{visit['url']} returned {status or 'no response'}; served the cached copy", held.cached_at) if held else from_origin
+    return Answer(held.text, "stale", f"{visit.get('url')} returned {status or 'no response'}; served the cached copy", held.cached_at) if held else from_origin
 
 
 class _Cache(StatefulProcessor):
-    """The entries of a page by namespace; an entry's timer fires when it is too old for any use."""
+    """The entries of a page, one per namespace, and one timer, never after the first of them is too old for any use."""
 
     def __init__(self, ttl_ms: int, keep_ms: int):
         self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "namespace string", "text string, etag string, cached_at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: Entry(*v) for k, v in self.entries.iterator()} if self.entries.exists() else {}
-        entries, visits = dict(before), pd.concat(list(rows)).sort_values(["now_ms", "seq"], kind="stable")
-        visits = visits.astype(object).where(visits.notna(), None).to_dict("records")
-        told = [(key[0], v["seq"], *serve(entries, v, self.ttl_ms, self.keep_ms)) for v in visits]
-        for space, entry in entries.items():
-            if entry != before.get(space):
-                self.entries.updateValue((space,), tuple(entry))
-                self.handle.registerTimer(entry.cached_at + self.keep_ms)
-        out = pd.DataFrame(told, columns=["url", "seq", "text", "source", "note", "cached_at", "store"])
-        yield out.astype({"seq": "Int64", "cached_at": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.entries = handle.getValueState("entries", "held array<struct<namespace string, text string, etag string, cached_at long>>")
+
+    def _held(self) -> dict[str, Entry]:
+        kept = self.entries.get()
+        return {e[0]: Entry(*e[1:]) for e in kept[0]} if kept else {}
+
+    def _hold(self, entries: dict[str, Entry]) -> None:
+        self.entries.update(([(space, *entry) for space, entry in entries.items()],))
+
+    def _wake(self, entries: dict[str, Entry]) -> None:
+        self.handle.registerTimer(min(e.cached_at for e in entries.values()) + self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self._held()
+        entries, visits = dict(before), sorted((json.loads(r.visit) for r in rows), key=lambda v: (v["now_ms"], "seq" not in v, v.get("seq", 0)))
+        served = [(v.get("seq"), *serve(entries, v, self.ttl_ms, self.keep_ms)) for v in visits]
+        if entries != before:
+            self._hold(entries)
+            if not before:  # else a timer is set already, at the end of the oldest of them or before
+                self._wake(entries)
+        return iter([_told(key[0], served)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
-        for space in [k for k, v in self.entries.iterator() if v[2] <= until]:  # a later stamp has a timer of its own
-            self.entries.removeKey(space)
+        entries = self._held()
+        alive = {space: e for space, e in entries.items() if e.cached_at > until}
+        if alive:
+            if len(alive) < len(entries):
+                self._hold(alive)
+            self._wake(alive)
+        else:
+            self.entries.clear()
         return iter(())
 
     def close(self) -> None:
@@ -97,23 +114,25 @@ def stream_read_through(visits: DataFrame, ttl_ms: int, keep_ms: int, late: str
     ``offline`` serves the newest entry of any namespace and asks nobody;
     ``off`` neither reads nor writes. Of entries of equal age that of the greatest
     namespace counts as the newest. Entries ``keep_ms`` old or older serve nothing,
-    not even as stale copies; a timer frees them once the watermark, ``late``
-    behind the visits, has passed. The state is thus bounded by the pages visited
+    not even as stale copies; the timer of their page frees them once the watermark,
+    ``late`` behind the visits, has passed. The state is thus bounded by the pages visited
     within ``keep_ms``. A visit needs a time, after that of epoch 0, at which
     every watermark starts; null modes are ``normal``, null
     namespaces ``native``, null texts empty, null addresses one page.
     """
-    timed = visits.select("url", "seq", "now_ms", "namespace", "mode", F.col("status").cast("int").alias("status"), "text", "etag", F.timestamp_millis("now_ms").alias("at"))
-    return (
+    fields = ["url", "seq", "now_ms", "namespace", "mode", F.col("status").cast("int").alias("status"), "text", "etag"]
+    timed = visits.select("url", F.to_json(F.struct(*fields)).alias("visit"), F.timestamp_millis("now_ms").alias("at"))
+    told = (
         timed.withWatermark("at", late)
         .groupBy("url")
-        .transformWithStateInPandas(_Cache(ttl_ms, keep_ms), outputStructType=SERVED, outputMode="append", timeMode="EventTime")
+        .transformWithState(_Cache(ttl_ms, keep_ms), outputStructType=_TOLD, outputMode="append", timeMode="EventTime")
     )
+    return told.select("url", F.inline("served"))
 
 
 @contextmanager
 def on_disk_state(spark: SparkSession) -> Iterator[None]:
-    """Keyed state in RocksDB, which maps and timers need and which is not held in memory."""
+    """Keyed state in RocksDB, which timers need and which is not held in memory."""
     key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key, None)
     spark.conf.set(key, provider)
